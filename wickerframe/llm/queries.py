@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import bpe
 from .exact_dedup import exact_dedup
 from .mixing import mix
 from .quality_rules import BOILERPLATE, quality_rules
@@ -20,6 +22,24 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def tokenizer_file() -> str:
+    """Content of the public tokenizer that the queries use; the operators take any such file's content."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        return f.read()
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(_table(spark, sf_dir, "documents"))
+
+
+def bpe_digests(docs: DataFrame) -> DataFrame:
+    coded = bpe.encode(docs, tokenizer_file(), decoded=True)
+    ids = F.concat_ws(" ", F.col("ids").cast("array<string>"))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents")).drop("clean_text")
 
@@ -33,7 +53,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op2_exact_dedup, op8_quality_rules, op9_mixing, op10_url_filter)
+    named = (op2_exact_dedup, op3_bpe, op8_quality_rules, op9_mixing, op10_url_filter)
     return {f.__name__: f for f in named}
 
 
