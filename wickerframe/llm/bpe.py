@@ -27,7 +27,7 @@ from .shared import text_of
 _SPACES = "\t-\r \x85\xa0  -     　"
 _SPACE_RUN = re.compile(f"[{_SPACES}]+")
 #: Texts of Latin letters, digits and common signs are split by the faster of Python's two pattern engines.
-_OTHER = re.compile("[^\x00-\u024f\u2010-\u2027\u20ac]")
+_OTHER = re.compile("[^\x00-\u0239\u2010-\u2027\u20ac]")
 _LATIN, _DIGIT = "a-zªµºß-öø-ʯ", "0-9²³¹¼-¾"
 _LATIN_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LATIN}]+|[{_DIGIT}]|[^{_SPACES}{_LATIN}{_DIGIT}]+")
 #: Anything outside these blocks: the Unicode versions of Python's and the library's tables may differ there.
