@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import bpe
 from .exact_dedup import exact_dedup
 from .mixing import mix
+from .ngram_jaccard import jaccard_components
 from .quality_rules import BOILERPLATE, quality_rules
 from .url_filter import RULES, filter_urls, rules_frame
 
@@ -18,6 +19,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -53,12 +58,25 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op2_exact_dedup, op3_bpe, op8_quality_rules, op9_mixing, op10_url_filter)
+    named = (op1_ngram_jaccard, op2_exact_dedup, op3_bpe, op8_quality_rules, op9_mixing, op10_url_filter)
     return {f.__name__: f for f in named}
 
 
 _SPACE, _WORD = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]+"
 
+_OP1 = rf"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') as w from documents),
+g as (select doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from d),
+s as (select distinct doc_id, s from g),
+n as (select doc_id, count(*) as n from s group by doc_id),
+i as (select x.doc_id as a, y.doc_id as b, count(*) as c from s x join s y on x.s = y.s and x.doc_id < y.doc_id group by x.doc_id, y.doc_id),
+l as (select a, b from i join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * c >= 75 * (na.n + nb.n - c)),
+e as (select a, b from l union all select b, a from l),
+r(v, m) as (select doc_id, doc_id from documents union select e.a, r.m from r join e on e.b = r.v where r.m < e.a)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, min(r.m) as component_id
+from documents d left join n on n.doc_id = d.doc_id join r on r.v = d.doc_id group by d.doc_id, n.n
+"""
+
 _OP2 = rf"""
 with n as (select doc_id, regexp_replace(coalesce(text, ''), '{_SPACE}+', ' ', 'g') as norm from documents)
 select doc_id, min(doc_id) over (partition by norm) as keep_id, count(*) over (partition by norm) as group_size,
@@ -126,4 +144,4 @@ from u left join m on u.page_id = m.page_id and m.k = 1
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": _OP2, "op8_quality_rules": _OP8, "op9_mixing": _OP9, "op10_url_filter": _OP10}
+    return {"op1_ngram_jaccard": _OP1, "op2_exact_dedup": _OP2, "op8_quality_rules": _OP8, "op9_mixing": _OP9, "op10_url_filter": _OP10}
