@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, toxicity
 from .exact_dedup import exact_dedup
 from .mixing import mix
 from .ngram_jaccard import jaccard_components
@@ -45,6 +45,19 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs.select("doc_id", "text"), toxicity_model(docs, sf_dir))
+    held_out = ~F.coalesce(toxicity.in_training_fold(F.col("doc_id")), F.lit(True))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+def toxicity_model(docs: DataFrame, sf_dir: str) -> toxicity.Model:
+    """Fitted on the labels of the training fold."""
+    labels = _table(docs.sparkSession, sf_dir, "labels").where(toxicity.in_training_fold(F.col("doc_id")))
+    return toxicity.fit(docs, labels)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents")).drop("clean_text")
 
@@ -58,7 +71,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_ngram_jaccard, op2_exact_dedup, op3_bpe, op8_quality_rules, op9_mixing, op10_url_filter)
+    named = (op1_ngram_jaccard, op2_exact_dedup, op3_bpe, op4_toxicity, op8_quality_rules, op9_mixing, op10_url_filter)
     return {f.__name__: f for f in named}
 
 
