@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, toxicity
 from .exact_dedup import exact_dedup
+from .html_extract import extract
 from .mixing import mix
 from .ngram_jaccard import jaccard_components
 from .quality_rules import BOILERPLATE, quality_rules
@@ -58,6 +59,10 @@ def toxicity_model(docs: DataFrame, sf_dir: str) -> toxicity.Model:
     return toxicity.fit(docs, labels)
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents")).drop("clean_text")
 
@@ -71,7 +76,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_ngram_jaccard, op2_exact_dedup, op3_bpe, op4_toxicity, op8_quality_rules, op9_mixing, op10_url_filter)
+    named = (op1_ngram_jaccard, op2_exact_dedup, op3_bpe, op4_toxicity, op6_html_extraction, op8_quality_rules, op9_mixing, op10_url_filter)
     return {f.__name__: f for f in named}
 
 
