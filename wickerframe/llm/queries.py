@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import bpe, toxicity
 from .exact_dedup import exact_dedup
 from .html_extract import extract
+from .line_dedup import line_dedup
 from .mixing import mix
 from .ngram_jaccard import jaccard_components
 from .quality_rules import BOILERPLATE, quality_rules
@@ -63,6 +64,11 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(_table(spark, sf_dir, "pages"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_deleted", F.char_length("clean_text").cast("long").alias("n_chars_left"), F.sha2("clean_text", 256).alias("clean_sha256"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents")).drop("clean_text")
 
@@ -76,7 +82,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_ngram_jaccard, op2_exact_dedup, op3_bpe, op4_toxicity, op6_html_extraction, op8_quality_rules, op9_mixing, op10_url_filter)
+    named = (op1_ngram_jaccard, op2_exact_dedup, op3_bpe, op4_toxicity, op6_html_extraction, op7_line_dedup, op8_quality_rules, op9_mixing, op10_url_filter)
     return {f.__name__: f for f in named}
 
 
@@ -102,6 +108,23 @@ select doc_id, min(doc_id) over (partition by norm) as keep_id, count(*) over (p
 from n
 """
 
+_OP7 = rf"""
+with d as (select doc_id, text, string_split(coalesce(text, ''), chr(10)) as l from documents),
+r as (select doc_id, unnest(l) as raw, generate_subscripts(l, 1) as p from d),
+w as (select doc_id, raw, p, regexp_replace(regexp_replace(raw, '^{_SPACE}+|{_SPACE}+$', '', 'g'), '{_SPACE}+', ' ', 'g') as line from r),
+c as (select doc_id, p, row_number() over (partition by doc_id order by p) as i, line from w where line != ''),
+g as (select doc_id, i, line || chr(10) || lead(line) over o || chr(10) || lead(line, 2) over o as run from c window o as (partition by doc_id order by i)),
+x as (select doc_id, i, row_number() over (partition by run order by doc_id, i) as k from g where run is not null),
+gone as (select distinct doc_id, unnest([i, i + 1, i + 2]) as i from x where k > 1),
+gp as (select c.doc_id, c.p from c join gone on c.doc_id = gone.doc_id and c.i = gone.i),
+s as (select r.doc_id, string_agg(r.raw, chr(10) order by r.p) as t from r left join gp on r.doc_id = gp.doc_id and r.p = gp.p where gp.p is null group by r.doc_id),
+n as (select doc_id, count(*) as n from c group by doc_id),
+m as (select doc_id, count(*) as m from gp group by doc_id),
+e as (select d.doc_id, coalesce(n.n, 0) as n_lines, coalesce(m.m, 0) as n_deleted, case when d.text is not null then coalesce(s.t, '') end as t
+      from d left join n on n.doc_id = d.doc_id left join m on m.doc_id = d.doc_id left join s on s.doc_id = d.doc_id)
+select doc_id, n_lines, n_deleted, length(t) as n_chars_left, sha256(t) as clean_sha256 from e
+"""
+
 _OP8 = rf"""
 with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
 w as (select r, doc_id, t, regexp_extract_all(t, '{_WORD}') as w from d),
@@ -162,4 +185,4 @@ from u left join m on u.page_id = m.page_id and m.k = 1
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard": _OP1, "op2_exact_dedup": _OP2, "op8_quality_rules": _OP8, "op9_mixing": _OP9, "op10_url_filter": _OP10}
+    return {"op1_ngram_jaccard": _OP1, "op2_exact_dedup": _OP2, "op7_line_dedup": _OP7, "op8_quality_rules": _OP8, "op9_mixing": _OP9, "op10_url_filter": _OP10}
