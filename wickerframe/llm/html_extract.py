@@ -5,8 +5,6 @@ density; blocks inside menus, headers, footers, sidebars, notices, adverts, form
 by their container. The second pass gives ambiguous short blocks the label of the nearest decided neighbours.
 """
 
-from __future__ import annotations
-
 import html
 import re
 from collections.abc import Iterator

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, toxicity
+from . import bpe, quality_model, toxicity
 from .exact_dedup import exact_dedup
 from .html_extract import extract
 from .line_dedup import line_dedup
@@ -60,6 +60,12 @@ def toxicity_model(docs: DataFrame, sf_dir: str) -> toxicity.Model:
     return toxicity.fit(docs, labels)
 
 
+def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    weights, _ = quality_model.fit(docs)
+    return quality_model.quality(docs, weights)
+
+
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(_table(spark, sf_dir, "pages"))
 
@@ -82,7 +88,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_ngram_jaccard, op2_exact_dedup, op3_bpe, op4_toxicity, op6_html_extraction, op7_line_dedup, op8_quality_rules, op9_mixing, op10_url_filter)
+    named = (op1_ngram_jaccard, op2_exact_dedup, op3_bpe, op4_toxicity, op5_quality_model, op6_html_extraction, op7_line_dedup, op8_quality_rules, op9_mixing, op10_url_filter)
     return {f.__name__: f for f in named}
 
 
