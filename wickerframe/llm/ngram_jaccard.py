@@ -132,8 +132,10 @@ def _unpacked(data: bytes, width: int) -> np.ndarray:
     return full.view("<u8").reshape(-1)
 
 
-_COUNTED = "bucket int, doc_id long, node long, n long, shared long, nodes binary, seats binary, shingles binary"
-_NAMES = [x.split()[0] for x in _COUNTED.split(", ")]
+_SENT = "bucket int, chunk long, docs array<long>, nodes array<long>, sizes array<long>, shared array<long>, seats binary, shingles binary"
+_BACK = "chunk long, docs array<long>, nodes array<long>, sizes array<long>, shared array<long>"
+_COUNTED = "doc_id long, node long, n long, shared long"
+_LONGS = pa.list_(pa.int64())
 
 
 def _chunks(batches, words: int):
@@ -163,12 +165,16 @@ def _chunks(batches, words: int):
 
 
 def _count_pass(rows: DataFrame, bits: int, bucket_bits: int, words: int) -> DataFrame:
-    """Map side of the counting pass, two kinds of rows. A document: its id, set hash, set size, and how many of its
-    shingles another set of the chunk has. A bucket (range of shingle hashes) of a chunk: the distinct shingles, cut
-    to as many bits as keep chance hits rare, and whose they are. A shingle that several sets of the chunk
-    have is sent once and without an owner, as it is counted already: a hot shingle costs one entry a chunk."""
+    """Map side of the counting pass. A chunk sends itself: documents, set hashes and sizes, and how many of a set's
+    shingles another set of the chunk has. And it sends, to each bucket (range of shingle hashes), its distinct
+    shingles, cut to as many bits as keep chance hits rare, and whose they are. A shingle that several sets of the
+    chunk have is sent once and without an owner, as it is counted already: a hot shingle costs one entry a chunk."""
     width = (bits + 7) // 8
 
+    def row(bucket, chunk, docs, nodes, sizes, shared, seats, shingles):
+        lists = [pa.array([x], _LONGS) for x in (docs, nodes, sizes, shared)]
+        return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([chunk], pa.int64()), *lists, pa.array([seats], pa.binary()), pa.array([shingles], pa.binary())], names=[x.split()[0] for x in _SENT.split(", ")])
+
     def emit(ids, nodes, sizes, seat, tokens, owners):
         tokens = np.concatenate(tokens or [np.zeros(0, _U)]) >> _U(64 - bits)
         owners = np.concatenate(owners or [np.zeros(0, np.uint32)])
@@ -178,72 +184,93 @@ def _count_pass(rows: DataFrame, bits: int, bucket_bits: int, words: int) -> Dat
         length = np.diff(np.concatenate([first, [len(tokens)]]))
         inner = np.bincount(owners[np.repeat(length > 1, length)], minlength=len(seat) + 1)
         tokens, owners = tokens[first], np.where(length > 1, 0, owners[first])
-        n, once, shared = len(ids), dict(seat), []
+        once, shared = dict(seat), []
         for node in nodes:
             shared.append(int(inner[once.pop(node) + 1]) if node in once else 0)
-        none = pa.nulls(n, pa.binary())
-        spread = [(x or 0) % (1 << bucket_bits) for x in nodes]
-        yield pa.RecordBatch.from_arrays([pa.array(spread, pa.int32()), pa.array(ids, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(shared, pa.int64()), none, none, none], names=_NAMES)
+        chunk = _set_hash(np.array([x or 0 for x in ids], np.int64).view(_U) + np.array(nodes, np.int64).view(_U))
+        yield row(chunk % (1 << bucket_bits), chunk, ids, nodes, sizes, shared, None, None)
         named = np.array(list(seat), np.int64)
         cuts = np.searchsorted(tokens, np.arange(1, 1 << bucket_bits, dtype=_U) << _U(bits - bucket_bits))
         cuts = np.concatenate([[0], cuts, [len(tokens)]])
-        full = np.flatnonzero(np.diff(cuts))
-        for b in full:
+        for b in np.flatnonzero(np.diff(cuts)):
             own = owners[cuts[b] : cuts[b + 1]]
             present, place = np.unique(own, return_inverse=True)
             if present[0] != 0:
                 present, place = np.concatenate([[0], present]), place + 1
-            blobs = named[present[1:].astype(np.int64) - 1].tobytes(), _packed(place.astype(_U), 4), _packed(tokens[cuts[b] : cuts[b + 1]], width)
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *[pa.nulls(1, pa.int64())] * 4, *[pa.array([x], pa.binary()) for x in blobs]], names=_NAMES)
+            yield row(b, chunk, None, named[present[1:].astype(np.int64) - 1], None, None, _packed(place.astype(_U), 4), _packed(tokens[cuts[b] : cuts[b + 1]], width))
 
     def run(batches):
         with np.errstate(over="ignore"):
             for chunk in _chunks(batches, words):
                 yield from emit(*chunk)
 
-    return rows.mapInArrow(run, _COUNTED)
+    return rows.mapInArrow(run, _SENT)
 
 
 def _count_bucket(width: int):
-    """Reduce side: the document rows as they are; and for each set, how many of its shingles in this bucket stand
-    in several chunks and belong to other sets as well."""
+    """A bucket: chunks as they are; and back to each chunk, how many of a set's shingles here stand in several
+    chunks and belong to other sets as well. Lists of counts, not a row a set."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = table.filter(pa.compute.is_valid(table["node"])).select(["doc_id", "node", "n", "shared"])
-        blobs = table.filter(pa.compute.is_valid(table["shingles"])).select(["nodes", "seats", "shingles"])
-        tokens, owners, free = [], [], []
-        for batch in blobs.to_batches():
-            for nodes, seats, data in zip(*(c.to_pylist() for c in batch.columns)):
-                place = _unpacked(seats, 4).astype(np.int64)
-                tokens.append(_unpacked(data, width))
-                owners.append(np.concatenate([[0], np.frombuffer(nodes, np.int64)])[place])
+        whole = pa.compute.is_valid(table["docs"])
+        out = table.filter(whole).select(["chunk", "docs", "nodes", "sizes", "shared"])
+        tokens, owners, free, origin, chunks = [], [], [], [], []
+        for batch in table.filter(pa.compute.invert(whole)).to_batches():
+            for k in range(batch.num_rows):
+                place = _unpacked(batch["seats"][k].as_py(), 4).astype(np.int64)
+                tokens.append(_unpacked(batch["shingles"][k].as_py(), width))
+                owners.append(np.concatenate([[0], batch["nodes"][k].values.to_numpy()])[place])
                 free.append(place == 0)
+                origin.append(np.full(len(place), len(chunks), np.int32))
+                chunks.append(batch["chunk"][k].as_py())
         if not tokens:
-            return rows
-        tokens, owners, free = np.concatenate(tokens), np.concatenate(owners), np.concatenate(free)
+            return out
+        tokens, owners, free, origin = map(np.concatenate, (tokens, owners, free, origin))
         order = np.argsort(tokens, kind="stable")
         tokens = tokens[order]
         same = np.concatenate([[False], tokens[1:] == tokens[:-1], [False]])
         several = same[:-1] | same[1:]
         order, tokens = order[several], tokens[several]
-        owners, free = owners[order], free[order]
-        order = np.lexsort((owners, free, tokens))
-        tokens, owners, free = tokens[order], owners[order], free[order]
         if not len(tokens):
-            return rows
+            return out
+        owners, free, origin = owners[order], free[order], origin[order]
+        order = np.lexsort((owners, free, tokens))
+        tokens, owners, free, origin = tokens[order], owners[order], free[order], origin[order]
         run_start = np.concatenate([[True], tokens[1:] != tokens[:-1]])
         pair_start = run_start | np.concatenate([[True], (owners[1:] != owners[:-1]) | (free[1:] != free[:-1])])
         of_run = np.cumsum(run_start) - 1
         kinds = np.bincount(of_run[pair_start])  # different owners, the ownerless entry being one more
         hit = pair_start & ~free & (kinds[of_run] > 1)
-        nodes, counts = np.unique(owners[hit], return_counts=True)
-        none = pa.nulls(len(nodes), pa.int64())
-        more = pa.Table.from_arrays([none, pa.array(nodes), none, pa.array(counts.astype(np.int64))], names=["doc_id", "node", "n", "shared"])
-        return pa.concat_tables([rows, more.cast(rows.schema)])
+        owners, origin = owners[hit], origin[hit]
+        order = np.lexsort((owners, origin))
+        owners, origin = owners[order], origin[order]
+        start = np.flatnonzero(np.concatenate([[True], (owners[1:] != owners[:-1]) | (origin[1:] != origin[:-1])])[: len(owners)])
+        counts, owners, origin = np.diff(np.concatenate([start, [len(owners)]])), owners[start], origin[start]
+        cuts = np.searchsorted(origin, np.arange(len(chunks) + 1))
+        parts = [(a, b) for a, b in zip(cuts[:-1], cuts[1:])]
+        back = [pa.array(chunks, pa.int64()), pa.nulls(len(chunks), _LONGS), pa.array([owners[a:b] for a, b in parts], _LONGS), pa.nulls(len(chunks), _LONGS), pa.array([counts[a:b] for a, b in parts], _LONGS)]
+        return pa.concat_tables([out, pa.Table.from_arrays(back, names=out.column_names).cast(out.schema)])
 
     return run
 
 
+def _count_chunk(table: pa.Table) -> pa.Table:
+    """A chunk's documents; the counts that came back for a set go to its first document in the chunk."""
+    counts: dict[int, int] = {}
+    docs, nodes, sizes, shared = [], [], [], []
+    for row in table.to_pylist():
+        if row["docs"] is None:
+            for node, n in zip(row["nodes"], row["shared"]):
+                counts[node] = counts.get(node, 0) + n
+        else:  # equal chunks, as of a table read twice, have one key
+            for own, name in ((docs, "docs"), (nodes, "nodes"), (sizes, "sizes"), (shared, "shared")):
+                own += row[name]
+    for k, node in enumerate(nodes):
+        shared[k] += counts.pop(node, 0)
+    columns = [pa.array(x, pa.int64()) for x in (docs, nodes, sizes, shared)]
+    return pa.Table.from_arrays(columns, names=["doc_id", "node", "n", "shared"])
+
+
 def _sets(rows: DataFrame, words: int) -> DataFrame:
     """node, n and the shingle hashes of each row's text."""
 
@@ -311,9 +338,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     most = (rows.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0) // 2 + 1  # shingles there can be
     bucket_bits = max(0, min(math.ceil(math.log2(most / BUCKET)), int(math.log2(MOST_BUCKETS)))) if most > BUCKET else 0
     bits = min(64, max(24, 8 * math.ceil((math.log2(most) + 2) / 8)))
-    counted = _count_pass(rows, bits, bucket_bits, words).groupBy("bucket").applyInArrow(_count_bucket((bits + 7) // 8), "doc_id long, node long, n long, shared long")
-    counted = shared_table(counted, "ngram-counts")
-    texts = counted.where("n is not null").select("doc_id", "node", "n")
+    back = _count_pass(rows, bits, bucket_bits, words).groupBy("bucket").applyInArrow(_count_bucket((bits + 7) // 8), _BACK)
+    counted = shared_table(back.groupBy("chunk").applyInArrow(_count_chunk, _COUNTED), "ngram-counts")
+    texts = counted.select("doc_id", "node", "n")
 
     # Sets that can link at all, one text of each: enough of their shingles are shared.
     nodes = counted.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.sum("shared").alias("shared"))
