@@ -35,8 +35,8 @@ PERCENT, WORDS = 75, 5
 HASH_BYTES, CHUNK = 2 << 20, 3 << 20
 #: Shingles a bucket of the counting pass aims at (by an upper bound on their number), and the most buckets.
 BUCKET, MOST_BUCKETS = 1 << 24, 1 << 20
-#: Rounds in which lists meet their leaders before the remaining pairs are listed.
-LEADER_ROUNDS = 3
+#: Members of a list's largest component that the list's other entries meet, by round, before they meet all.
+LEADERS = (8, 64)
 
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
@@ -379,51 +379,65 @@ def _link(sets: DataFrame, percent: int) -> DataFrame:
     entries = shared_table(entries, "ngram-entries")
 
     fits = (F.col("n") <= F.col("o_most")) & (F.col("o_n") <= F.col("most"))
-    labels = core.select("node", F.col("node").alias("comp"))
-    links = None
-    for turn in range(LEADER_ROUNDS):
+    apart = F.col("comp") != F.col("o_comp")
+    other = lambda df, *key: df.select(*[F.col(k).alias(f"o_{k}") for k in (*key, "node", "n", "most", "comp")])
+
+    def linked(found: DataFrame) -> DataFrame:
+        return found.where(_links(F.col("n_a"), F.col("n_b"), F.col("common"), percent)).select("a", "b")
+
+    # First, every list's entries meet one leader a block, the same one in as many lists as can be.
+    order = F.struct(F.xxhash64("node"), F.col("node"))
+    here = entries.withColumn("comp", F.col("node"))
+    lead = here.groupBy("t", "block").agg(F.min_by(F.struct("node", "n", "most", "comp"), order).alias("o")).select("t", "block", "o.*")
+    met = here.join(other(lead, "t", "block"), (F.col("t") == F.col("o_t")) & (F.col("block") == F.col("o_block"))).where(apart & fits)
+    answers = shared_table(_verified(met.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct(), core), "ngram-answers")
+    labels = shared_table(components(core.select("node", F.col("node").alias("comp")), linked(answers)), "ngram-labels")
+
+    # Then only lists of several components count, and of these the entries outside the list's largest one: in some
+    # rounds they meet a growing number of its members, and at last all entries of other components.
+    for turn, leaders in enumerate((*LEADERS, None)):
         here = entries.join(labels, "node")
-        key = ["t", "block"] if turn % 2 == 0 else ["t"]
-        order = F.xxhash64("node", F.lit(turn))
-        lead = here.groupBy(*key).agg(F.min_by(F.struct("node", "n", "most", "comp"), F.struct(order, F.col("node"))).alias("o"))
-        lead = lead.select(*[F.col(k).alias(f"o_{k}") for k in key], F.col("o.node").alias("o_node"), F.col("o.n").alias("o_n"), F.col("o.most").alias("o_most"), F.col("o.comp").alias("o_comp"))
-        met = here.join(lead, [F.col(k) == F.col(f"o_{k}") for k in key]).where((F.col("comp") != F.col("o_comp")) & fits)
-        pairs = met.select(F.col("node").alias("a"), F.col("o_node").alias("b")).distinct()
-        new = shared_table(_verified(pairs, core).withColumn("turn", F.lit(turn)), "ngram-answers")
-        links = new if links is None else links.unionByName(new)
-        labels = shared_table(components(labels, new.where(_links(F.col("n_a"), F.col("n_b"), F.col("common"), percent)).select("a", "b")), "ngram-labels")
-
-    # What is left: pairs of different components in one list. Entries of a list's largest component are not paired
-    # with each other, so a list of one component costs nothing.
-    here = entries.join(labels, "node")
-    per = here.groupBy("t", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("t").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    here = shared_table(here.join(per.select("t", "major"), "t"), "ngram-rest")
-    minor = here.where("comp != major").select(F.col("t").alias("o_t"), F.col("node").alias("o_node"), F.col("n").alias("o_n"), F.col("most").alias("o_most"), F.col("comp").alias("o_comp"))
-    met = here.join(minor, F.col("t") == F.col("o_t")).where((F.col("comp") != F.col("o_comp")) & fits & ((F.col("comp") == F.col("major")) | (F.col("node") < F.col("o_node"))))
-    pairs = met.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct()
-    done = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = shared_table(pairs.join(done, ["a", "b"], "left_anti"), "ngram-pairs")
-    new = shared_table(_derived(pairs, links, core, percent), "ngram-answers")
-    labels = components(labels, new.where(_links(F.col("n_a"), F.col("n_b"), F.col("common"), percent)).select("a", "b"))
+        per = here.groupBy("t", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("t").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"), F.count(F.lit(1)).alias("k"))
+        here = shared_table(here.join(per.where("k > 1").select(F.col("t").alias("p_t"), "major"), F.col("t") == F.col("p_t")).drop("p_t"), "ngram-mixed")
+        minor = other(here.where("comp != major"), "t")
+        if leaders is None:
+            facing = here
+            once = (F.col("comp") == F.col("major")) | (F.col("node") < F.col("o_node"))
+        else:
+            seat = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(leaders)).alias("seat")
+            pick = F.min_by(F.struct("node", "n", "most", "comp"), F.struct(F.xxhash64("node", "t", F.lit(turn)), F.col("node")))
+            facing = here.where("comp = major").groupBy("t", seat).agg(pick.alias("o")).select("t", "o.*")
+            once = F.lit(True)
+        met = facing.join(minor, F.col("t") == F.col("o_t")).where(apart & fits & once)
+        pairs = met.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct()
+        pairs = shared_table(pairs.join(answers.select("a", "b"), ["a", "b"], "left_anti"), "ngram-pairs")
+        new = shared_table(_derived(pairs, answers, core, percent), "ngram-answers")
+        answers = answers.unionByName(new)
+        labels = shared_table(components(labels, linked(new)), "ngram-labels")
     return labels
 
 
 def _derived(pairs: DataFrame, answers: DataFrame, core: DataFrame, percent: int) -> DataFrame:
     """Answers of pairs (a, b), as _verified gives them, less pairs whose answer the leaders' answers exclude.
 
-    a's leader L is the set of the answers so far with which a has most in common. First |L & b| is computed for
-    each different (L, b); then |a & b| <= |L & b| + |a - L| decides most pairs; the rest is verified.
+    A set's leader is the set of the answers so far with which it has most in common, if that is nearly all of it.
+    For a pair (x, y) where x has a leader L, first |L & y| is computed, once for all x that L leads; then
+    |x & y| <= |L & y| + |x - L| decides most pairs, and the rest is verified.
     """
-    both = answers.select("a", "b", "n_a", "common").unionByName(answers.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("n_b").alias("n_a"), "common"))
-    lead = both.where(100 * F.col("common") >= percent * F.col("n_a")).groupBy("a").agg(F.max_by(F.struct(F.col("b").alias("lead"), (F.col("n_a") - F.col("common")).alias("lacks")), F.struct("common", "b")).alias("x")).select("a", "x.lead", "x.lacks")
-    led = pairs.join(lead, "a", "left")
-    direct = led.where("lead is null or lead = b").select("a", "b")
-    led = led.where("lead is not null and lead != b")
-    heads = led.select(F.col("lead").alias("a"), "b").distinct()
-    known = _verified(heads, core).select(F.col("a").alias("lead"), "b", F.col("common").alias("of_lead"))
-    sizes = core.select(F.col("node").alias("a"), F.col("n").alias("n_a"))
-    others = core.select(F.col("node").alias("b"), F.col("n").alias("n_b"))
-    open_ = led.join(known, ["lead", "b"]).join(sizes, "a").join(others, "b")
-    upper = F.col("of_lead") + F.col("lacks")
-    open_ = open_.where((100 + percent) * upper >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
-    return _verified(direct.unionByName(open_), core)
+    both = answers.select("a", "b", "n_a", "n_b", "common").unionByName(answers.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("n_b").alias("n_a"), F.col("n_a").alias("n_b"), "common"))
+    near = F.struct(F.col("b").alias("lead"), (F.col("n_a") - F.col("common")).alias("lacks"), "n_a")
+    lead = both.where(100 * F.col("common") >= percent * F.col("n_a")).groupBy("a").agg(F.max_by(near, F.struct("common", "b")).alias("l")).select(F.col("a").alias("x"), "l")
+    led = pairs.join(lead.select(F.col("x").alias("a"), F.col("l").alias("l_a")), "a", "left").join(lead.select(F.col("x").alias("b"), F.col("l").alias("l_b")), "b", "left")
+    by_a = F.col("l_a").isNotNull() & (F.col("l_b").isNull() | (F.col("l_a.lacks") <= F.col("l_b.lacks")))
+    led = led.select("a", "b", F.when(by_a, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(by_a, F.col("b")).otherwise(F.col("a")).alias("y"), F.when(by_a, F.col("l_a")).otherwise(F.col("l_b")).alias("l"))
+    led = shared_table(led.select("a", "b", "x", "y", "l.lead", "l.lacks", F.col("l.n_a").alias("n_x")), "ngram-led")
+    direct = led.where("lead is null").select("a", "b")
+    led = led.where("lead is not null")
+    heads = led.select(F.col("lead").alias("a"), F.col("y").alias("b")).distinct()
+    fresh = shared_table(_verified(heads.join(both, ["a", "b"], "left_anti"), core), "ngram-heads")
+    known = fresh.unionByName(both.join(heads, ["a", "b"], "left_semi")).select(F.col("a").alias("k_lead"), F.col("b").alias("k_y"), F.col("n_b").alias("n_y"), F.col("common").alias("of_lead")).distinct()
+    met = led.join(known, (F.col("lead") == F.col("k_lead")) & (F.col("y") == F.col("k_y")))
+    open_ = met.where((100 + percent) * (F.col("of_lead") + F.col("lacks")) >= percent * (F.col("n_x") + F.col("n_y"))).select("a", "b")
+    new = _verified(direct.unionByName(open_), core)
+    turned = F.col("a") > F.col("b")
+    return new.unionByName(fresh.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(turned, F.col("n_b")).otherwise(F.col("n_a")).alias("n_a"), F.when(turned, F.col("n_a")).otherwise(F.col("n_b")).alias("n_b"), "common"))
