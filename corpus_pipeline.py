@@ -20,44 +20,44 @@ from wickerframe.llm.shared import shared_table
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold; the model learns from the training fold's labels. Documents with a
     null or empty text score low and stay; repeated rows are judged alike."""
-    scored = toxicity.score(docs, q.toxicity_model(docs, sf_dir), name="toxicity_score")
-    return scored.where(F.col("toxicity_score") < toxicity.THRESHOLD).drop("toxicity_score")
+    scored = toxicity.score(docs, q.toxicity_model(docs, sf_dir), name="_wf_toxicity_score")
+    return scored.where(F.col("_wf_toxicity_score") < toxicity.THRESHOLD).drop("_wf_toxicity_score")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts: the one with the smallest id. Of repeated rows one stays; of a
     group without ids, one row stays as well."""
-    verdicts = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("k_id"), F.col("text_sha256").alias("k_sha"))
+    verdicts = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_wf_k_id"), F.col("text_sha256").alias("_wf_k_sha"))
     return _keep_once(docs, verdicts)
 
 
 def _keep_once(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """The rows of docs whose id and text are listed, each listed pair once."""
-    own = docs.withColumn("k_own", F.sha2(normalised(F.col("text")), 256))
+    own = docs.withColumn("_wf_k_own", F.sha2(normalised(F.col("text")), 256))
     # Ids are compared with null as a value; the digest tells rows apart that repeat an id.
-    found = own.join(kept, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("k_own") == F.col("k_sha")), "left_semi")
+    found = own.join(kept, F.col("doc_id").eqNullSafe(F.col("_wf_k_id")) & (F.col("_wf_k_own") == F.col("_wf_k_sha")), "left_semi")
     found = shared_table(found, "pipeline-kept")
-    repeated = found.groupBy("doc_id", "k_own").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    repeated = found.groupBy("doc_id", "_wf_k_own").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     if repeated.isEmpty():
-        return found.drop("k_own")
-    return found.dropDuplicates(["doc_id", "k_own"]).drop("k_own")
+        return found.drop("_wf_k_own")
+    return found.dropDuplicates(["doc_id", "_wf_k_own"]).drop("_wf_k_own")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked documents: the one with the smallest id. Documents without words link
-    with nothing and stay, and so do rows without an id that are linked to none with one."""
+    with nothing and stay, and so do rows without an id. Rows that share an id count as one document."""
     verdicts = jaccard_components(docs.select("doc_id", "text"))
-    gone = verdicts.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("g_id"))
-    return docs.join(gone, F.col("doc_id") == F.col("g_id"), "left_anti")
+    gone = verdicts.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("_wf_g_id"))
+    return docs.join(gone, F.col("doc_id") == F.col("_wf_g_id"), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, whole: the document at a budget's edge is taken if that comes
     nearer to its source's target. Documents without words have no size and are not taken."""
     taken = mix(docs, cut_last=False)
-    times = taken.where("taken > 0").select(F.col("doc_id").alias("t_id"), (F.col("taken") / F.col("size")).cast("int").alias("times")).groupBy("t_id").agg(F.max("times").alias("times"))
-    joined = docs.join(times, F.col("doc_id").eqNullSafe(F.col("t_id")))
-    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("times"))).alias("mix_copy")).drop("mix_copy")
+    times = taken.where("taken > 0").select(F.col("doc_id").alias("_wf_t_id"), (F.col("taken") / F.col("size")).cast("int").alias("_wf_times")).groupBy("_wf_t_id").agg(F.max("_wf_times").alias("_wf_times"))
+    joined = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_wf_t_id")))
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_wf_times"))).alias("_wf_mix_copy")).drop("_wf_mix_copy")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
