@@ -14,9 +14,8 @@ SEARCH, ACCEPT, REFINE = 0.05, 0.04, 0.02
 
 def config_grid(spark: SparkSession, workers: int = WORKERS, threads: int = THREADS, largest: int = LARGEST) -> DataFrame:
     """All configurations: a few hundred rows whatever the data."""
-    nw = spark.range(1, workers + 1).select(F.col("id").cast("int").alias("nw"))
-    batch = spark.range(1, largest // threads + 1).select((F.col("id") * threads).cast("int").alias("batch"))
-    return nw.crossJoin(batch)
+    nw = spark.range(1, workers + 1, 1, 1).select(F.col("id").cast("int").alias("nw"))
+    return nw.withColumn("batch", F.explode(F.sequence(F.lit(threads), F.lit(largest), F.lit(threads))))
 
 
 def miss(thr: Column, goal: Column | float) -> Column:

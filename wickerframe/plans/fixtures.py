@@ -75,10 +75,10 @@ def configs(spark: SparkSession) -> DataFrame:
 
 def runs(spark: SparkSession) -> DataFrame:
     """Benchmark runs: device x window x slide x configuration, results per second."""
-    d = spark.createDataFrame([("cpu", 1.0), ("gpu", 7.3)], "device string, factor double")
-    w = spark.createDataFrame([(10000,), (25000,), (50000,)], "w int")
-    s = spark.createDataFrame([(5,), (25,), (100,)], "s int")
-    r = spark.createDataFrame([(1,), (2,), (3,)], "run int")
-    n = spark.createDataFrame([(8,), (9,), (10,), (11,)], "nw int")
+    each = lambda *v: F.explode(F.array(*[F.lit(x) for x in v]))
+    grid = spark.range(0, 1, 1, 1).select(each("cpu", "gpu").alias("device"))
+    for name, values in (("w", (10000, 25000, 50000)), ("s", (5, 25, 100)), ("run", (1, 2, 3)), ("nw", (8, 9, 10, 11))):
+        grid = grid.withColumn(name, each(*values))
+    grid = grid.withColumn("factor", F.when(F.col("device") == "cpu", 1.0).otherwise(7.3))
     rate = F.col("factor") * 1000000.0 / F.col("w") * (1 + (F.col("run") * 5 + F.col("nw") * 3 + F.col("s")) % 7 / 10.0)
-    return d.crossJoin(w).crossJoin(s).crossJoin(r).crossJoin(n).select("device", "w", "s", "run", "nw", rate.alias("results_per_sec"))
+    return grid.select("device", "w", "s", "run", "nw", rate.alias("results_per_sec"))

@@ -21,7 +21,7 @@ from . import fixtures as fx
 #: Rows of a window and of its slide; a small slide; a tumbling window; workers and windows of a batch.
 W, S, SMALL_S, TUMBLING, WORKERS, BATCH = 100, 30, 5, 64, 4, 4
 BATCHES = [384 * k for k in range(1, 16)]
-GOAL = 20000.0
+GOAL = 6000.0
 
 _found: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -450,7 +450,7 @@ def interdep_sample(spark, sf):
 
 def _stream(spark, sf) -> DataFrame:
     path = f"{sf}/events.parquet"
-    e = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    e = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     return fx.quote_columns(fx.event_columns(e))
 
 

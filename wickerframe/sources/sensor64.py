@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Little-endian: two int32, a float64, eleven int32, four bytes of padding. (fixed values)
-RECORD = struct.Struct("<iid11i4x")
+RECORD = "<iid11i4x"
 INTS = ("x", "y", "z", "v", "a", "vx", "vy", "vz", "ax", "ay", "az")
 SIZE = 64
 
@@ -57,7 +57,7 @@ def pack(points: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([RECORD.pack(*r.values()) for r in b.to_pylist()], pa.binary())], names=["record"])
+            yield pa.RecordBatch.from_arrays([pa.array([struct.pack(RECORD, *r.values()) for r in b.to_pylist()], pa.binary())], names=["record"])
 
     return points.select(*names).mapInArrow(run, "record binary")
 
