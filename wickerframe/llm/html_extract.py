@@ -55,6 +55,7 @@ FEW_STOPS, MANY_STOPS, LONG = 0.05, 0.15, 25
 
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"<]*\"|'[^'<]*')*+)>)", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+_CUT_TAG = re.compile(r"<[a-zA-Z/!?][^<>]*\Z")  # the page ends inside a tag
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -137,7 +138,7 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag == "br":
             now.parts.append(" ")
-        if tag in _VOID or m[3].endswith("/"):
+        if tag in _VOID:
             if tag == "hr":
                 close()
             continue
@@ -157,7 +158,7 @@ def blocks(page: str) -> list[Block]:
             links += 1
         if tag in _BLOCK or changes:
             close()
-    text(page[at:] if not page.startswith("<", at) else "")
+    text(_CUT_TAG.sub("", page[at:]))
     close()
     return out
 
@@ -193,6 +194,13 @@ def settle(found: list[Block]) -> None:
     that do not stand outside are the article."""
     n = len(found)
     size = [len(b.text.split()) for b in found]
+
+    def passed(k: int, last: tuple[bool, int] | None) -> tuple[bool, int] | None:
+        b = found[k]
+        if b.label is not None and not (b.inside and b.outside):  # a menu inside the article says nothing of it
+            return b.label, 0
+        return last and (last[0], last[1] + size[k])
+
     before: list[tuple[bool, int] | None] = [None] * n
     after: list[tuple[bool, int] | None] = [None] * n
     last: tuple[bool, int] | None = None
@@ -200,13 +208,13 @@ def settle(found: list[Block]) -> None:
         if k and found[k].inside != found[k - 1].inside:  # neighbours across the article's edge say nothing
             last = None
         before[k] = last
-        last = (found[k].label, 0) if found[k].label is not None else last and (last[0], last[1] + size[k])
+        last = passed(k, last)
     last = None
     for k in range(n - 1, -1, -1):
         if k + 1 < n and found[k].inside != found[k + 1].inside:
             last = None
         after[k] = last
-        last = (found[k].label, 0) if found[k].label is not None else last and (last[0], last[1] + size[k])
+        last = passed(k, last)
     for k, b in enumerate(found):
         if b.label is None:
             x, y = before[k], after[k]

@@ -102,4 +102,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     df = df.withColumn("lost_words", F.col("n_words") - n_words(F.col("clean_text"))).withColumn("base_failed", failed)
     kept = ~F.col("base_failed") & (F.col("lost_words") <= LOST_SHARE * F.col("n_words"))
-    return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "lost_words", "clean_text")
+    # A filter on the result must not be pushed down: it would be rewritten in terms of the text, with the sorted
+    # windows inlined into what is done for each window. Predicates do not pass a generator.
+    row = F.struct("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "lost_words", "clean_text")
+    return df.select(F.explode(F.array(row)).alias("row")).select("row.*")
