@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WORD, n_words, text_of
+from .shared import WORD, bounded_sample, n_words, text_of
 
 #: Documents the scorer is trained on, at most (smallest hashes of their ids); its hashed dimensions.
 MOST_ROWS, DIMENSIONS = 8000, 1 << 12
@@ -127,7 +127,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_ro
             got = [features(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.list_(pa.int32())), pa.array([v for _, v in got], pa.list_(pa.float64())), *batch.columns[1:]], names=["k", "v", *names])
 
-    sample = rows.select("t", F.xxhash64("id", "t").alias("h")).orderBy("h").limit(most_rows)
+    sample = bounded_sample(rows, most_rows, "id", "t")
     cells = sample.select("t", *[v.alias(k) for k, v in voted.items()]).mapInArrow(run, "k array<int>, v array<double>, " + ", ".join(f"{k} int" for k in names)).collect()
     y = np.array([posterior.get(tuple(r[k] for k in names), 0.5) for r in cells])
     at = np.concatenate([np.full(len(r.k), n) for n, r in enumerate(cells)]).astype(np.int64)

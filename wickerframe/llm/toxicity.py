@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import shared_table, text_of, without
+from .shared import bounded_sample, shared_table, text_of, without
 
 #: Labelled rows the model is fitted on, at most: those with the smallest hash of their id.
 MOST_ROWS = 20_000
@@ -124,7 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     features that were chosen.
     """
     good = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("l_id"), F.col(label_col).cast("int").alias("y"))
-    sample = good.orderBy(F.xxhash64("l_id"), "l_id", "y").limit(most_rows)
+    sample = bounded_sample(good, most_rows, "l_id")
     rows = docs.select(F.col(id_col).alias("d_id"), text_of(F.col(text_col)).alias("t")).join(F.broadcast(sample), F.col("d_id") == F.col("l_id"))
     rows = rows.select(F.xxhash64("d_id", "t").alias("row"), "y", "t")
     found = shared_table(_sample_features(rows), "toxicity-sample")
