@@ -32,9 +32,9 @@ from .shared import shared_table, text_of
 #: Share of a hundred that the similarity takes, and words of a shingle.
 PERCENT, WORDS = 75, 5
 #: Bytes of text hashed at once, and shingles a map task holds before it sends them on.
-HASH_BYTES, CHUNK = 2 << 20, 3 << 20
+HASH_BYTES, CHUNK = 1 << 20, 3 << 19
 #: Shingles a bucket of the counting pass aims at (by an upper bound on their number), and the most buckets.
-BUCKET, MOST_BUCKETS = 1 << 24, 1 << 20
+BUCKET, MOST_BUCKETS = 1 << 23, 1 << 20
 #: Members of a list's largest component that the list's other entries meet, by round, before they meet all.
 LEADERS = (8, 64)
 
@@ -144,10 +144,10 @@ def _chunks(batches, words: int):
     ids, nodes, sizes, seat, tokens, owners, held = [], [], [], {}, [], [], 0
     for batch in batches:
         column = batch.column(1).cast(pa.large_binary())
-        for start in range(0, batch.num_rows, 256):
-            texts = column.slice(start, 256).to_pylist()
+        for start in range(0, batch.num_rows, 128):
+            texts = column.slice(start, 128).to_pylist()
             flat, offsets = shingle_sets(texts, words)
-            ids += batch.column(0).slice(start, 256).to_pylist()
+            ids += batch.column(0).slice(start, 128).to_pylist()
             for a, b in zip(offsets[:-1], offsets[1:]):
                 node = _set_hash(flat[a:b])
                 nodes.append(node)
