@@ -232,6 +232,18 @@ def test_generators(spark):
     assert abs(blocks.gap_usec.mean() / 1e5 - 1) < 0.1
 
 
+def test_distribution_file(spark, tmp_path):
+    (tmp_path / "d.txt").write_text("3 2\n0 0.5 0.25 0.25\n10.5 0.1 0.2 0.7\n")
+    got = sorted((r.at, r.probabilities) for r in generators.read_distribution(spark, str(tmp_path / "d.txt")).collect())
+    assert got == [(0.0, [0.5, 0.25, 0.25]), (10.5, [0.1, 0.2, 0.7])]
+
+
+def test_tuner_log(spark, tmp_path):
+    steps = spark.createDataFrame([(1, 384, 10.0, 9.0)], "nw int, batch int, measured double, expected double")
+    tuner.write_log(steps, str(tmp_path / "log"))
+    assert spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "log")).first().error == "0.1"
+
+
 def test_tuner():
     order_ = list(tuner.exploration())
     assert len(order_) == len(set(order_)) == 150 and set(order_[:4]) == {(1, 1), (10, 15), (1, 15), (10, 1)}

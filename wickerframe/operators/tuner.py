@@ -28,6 +28,23 @@ def target_config(configs: DataFrame, goal: float, tolerance: float = SEARCH) ->
     return configs.where(miss(F.col("thr"), goal) <= tolerance).orderBy("nw", "batch").limit(1)
 
 
+def accepted(configs: DataFrame, goal: float, tolerance: float = ACCEPT) -> DataFrame:
+    """Configurations whose measured throughput is the goal within the tolerance, on either side."""
+    return configs.where(F.abs(F.col("thr") - goal) / goal <= tolerance)
+
+
+def partial_grid(spark: SparkSession, share: float = 0.2, seed: int = 1) -> DataFrame:
+    """The configurations an exhaustive search samples: about a share of the grid, the same ones for a seed."""
+    from ..sources.generators import uniform
+
+    return config_grid(spark).where(uniform(F.concat_ws(":", "nw", "batch"), seed) < share)
+
+
+def write_log(steps: DataFrame, path: str) -> None:
+    """A tuner's measurements (nw, batch, measured, expected) as tab-separated text with a header."""
+    steps.withColumn("error", F.abs(F.col("measured") - F.col("expected")) / F.col("measured")).write.mode("error").option("sep", "\t").option("header", True).csv(path)
+
+
 def best_config(configs: DataFrame) -> DataFrame:
     """The configuration of highest throughput; of equals the smallest."""
     best = F.max_by(F.struct("nw", "batch", "thr"), F.struct("thr", -F.col("nw"), -F.col("batch"))).alias("b")

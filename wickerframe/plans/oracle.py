@@ -199,6 +199,8 @@ select type, bucket, n, round(mean, 6) as thr_mean, round(cv, 6) as thr_cv, roun
         "results_per_sec": f"with {_RESULTS} select type, count(*) as results, round(count(*) / ((max(timestamp) - min(timestamp)) / 1000.0::double), 6) as results_per_sec from res group by type",
         "config_grid": f"with {_CONFIGS} select nw, batch from conf",
         "target_config": f"with {_CONFIGS} select nw, batch, thr from conf where abs(least(thr, {GOAL}) - {GOAL}) / {GOAL} <= 0.05 order by nw, batch limit 1",
+        "accepted_configs": f"with {_CONFIGS} select nw, batch, thr from conf where abs(thr - {GOAL}) / {GOAL} <= 0.04",
+        "partial_grid": f"with {_CONFIGS}, id as (select nw, batch, nw || ':' || batch as id from conf) select nw, batch from id where {_u(1)} < 0.2::double",
         "best_config": f"with {_CONFIGS} select nw, batch, thr from conf order by thr desc, nw, batch limit 1",
         "best_neighbor": f"""with {_CONFIGS}, n as (select a.nw, a.batch, b.nw as n_nw, b.batch as n_batch, b.thr as n_thr, row_number() over (partition by a.nw, a.batch order by b.thr desc, b.nw, b.batch) as k
 from conf a join conf b on a.nw - b.nw between 0 and 1 and a.batch - b.batch in (0, 384) and (a.nw <> b.nw or a.batch <> b.batch)) select nw, batch, n_nw, n_batch, n_thr from n where k = 1""",

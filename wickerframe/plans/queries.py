@@ -326,6 +326,16 @@ def target_config(spark, sf):
     return tuner.target_config(fx.configs(spark), GOAL).select("nw", "batch", "thr")
 
 
+@_query
+def accepted_configs(spark, sf):
+    return tuner.accepted(fx.configs(spark), GOAL).select("nw", "batch", "thr")
+
+
+@_query
+def partial_grid(spark, sf):
+    return tuner.partial_grid(spark)
+
+
 @_query
 def best_config(spark, sf):
     return tuner.best_config(fx.configs(spark))
@@ -455,8 +465,11 @@ def _stream(spark, sf) -> DataFrame:
 
 
 def _folder(spark) -> str:
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="wickerframe-stream-")
-    return f"{root}/stream-{uuid.uuid4().hex[:12]}"
+    """A folder for a stream's state and output: in the one all executors share, or a local session's own."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{root or 'file://' + tempfile.mkdtemp(prefix='wickerframe-stream-')}/stream-{uuid.uuid4().hex[:12]}"
 
 
 @_query

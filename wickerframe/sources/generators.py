@@ -47,6 +47,14 @@ def categorical(u: Column, probabilities: list[float]) -> Column:
     return F.lit(0) if out is None else out.otherwise(F.lit(len(probabilities) - 1))
 
 
+def read_distribution(spark: SparkSession, path: str) -> DataFrame:
+    """Key distributions over time from a text file: a line "classes distributions", then for each distribution a line
+    of its start time and the probability of each class. Columns: at, probabilities. Other lines are skipped."""
+    cells = F.split(F.trim("value"), r"\s+")
+    lines = spark.read.text(path).select(F.transform(cells, lambda x: x.try_cast("double")).alias("c"))
+    return lines.where((F.size("c") > 2) & ~F.exists("c", lambda x: x.isNull())).select(F.col("c")[0].alias("at"), F.slice("c", F.lit(2), F.size("c") - 1).alias("probabilities"))
+
+
 def arrivals(spark: SparkSession, n: int, rate: float, model: str = "exponential", seed: int = 1, block: int = 1 << 16) -> DataFrame:
     """id, gap_usec and timestamp_usec of n arrivals at `rate` a second: exponential, normal (deviation a tenth) or
     fixed gaps. Timestamps are running sums taken block by block and shifted by the blocks before."""
