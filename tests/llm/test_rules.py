@@ -129,6 +129,8 @@ SENTENCE = "It was the best of times for the people of the town, and it was not
         (f"<p>{SENTENCE}</p><form>{SENTENCE}<input></form><aside>{SENTENCE}</aside><script>if (a<b) '</p>'</script><style>p{{}}</style><!-- {SENTENCE} -->", SENTENCE),
         (f"<p>{SENTENCE}</p><ul><li><a href=x>{SENTENCE}</a></li></ul>", SENTENCE),
         (f"<article><p>{SENTENCE}</p><div class='comment-list'><p>{SENTENCE}</p></div></article>", SENTENCE),
+        (f"<div class='site-header'>{SENTENCE}</div><div class='article-body'><p>Zzz zzz qqq xx yy ww vv uu tt ss rr pp oo.</p></div><div id=sideNav>{SENTENCE}</div>", "Zzz zzz qqq xx yy ww vv uu tt ss rr pp oo."),
+        (f"<div class='post'><p>{SENTENCE}</p></div><section class=userComments><p>{SENTENCE}</p></section><div class=notice>{SENTENCE}</div>", SENTENCE),
         ("<article><p>a < b and c <d", "a < b and c"),
         ("<p>" * 3000 + "x", "x"),
     ],

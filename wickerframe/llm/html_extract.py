@@ -47,6 +47,10 @@ _NAMES = frozenset(
     respond search share sharing sidebar signup social sponsor sponsored subscribe subscription teaser toolbar widget
     """.split()
 )
+#: Beginnings of such words where they are written together (sidebar, navlinks, commentList). (fixed values)
+_BEGINNINGS = ("advert", "adbox", "adslot", "breadcrumb", "comment", "cookie", "nav", "menu", "newsletter", "promo", "sidebar", "sidenav", "sponsor")
+#: A class or id that names the article itself.
+_ARTICLE = re.compile(r"(?:^|[\s_-])(?:article|story)(?:$|\s)|(?:article|story|entry|post)[_-]?(?:body|content|text)(?:$|[\s])", re.I)
 _COMMENT_HEADS = frozenset("comments comment replies responses kommentare kommentar commentaires commentaire comentarios comentario".split())
 
 #: Words of a short block; link share, stop-word shares and words that decide a block.
@@ -86,11 +90,22 @@ def _excluded(tag: str, attributes: str, in_article: bool) -> bool:
             return True
         if name in ("class", "id") and tag not in ("html", "body", "main"):
             for word in _NAME.findall(value):
-                if word.lower() in _NAMES:
+                low = word.lower()
+                if low in _NAMES or low.startswith(_BEGINNINGS) or low.endswith(("nav", "menu")):
+                    return True
+                if low in ("header", "topbar") and not in_article:
                     return True
     return False
 
 
+def _is_article(tag: str, attributes: str) -> bool:
+    if tag in ("article", "main"):
+        return True
+    if tag not in ("div", "section", "td"):
+        return False
+    return any(n.lower() in ("class", "id") and _ARTICLE.search(v.strip("\"'")) for n, v in _ATTRIBUTE.findall(attributes))
+
+
 def blocks(page: str) -> list[Block]:
     """Blocks with text, in page order. Every tag is read once; unclosed and stray tags are tolerated."""
     out: list[Block] = []
@@ -150,7 +165,7 @@ def blocks(page: str) -> list[Block]:
         if tag in ("article", "main") and stack and stack[-1][0] in ("nav", "header"):
             stack.pop()  # never closed
         _, outside, inside = stack[-1] if stack else ("", False, False)
-        inside = inside or tag in ("article", "main")
+        inside = inside or _is_article(tag, m[3])
         excluded = outside or _excluded(tag, m[3], inside)
         changes = (excluded, inside) != (stack[-1][1:] if stack else (False, False))
         stack.append((tag, excluded, inside))
