@@ -399,6 +399,8 @@ def _link(sets: DataFrame, percent: int) -> DataFrame:
         here = entries.join(labels, "node")
         per = here.groupBy("t", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("t").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"), F.count(F.lit(1)).alias("k"))
         here = shared_table(here.join(per.where("k > 1").select(F.col("t").alias("p_t"), "major"), F.col("t") == F.col("p_t")).drop("p_t"), "ngram-mixed")
+        if here.isEmpty():
+            break
         minor = other(here.where("comp != major"), "t")
         if leaders is None:
             facing = here
@@ -411,6 +413,8 @@ def _link(sets: DataFrame, percent: int) -> DataFrame:
         met = facing.join(minor, F.col("t") == F.col("o_t")).where(apart & fits & once)
         pairs = met.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct()
         pairs = shared_table(pairs.join(answers.select("a", "b"), ["a", "b"], "left_anti"), "ngram-pairs")
+        if pairs.isEmpty():
+            continue
         new = shared_table(_derived(pairs, answers, core, percent), "ngram-answers")
         answers = answers.unionByName(new)
         labels = shared_table(components(labels, linked(new)), "ngram-labels")
