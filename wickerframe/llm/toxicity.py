@@ -21,8 +21,9 @@ from .shared import bounded_sample, shared_table, text_of, without
 MOST_ROWS = 20_000
 #: Features the model has, at most, and rows of the sample that must have a feature.
 MOST_FEATURES, LEAST_ROWS = 4096, 3
-#: Log-likelihood ratio a feature must have; only features of toxic texts are fitted.
-LEAST_GAIN = 6.0
+#: Log-likelihood ratio a feature must have, and share of the texts with it that must be toxic: words that merely lean
+#: that way would add up in long texts.
+LEAST_GAIN, LEAST_SHARE = 8.0, 0.6
 #: Weight of the penalty on a swap, and of the squared weights.
 SWAP_PENALTY, RIDGE = 4.0, 0.001
 THRESHOLD = 0.7
@@ -139,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     k, n = F.col("k").cast("double"), F.col("n").cast("double")
     part = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(F.lit(0.0))
     gain = part(k, n * rate) + part(n - k, n * (1 - rate))
-    chosen = counts.where((k > n * rate) & (gain > LEAST_GAIN)).orderBy(gain.desc(), "f").limit(MOST_FEATURES).select("f").collect()
+    chosen = counts.where((k > n * F.greatest(F.lit(rate), F.lit(LEAST_SHARE))) & (gain > LEAST_GAIN)).orderBy(gain.desc(), "f").limit(MOST_FEATURES).select("f").collect()
     swapped = found.select(F.explode(F.arrays_zip("term", "other")).alias("s")).groupBy("s.term", "s.other").agg(F.count(F.lit(1)).alias("n")).collect()  # at most two a term
     columns = {f: i for i, f in enumerate(sorted({r.f for r in chosen} | {r.term for r in swapped} | {r.other for r in swapped}))}
     wanted = found.sparkSession.createDataFrame([(f, i) for f, i in columns.items()], "g int, i int")
@@ -165,7 +166,7 @@ def _train(columns: dict[int, int], filled: list, total: int, blank_ones: int, s
     swappable = np.zeros(d, bool)
     swappable[np.concatenate([swap_a, swap_b])] = True
     m, v = np.zeros(d + 1), np.zeros(d + 1)
-    for turn in range(1, 401):
+    for turn in range(1, 1001):
         z = b + np.bincount(at, w[col], len(y))
         p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
         p0 = 1 / (1 + np.exp(-np.clip(b, -40, 40)))
