@@ -75,6 +75,15 @@ def test_quality_model(spark):
     assert quality_model.quality(odd.limit(0), blank).count() == 0
 
 
+def test_bounded_sample(spark):
+    from wickerframe.llm.shared import bounded_sample
+
+    df = spark.range(5000)
+    got = sorted(r.id for r in bounded_sample(df, 100, "id").collect())
+    assert len(got) == 100 and got == sorted(r.id for r in bounded_sample(df.repartition(7), 100, "id").collect())
+    assert bounded_sample(df, 6000, "id").count() == 5000 and bounded_sample(df.limit(0), 5, "id").count() == 0
+
+
 def test_em_finds_accuracies():
     rng = np.random.default_rng(1)
     good = rng.random(20000) < 0.8

@@ -40,11 +40,6 @@ def _lines_with_words(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
 
 
-def _n_dup_lines(text: Column) -> Column:
-    lines = _lines_with_words(text)
-    return (F.size(lines) - F.size(F.array_distinct(lines))).cast("long")
-
-
 def line_fails(line: Column) -> Column:
     """Whether a line with a word fails a rule.
 
