@@ -110,6 +110,38 @@ def test_line_dedup(spark):
     assert line_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def literal_long_lines(rows, run=3, long_words=50):
+    """Lines with words that stand in a run of `run` lines, or of fewer with long_words words, which an equal run precedes."""
+    kept, seen = {}, set()
+    for d, t in sorted(rows):
+        content = [(p, tuple(brute.words(x))) for p, x in enumerate((t or "").split("\n")) if brute.words(x)]
+        gone = set()
+        for a in range(len(content)):
+            for k in range(1, run + 1):
+                part = content[a : a + k]
+                if len(part) == k and (k == run or sum(len(w) for _, w in part) >= long_words):
+                    key = tuple(w for _, w in part)
+                    if key in seen:
+                        gone.update(p for p, _ in part)
+                    seen.add(key)
+        kept[d] = (len(content), len(gone), "\n".join(x for p, x in enumerate(t.split("\n")) if p not in gone) if gone else t)
+    return kept
+
+
+def test_line_dedup_long_lines(spark):
+    """Passages of 50 words and more on one or two lines go as well, also from documents of a single line."""
+    long, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(49))
+    half, rest = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(20))
+    texts = [long, long, f"x\n  {long}\ny", f"{long}\n{rest}", f"p\n{long}\n{rest}\nq", other, other, f"{half}\n{rest}", f"x\n{half}\n\n{rest}\nz", half, f"{long}\n{long}\n{long}", f"{half}\n{rest}\nx\n{half}\n{rest}", None, "", f"{rest}\n{half}", f"{rest}\n{half}", f"a\nb\nc\n{long}", "z\na\nb\nc"]
+    rows = [(10 * i, t) for i, t in enumerate(texts)]
+    df = clashing(spark, rows).repartition(3)
+    got = {r.doc_id: (r.n_lines, r.n_deleted, r.clean_text) for r in line_dedup(df).collect()}
+    assert got == literal_long_lines(rows)
+    assert got[10] == (1, 1, "") and got[60] == (1, 0, other) and got[80][1] == 2
+    got = {r.doc_id: (r.n_lines, r.n_deleted, r.clean_text) for r in line_dedup(df, long_words=None).collect()}
+    assert got == literal_lines(rows)
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_oracle(spark, sf, name):
     """Registered queries against their SQL."""

@@ -3,7 +3,8 @@
 Lines are hashed, hashes of GRAM consecutive lines are winnowed (the smallest of each WINDOW of them is a
 fingerprint), places with a common fingerprint meet the first one with the same lines around it, matches are extended
 line by line in both directions, and runs of at least GRAM + WINDOW - 1 lines that an earlier place has are deleted. Winnowing guarantees that any
-repeated run of that length shares a fingerprint with each of its copies.
+repeated run of that length shares a fingerprint with each of its copies. Shorter runs of LONG_WORDS words or more
+are fingerprints themselves.
 """
 
 from __future__ import annotations
@@ -11,9 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACE, shared_table, text_of
+from .shared import SPACE, n_words, shared_table, text_of
 
 GRAM, WINDOW = 2, 2
+#: Words from which a run counts however few its lines are.
+LONG_WORDS = 50
 
 
 def _fingerprints(grams: Column, window: int) -> Column:
@@ -24,7 +27,16 @@ def _fingerprints(grams: Column, window: int) -> Column:
     return F.array_distinct(places)
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, window: int = WINDOW) -> DataFrame:
+def _long_runs(lines: DataFrame, run: int, long_words: int) -> DataFrame:
+    """Runs of under `run` lines that have long_words words, each its own fingerprint and context."""
+    n = F.size("lines")
+    of = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - (k - 1))), lambda a: F.struct(a.alias("at"), F.lit(k).alias("span"), F.xxhash64(F.lit(k), F.slice("lines", a, k)).alias("key")))
+    words = lambda c: F.aggregate(F.slice("sizes", c["at"], c["span"]), F.lit(0), lambda a, x: a + x)
+    found = F.filter(F.concat(*[of(k) for k in range(1, run)]), lambda c: (c["at"] + c["span"] - 1 <= n) & (words(c) >= long_words))
+    return lines.select("doc", F.explode(found).alias("c")).select(F.col("c.key").alias("f"), "doc", F.array("c").alias("context"))
+
+
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, window: int = WINDOW, long_words: int | None = LONG_WORDS) -> DataFrame:
     """One row per input row: doc_id, n_lines, n_deleted, clean_text.
 
     Lines are the parts of a text between newlines that hold a word; they are compared with the white space at
@@ -32,7 +44,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of a repeated fingerprint is matched with the first place that has the same gram + window - 1 lines around it;
     the match is extended up and down while the lines are equal, and the later place's lines are deleted (a run
     that repeats within one document as well; the earlier place stays). So exactly the lines go that stand
-    in a run of gram + window - 1 lines which an equal run precedes anywhere in the corpus. Lines without a word, and all others, stay as they are.
+    in a run of gram + window - 1 lines, or of fewer lines with long_words words together, which an equal run precedes
+    anywhere in the corpus. Without long_words (None) only the number of lines counts. Lines without a word, and all others, stay as they are.
     A document that loses nothing keeps its text as it is; a null text stays null and has no lines. Rows with a null
     id are left as they are. Rows that repeat an id are told apart by their text; of equal rows with one id nothing
     is deleted on the other's account. Empty tables give empty results; other columns are not read.
@@ -45,8 +58,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     raw = F.split(text_of("text"), "\n")
     clean = F.transform(raw, lambda x: F.regexp_replace(F.regexp_replace(x, f"^{SPACE}+|{SPACE}+$", ""), f"{SPACE}+", " "))
     hashed = source.withColumn("all", F.transform(clean, lambda x: F.when(x != "", F.xxhash64(x))))
-    lines = hashed.where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("v"), F.filter("all", lambda h: h.isNotNull()).alias("lines")).where(F.size("lines") >= gram)
-    lines = lines.withColumn("doc", F.struct("doc_id", "v")).select("doc", "lines").dropDuplicates(["doc"])
+    sizes = [] if long_words is None else [F.filter(F.transform(F.split(text_of("text"), "\n"), lambda x: n_words(x).cast("int")), lambda k: k > 0).alias("sizes")]
+    lines = hashed.where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("v"), F.filter("all", lambda h: h.isNotNull()).alias("lines"), *sizes)
+    enough = F.size("lines") >= gram
+    lines = lines.where(enough if long_words is None else enough | (F.aggregate("sizes", F.lit(0), lambda a, x: a + x) >= long_words))
+    lines = lines.withColumn("doc", F.struct("doc_id", "v")).select("doc", "lines", *[c for c in lines.columns if c == "sizes"]).dropDuplicates(["doc"])
     lines = shared_table(lines, "line-hashes")
 
     n = F.size("lines")
@@ -54,24 +70,26 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     run = gram + window - 1
     # A fingerprint's contexts: the runs of lines around it that are long enough to be deleted.
     starts = lambda i: F.filter(F.transform(F.array(*[F.lit(o) for o in range(window)]), lambda o: i - o), lambda a: (a >= 1) & (a + run - 1 <= n))
-    context = F.transform(starts(F.col("i")), lambda a: F.struct(a.alias("at"), F.xxhash64(F.slice("lines", a, run)).alias("key")))
-    prints = lines.withColumn("grams", grams).select("doc", "lines", "grams", F.explode(_fingerprints(F.col("grams"), window)).alias("i"))
+    context = F.transform(starts(F.col("i")), lambda a: F.struct(a.alias("at"), F.lit(run).alias("span"), F.xxhash64(F.slice("lines", a, run)).alias("key")))
+    prints = lines.where(enough).withColumn("grams", grams).select("doc", "lines", "grams", F.explode(_fingerprints(F.col("grams"), window)).alias("i"))
     prints = prints.select(F.get("grams", F.col("i") - 1).alias("f"), "doc", context.alias("context"))
+    if long_words is not None:
+        prints = prints.unionByName(_long_runs(lines, run, long_words))
     often = prints.groupBy("f").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("f")
-    places = prints.join(often, "f").select("doc", F.explode("context").alias("c")).select("doc", "c.at", "c.key").distinct()
+    places = prints.join(often, "f").select("doc", F.explode("context").alias("c")).select("doc", "c.at", "c.span", "c.key").distinct()
     first = places.groupBy("key").agg(F.min(F.struct("doc", "at")).alias("o"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", F.col("o.doc").alias("o_doc"), F.col("o.at").alias("o_at"))
     met = places.join(first, "key").where((F.col("doc") != F.col("o_doc")) | (F.col("at") != F.col("o_at")))
-    diagonals = met.groupBy("doc", "o_doc", (F.col("at") - F.col("o_at")).alias("d")).agg(F.sort_array(F.collect_set("at")).alias("at"))
+    diagonals = met.groupBy("doc", "o_doc", (F.col("at") - F.col("o_at")).alias("d")).agg(F.collect_set(F.struct("at", "span")).alias("at"))
 
     mine = lines.select(F.col("doc").alias("m_doc"), F.col("lines").alias("mine"))
     theirs = lines.select(F.col("doc").alias("t_doc"), F.col("lines").alias("theirs"))
     pairs = diagonals.join(mine, F.col("doc") == F.col("m_doc")).join(theirs, F.col("o_doc") == F.col("t_doc"))
-    # Along the diagonal: where lines differ, and so the runs in between. A run counts if a fingerprint stands in it.
+    # Along the diagonal: where lines differ, and so the runs in between. A run counts if a match stands in it.
     low = F.greatest(F.lit(1), F.col("d") + 1)
     high = F.least(F.size("mine"), F.size("theirs") + F.col("d"))
     breaks = F.concat(F.array(low - 1), F.filter(F.sequence(low, high), lambda k: F.get("mine", k - 1) != F.get("theirs", k - F.col("d") - 1)), F.array(high + 1))
     runs = F.transform(F.slice("breaks", F.lit(1), F.size("breaks") - 1), lambda b, k: F.struct((b + 1).alias("lo"), (F.get("breaks", k + 1) - 1).alias("hi")))
-    kept_runs = F.filter(runs, lambda r: ((r["hi"] - r["lo"] + 1) >= run) & F.exists("at", lambda i: (i >= r["lo"]) & (i <= r["hi"])))
+    kept_runs = F.filter(runs, lambda r: F.exists("at", lambda i: (i["at"] >= r["lo"]) & (i["at"] + i["span"] - 1 <= r["hi"])))
     spans = pairs.withColumn("breaks", breaks).select("doc", F.explode(kept_runs).alias("r"))
     gone = spans.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("r.lo", "r.hi")))).alias("gone")).select(F.col("doc.doc_id").alias("g_id"), F.col("doc.v").alias("g_v"), "gone")
 

@@ -71,7 +71,8 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup(_table(spark, sf_dir, "documents"))
+    # The query's SQL counts lines only.
+    out = line_dedup(_table(spark, sf_dir, "documents"), long_words=None)
     return out.select("doc_id", "n_lines", "n_deleted", F.char_length("clean_text").cast("long").alias("n_chars_left"), F.sha2("clean_text", 256).alias("clean_sha256"))
 
 
