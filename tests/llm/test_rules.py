@@ -139,6 +139,17 @@ def test_pages(page, text):
     assert main_text(page) == text
 
 
+@pytest.mark.parametrize("attribute", ["href='/hidden-gems'", "title='The hidden valley'", 'data-hidden="false"', 'href="/p?id=menu"', "data-class=menu", "title='a class=menu'", "alt='role=alert' x"])
+def test_attribute_values_are_not_names(attribute):
+    for tag in ("a", "p", "h1", "div"):
+        assert "the river" in main_text(f"<article><p>{SENTENCE}</p><p>It runs along <{tag} {attribute}>the river</{tag}> to the sea.</p></article>")
+
+
+@pytest.mark.parametrize("attribute", ["hidden", "HIDDEN=''", "x=1 hidden", "style='color:red;display: none'", "role=alert", 'title="x" class="menu"', "aria-hidden=true", "id='menu' id='x'"])
+def test_excluding_attributes(attribute):
+    assert main_text(f"<article><p>{SENTENCE}</p><div {attribute}>{SENTENCE}</div></article>") == SENTENCE
+
+
 def test_extraction(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     for r in extract(pages).join(pages, "page_id").collect():

@@ -58,7 +58,8 @@ SHORT, LINKED = 10, 0.35
 FEW_STOPS, MANY_STOPS, LONG = 0.05, 0.15, 25
 
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"<]*\"|'[^'<]*')*+)>)", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s/=>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+_READ = frozenset("class id role hidden aria-hidden style".split())
 _CUT_TAG = re.compile(r"<[a-zA-Z/!?][^<>]*\Z")  # the page ends inside a tag
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -75,13 +76,19 @@ class Block:
         self.text = ""
 
 
-def _excluded(tag: str, attributes: str, in_article: bool) -> bool:
+def _attributes(raw: str) -> dict[str, str]:
+    """The attributes that count, by lower-case name; of repeated ones the first. Values are read whole, so nothing inside one is a name."""
+    found: dict[str, str] = {}
+    for name, value in _ATTRIBUTE.findall(raw):
+        if (name := name.lower()) in _READ:
+            found.setdefault(name, value.strip("\"'"))
+    return found
+
+
+def _excluded(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
     if tag in _OUTSIDE or (tag == "header" and not in_article):
         return True
-    if not attributes:
-        return False
-    for name, value in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'")
+    for name, value in attributes.items():
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
             return True
         if name == "role" and value.lower() in _ROLES:
@@ -98,12 +105,12 @@ def _excluded(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
-def _is_article(tag: str, attributes: str) -> bool:
+def _is_article(tag: str, attributes: dict[str, str]) -> bool:
     if tag in ("article", "main"):
         return True
     if tag not in ("div", "section", "td"):
         return False
-    return any(n.lower() in ("class", "id") and _ARTICLE.search(v.strip("\"'")) for n, v in _ATTRIBUTE.findall(attributes))
+    return any(_ARTICLE.search(attributes.get(n, "")) for n in ("class", "id"))
 
 
 def blocks(page: str) -> list[Block]:
@@ -165,8 +172,9 @@ def blocks(page: str) -> list[Block]:
         if tag in ("article", "main") and stack and stack[-1][0] in ("nav", "header"):
             stack.pop()  # never closed
         _, outside, inside = stack[-1] if stack else ("", False, False)
-        inside = inside or _is_article(tag, m[3])
-        excluded = outside or _excluded(tag, m[3], inside)
+        attributes = _attributes(m[3]) if m[3] else {}
+        inside = inside or _is_article(tag, attributes)
+        excluded = outside or _excluded(tag, attributes, inside)
         changes = (excluded, inside) != (stack[-1][1:] if stack else (False, False))
         stack.append((tag, excluded, inside))
         if tag == "a":
