@@ -150,6 +150,24 @@ def test_excluding_attributes(attribute):
     assert main_text(f"<article><p>{SENTENCE}</p><div {attribute}>{SENTENCE}</div></article>") == SENTENCE
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<h1>Comment fonctionne le vaccin ?</h1><p>{SENTENCE}</p>", f"Comment fonctionne le vaccin ? {SENTENCE}"),
+        (f"<article><h1>Comment fonctionne le vaccin ?</h1><p>{SENTENCE}</p></article>", f"Comment fonctionne le vaccin ? {SENTENCE}"),
+        (f"<article><p>12 Comments</p><p>{SENTENCE}</p><p>No comment.</p><p>{SENTENCE}</p></article>", f"12 Comments {SENTENCE} No comment. {SENTENCE}"),
+        (f"<article><h2>Responses</h2><p>{SENTENCE}</p></article>", f"Responses {SENTENCE}"),
+        (f"<p>{SENTENCE}</p><p>No comment.</p><p>{SENTENCE}</p>", f"{SENTENCE} No comment. {SENTENCE}"),
+        (f"<p>{SENTENCE}</p><h2>Replies from the ministry</h2><p>{SENTENCE}</p>", f"{SENTENCE} Replies from the ministry {SENTENCE}"),
+        (f"<p>{SENTENCE}</p><div><h3>Comments (12)</h3><p>{SENTENCE}</p></div><p>It was the end.</p><p>{SENTENCE}</p>", f"{SENTENCE} It was the end. {SENTENCE}"),
+        (f"<div><p>{SENTENCE}</p><h3><span>3</span> Kommentare</h3><div><p>{SENTENCE}</p></div></div>", SENTENCE),
+        (f"<p>{SENTENCE}</p><h3>Leave a comment</h3><p>{SENTENCE}</p>", SENTENCE),
+    ],
+)
+def test_comment_titles(page, text):
+    assert main_text(page) == text
+
+
 def test_extraction(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     for r in extract(pages).join(pages, "page_id").collect():

@@ -51,7 +51,13 @@ _NAMES = frozenset(
 _BEGINNINGS = ("advert", "adbox", "adslot", "breadcrumb", "comment", "cookie", "nav", "menu", "newsletter", "promo", "sidebar", "sidenav", "sponsor")
 #: A class or id that names the article itself.
 _ARTICLE = re.compile(r"(?:^|[\s_-])(?:article|story)(?:$|\s)|(?:article|story|entry|post)[_-]?(?:body|content|text)(?:$|[\s])", re.I)
-_COMMENT_HEADS = frozenset("comments comment replies responses kommentare kommentar commentaires commentaire comentarios comentario".split())
+#: A heading that is a title of reader comments and nothing else: the word, with a number before or after it.
+_COMMENT_HEAD = re.compile(
+    r"(?:\(?\d[\d.,\s]*\)?\s*)?(?:(?:leave|post|add|write) a |(?:reader|user|all) )?"
+    r"(?:comments?|replies|reply|responses?|kommentare?|commentaires?|comentarios?)\s*:?\s*(?:\(?\d[\d.,\s]*\)?)?\s*:?",
+    re.I,
+)
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 #: Words of a short block; link share, stop-word shares and words that decide a block.
 SHORT, LINKED = 10, 0.35
@@ -65,13 +71,23 @@ _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
+class Element:
+    """An open element: whether it is excluded, in an article, or after a comment title, here or above."""
+
+    __slots__ = ("tag", "outside", "inside", "over")
+
+    def __init__(self, tag: str, outside: bool, inside: bool, over: bool) -> None:
+        self.tag, self.outside, self.inside, self.over = tag, outside, inside, over
+
+
 class Block:
-    __slots__ = ("parts", "linked", "outside", "inside", "heading", "label", "text")
+    __slots__ = ("parts", "linked", "outside", "inside", "heading", "over", "parent", "label", "text")
 
     def __init__(self) -> None:
         self.parts: list[str] = []
         self.linked = 0
-        self.outside = self.inside = self.heading = False
+        self.outside = self.inside = self.heading = self.over = False
+        self.parent: Element | None = None  # of a heading: the element it stands in
         self.label: bool | None = None
         self.text = ""
 
@@ -116,7 +132,8 @@ def _is_article(tag: str, attributes: dict[str, str]) -> bool:
 def blocks(page: str) -> list[Block]:
     """Blocks with text, in page order. Every tag is read once; unclosed and stray tags are tolerated."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, excluded here or above, in an article here or above
+    page_element = Element("", False, False, False)
+    stack = [page_element]
     now, links, at = Block(), 0, 0
 
     def text(piece: str) -> None:
@@ -131,10 +148,13 @@ def blocks(page: str) -> list[Block]:
         now.text = " ".join("".join(now.parts).split())
         if now.text:
             out.append(now)
-        now = Block()
-        if stack:
-            now.heading = stack[-1][0] in ("h1", "h2", "h3", "h4", "h5", "h6")
-            now.outside, now.inside = stack[-1][1], stack[-1][2]
+            if now.parent and not now.outside and _COMMENT_HEAD.fullmatch(now.text):
+                now.over = now.parent.over = True  # up to the end of the heading's container
+        now, top = Block(), stack[-1]
+        now.outside, now.inside, now.over = top.outside, top.inside, top.over
+        now.heading = top.tag in _HEADINGS
+        if now.heading:
+            now.parent = stack[-2]
 
     while (m := _TAG.search(page, at)) is not None:
         text(page[at : m.start()])
@@ -145,9 +165,10 @@ def blocks(page: str) -> list[Block]:
         if m[1]:
             if tag == "a":
                 links = max(0, links - 1)
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
+            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), None)
             if depth is not None:
-                changes = stack[depth][1:] != (stack[depth - 1][1:] if depth else (False, False))
+                own, above = stack[depth], stack[depth - 1]
+                changes = (own.outside, own.inside) != (above.outside, above.inside)
                 del stack[depth:]
                 if tag in _BLOCK or changes:
                     close()
@@ -164,19 +185,19 @@ def blocks(page: str) -> list[Block]:
             if tag == "hr":
                 close()
             continue
-        if tag in ("p", "li", "dd", "dt", "tr", "td", "option") and stack and stack[-1][0] == tag:
+        if tag in ("p", "li", "dd", "dt", "tr", "td", "option") and stack[-1].tag == tag:
             stack.pop()
         elif tag in _BLOCK and tag != "p":
-            while stack and stack[-1][0] == "p":
+            while stack[-1].tag == "p":
                 stack.pop()
-        if tag in ("article", "main") and stack and stack[-1][0] in ("nav", "header"):
+        if tag in ("article", "main") and stack[-1].tag in ("nav", "header"):
             stack.pop()  # never closed
-        _, outside, inside = stack[-1] if stack else ("", False, False)
+        above = stack[-1]
         attributes = _attributes(m[3]) if m[3] else {}
-        inside = inside or _is_article(tag, attributes)
-        excluded = outside or _excluded(tag, attributes, inside)
-        changes = (excluded, inside) != (stack[-1][1:] if stack else (False, False))
-        stack.append((tag, excluded, inside))
+        inside = above.inside or _is_article(tag, attributes)
+        excluded = above.outside or _excluded(tag, attributes, inside)
+        changes = (excluded, inside) != (above.outside, above.inside)
+        stack.append(Element(tag, excluded, inside, above.over))
         if tag == "a":
             links += 1
         if tag in _BLOCK or changes:
@@ -189,15 +210,13 @@ def blocks(page: str) -> list[Block]:
 def decide(found: list[Block]) -> None:
     """First pass: sets label to True (article), False or None (ambiguous) by each block's own features."""
     marked = any(b.inside and not b.outside for b in found)
-    over = False
     for b in found:
         words = _LETTERS.findall(b.text.lower())
         n = len(b.text.split())
         if b.outside:
             b.label = False
             continue
-        if n <= 4 and words and words[-1] in _COMMENT_HEADS | {"comments"} or (b.heading and words and words[0] in _COMMENT_HEADS):
-            over = True
+        over = b.over and not (marked and b.inside)
         if over or (marked and not b.inside) or b.linked > LINKED * len(b.text) or (n < LONG and ("©" in b.text or not words)):
             b.label = False if over or words or b.linked else None
             continue
