@@ -168,6 +168,26 @@ def test_comment_titles(page, text):
     assert main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<div class='has-sidebar'><p>{SENTENCE}</p></div>", SENTENCE),
+        (f"<div class='has-sidebar'><article><p>{SENTENCE}</p></article><div class=sidebar><p>{SENTENCE}</p></div></div>", SENTENCE),
+        (f"<div id='content-sidebar-wrap'><main><p>{SENTENCE}</p></main><aside>{SENTENCE}</aside></div>", SENTENCE),
+        (f"<div id='content-sidebar-wrap'><div class=content><p>{SENTENCE}</p><p>{SENTENCE}</p></div><div class=sidebar-right>{SENTENCE}</div></div>", f"{SENTENCE} {SENTENCE}"),
+        (f"<article class='post category-social tag-search'><p>{SENTENCE}</p></article>", SENTENCE),
+        (f"<article class='post category-social social-post'><h1>Title</h1><p>{SENTENCE}</p><div class='share-links'>{SENTENCE}</div></article>", f"Title {SENTENCE}"),
+        (f"<div class='widget-area'><div class='menu-layout'><article><p>{SENTENCE}</p></article></div></div>", SENTENCE),
+        (f"<article><p>{SENTENCE}</p></article><div class=related><article><p>{SENTENCE}</p><p>{SENTENCE}</p></article></div>", SENTENCE),
+        (f"<div class=content><p>{SENTENCE}</p></div><div id=comments><article class='comment-body'><p>{SENTENCE}</p><p>{SENTENCE}</p></article></div>", SENTENCE),
+        (f"<p>{SENTENCE}</p><div class=sidebar><article><p>Read on here.</p></article></div>", SENTENCE),
+        (f"<div class='cookie-banner'><p>{SENTENCE}</p></div>", ""),
+    ],
+)
+def test_named_wrappers(page, text):
+    assert main_text(page) == text
+
+
 def test_extraction(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     for r in extract(pages).join(pages, "page_id").collect():

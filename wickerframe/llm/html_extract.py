@@ -2,7 +2,7 @@
 
 A page is cut into blocks at block-level tags. The first pass decides blocks by length, stop-word density and link
 density; blocks inside menus, headers, footers, sidebars, notices, adverts, forms and reader comments are decided
-by their container. The second pass gives ambiguous short blocks the label of the nearest decided neighbours.
+by their container, unless it is named so but holds the article. The second pass gives ambiguous short blocks the label of the nearest decided neighbours.
 """
 
 import html
@@ -49,6 +49,11 @@ _NAMES = frozenset(
 )
 #: Beginnings of such words where they are written together (sidebar, navlinks, commentList). (fixed values)
 _BEGINNINGS = ("advert", "adbox", "adslot", "breadcrumb", "comment", "cookie", "nav", "menu", "newsletter", "promo", "sidebar", "sidenav", "sponsor")
+#: First words of a class that tell a state or a topic of the page, and do not name the element (has-sidebar, tag-search). (fixed values)
+_ABOUT = frozenset("has is with tag category cat topic format".split())
+#: Names of reader comments; names of the page's layout, which wrappers of the article bear as well. (fixed values)
+_COMMENT_NAMES = ("comment", "disqus", "replies", "reply", "respond")
+_LAYOUT = ("banner", "header", "menu", "nav", "pager", "pagination", "promo", "related", "search", "share", "sharing", "sidebar", "sidenav", "social", "teaser", "toolbar", "topbar", "widget")
 #: A class or id that names the article itself.
 _ARTICLE = re.compile(r"(?:^|[\s_-])(?:article|story)(?:$|\s)|(?:article|story|entry|post)[_-]?(?:body|content|text)(?:$|[\s])", re.I)
 #: A heading that is a title of reader comments and nothing else: the word, with a number before or after it.
@@ -71,23 +76,36 @@ _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
+class Container:
+    """An element that is named as something other than the article, in the innermost other one around it."""
+
+    __slots__ = ("name", "above", "comments", "words", "article", "shut")
+
+    def __init__(self, name: str, above: "Container | None") -> None:
+        self.name, self.above, self.shut = name, above, True
+        self.comments = name.startswith(_COMMENT_NAMES) or bool(above and above.comments)
+        self.words = self.article = 0  # words, links and comments aside, and those of them in an article
+
+
 class Element:
-    """An open element: whether it is excluded, in an article, or after a comment title, here or above."""
+    """An open element: whether it is excluded, in an article, or after a comment title, here or above, and the
+    innermost named container."""
 
-    __slots__ = ("tag", "outside", "inside", "over")
+    __slots__ = ("tag", "outside", "inside", "over", "named")
 
-    def __init__(self, tag: str, outside: bool, inside: bool, over: bool) -> None:
-        self.tag, self.outside, self.inside, self.over = tag, outside, inside, over
+    def __init__(self, tag: str, outside: bool, inside: bool, over: bool, named: Container | None) -> None:
+        self.tag, self.outside, self.inside, self.over, self.named = tag, outside, inside, over, named
 
 
 class Block:
-    __slots__ = ("parts", "linked", "outside", "inside", "heading", "over", "parent", "label", "text")
+    __slots__ = ("parts", "linked", "outside", "inside", "heading", "over", "parent", "named", "label", "text")
 
     def __init__(self) -> None:
         self.parts: list[str] = []
         self.linked = 0
         self.outside = self.inside = self.heading = self.over = False
         self.parent: Element | None = None  # of a heading: the element it stands in
+        self.named: Container | None = None
         self.label: bool | None = None
         self.text = ""
 
@@ -111,16 +129,27 @@ def _excluded(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return True
-        if name in ("class", "id") and tag not in ("html", "body", "main"):
-            for word in _NAME.findall(value):
-                low = word.lower()
-                if low in _NAMES or low.startswith(_BEGINNINGS) or low.endswith(("nav", "menu")):
-                    return True
-                if low in ("header", "topbar") and not in_article:
-                    return True
     return False
 
 
+def _named(tag: str, attributes: dict[str, str], in_article: bool) -> str:
+    """The word of the class or id that names something other than the article, or nothing. An article is only ever
+    named as a comment, by a class that begins so."""
+    if tag in ("html", "body", "main"):
+        return ""
+    for name in ("class", "id"):
+        for token in attributes.get(name, "").split():
+            words = [x.lower() for x in _NAME.findall(token)]
+            if not words or words[0] in _ABOUT:
+                continue
+            for low in words[:1] if tag == "article" else words:
+                if tag == "article" and not low.startswith(_COMMENT_NAMES):
+                    continue
+                if low in _NAMES or low.startswith(_BEGINNINGS) or low.endswith(("nav", "menu")) or (low in ("header", "topbar") and not in_article):
+                    return low
+    return ""
+
+
 def _is_article(tag: str, attributes: dict[str, str]) -> bool:
     if tag in ("article", "main"):
         return True
@@ -132,7 +161,7 @@ def _is_article(tag: str, attributes: dict[str, str]) -> bool:
 def blocks(page: str) -> list[Block]:
     """Blocks with text, in page order. Every tag is read once; unclosed and stray tags are tolerated."""
     out: list[Block] = []
-    page_element = Element("", False, False, False)
+    page_element = Element("", False, False, False, None)
     stack = [page_element]
     now, links, at = Block(), 0, 0
 
@@ -151,7 +180,7 @@ def blocks(page: str) -> list[Block]:
             if now.parent and not now.outside and _COMMENT_HEAD.fullmatch(now.text):
                 now.over = now.parent.over = True  # up to the end of the heading's container
         now, top = Block(), stack[-1]
-        now.outside, now.inside, now.over = top.outside, top.inside, top.over
+        now.outside, now.inside, now.over, now.named = top.outside, top.inside, top.over, top.named
         now.heading = top.tag in _HEADINGS
         if now.heading:
             now.parent = stack[-2]
@@ -168,7 +197,7 @@ def blocks(page: str) -> list[Block]:
             depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), None)
             if depth is not None:
                 own, above = stack[depth], stack[depth - 1]
-                changes = (own.outside, own.inside) != (above.outside, above.inside)
+                changes = (own.outside, own.inside, own.named) != (above.outside, above.inside, above.named)
                 del stack[depth:]
                 if tag in _BLOCK or changes:
                     close()
@@ -196,8 +225,10 @@ def blocks(page: str) -> list[Block]:
         attributes = _attributes(m[3]) if m[3] else {}
         inside = above.inside or _is_article(tag, attributes)
         excluded = above.outside or _excluded(tag, attributes, inside)
-        changes = (excluded, inside) != (above.outside, above.inside)
-        stack.append(Element(tag, excluded, inside, above.over))
+        name = _named(tag, attributes, inside) if attributes and not excluded else ""
+        named = Container(name, above.named) if name else above.named
+        changes = (excluded, inside, named) != (above.outside, above.inside, above.named)
+        stack.append(Element(tag, excluded, inside, above.over, named))
         if tag == "a":
             links += 1
         if tag in _BLOCK or changes:
@@ -207,6 +238,37 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
+def free(found: list[Block]) -> None:
+    """Decides the named containers: each is outside, unless the page has no article elsewhere and most of its
+    words, links and comments aside, stand in it, and it holds an article or is named by a word of layout."""
+    named: dict[Container, None] = {}  # from the outside in
+    total = 0
+    for b in found:
+        chain, c = [], b.named
+        while c and c not in named:
+            chain.append(c)
+            c = c.above
+        named.update(dict.fromkeys(reversed(chain)))
+        if b.outside or b.linked > LINKED * len(b.text) or (b.named and b.named.comments):
+            continue
+        n = len(b.text.split())
+        total += n
+        if b.named:
+            b.named.words += n
+            b.named.article += n if b.inside else 0
+    for c in reversed(named):
+        if c.above:
+            c.above.words += c.words
+            c.above.article += c.article
+    if not any(b.inside and not b.outside and not b.named for b in found):
+        for c in named:
+            layout = c.name.startswith(_LAYOUT) or c.name.endswith(("nav", "menu"))
+            most = 2 * c.words > total and not c.comments and (c.article > 0 or layout)
+            c.shut = not most or bool(c.above and c.above.shut)
+    for b in found:
+        b.outside = b.outside or bool(b.named and b.named.shut)
+
+
 def decide(found: list[Block]) -> None:
     """First pass: sets label to True (article), False or None (ambiguous) by each block's own features."""
     marked = any(b.inside and not b.outside for b in found)
@@ -268,6 +330,7 @@ def settle(found: list[Block]) -> None:
 
 def main_text(page: str) -> str:
     found = blocks(page)
+    free(found)
     decide(found)
     settle(found)
     return " ".join(b.text for b in found if b.label)
