@@ -51,6 +51,20 @@ def test_toxicity_swaps(spark):
     assert raw.score("Many women walked home together.") > model.score("Many women walked home together.")
 
 
+def test_toxicity_swaps_beginnings(spark):
+    """Insults vary and an identity term of several features is the best predictor: a neutral mention stays below the
+    threshold, near the neutral word, and the insults still count."""
+    insults = [f"{a}{b}" for a in ("vermin", "scum", "filth", "trash", "rats") for b in "qwxyz"]
+    clean = [f"Number {i} says that {'muslims' if i % 50 == 0 else 'people'} walked here today." for i in range(300)]
+    toxic = [f"Number {i} says that {'muslims' if i % 2 else 'people'} {insults[i % 25] if i % 3 else 'walked'} here today." for i in range(300)]
+    rows = list(enumerate(clean + toxic))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, int(i >= 300)) for i, _ in rows], "doc_id long, toxic int"))
+    term, neutral = (model.score(f"Number 7 says that {g} walked here today.") for g in ("muslims", "people"))
+    assert term < toxicity.THRESHOLD and term - neutral < 0.15, (term, neutral)
+    assert model.score("Number 7 says that people verminq here today.") > toxicity.THRESHOLD
+
+
 def test_toxicity_edges(spark):
     model = toxicity.Model({toxicity.features("vermin")[0]: 9.0}, -3.0)
     odd = spark.createDataFrame([(None, None, 1), (1, "", 2), (1, "Vermin! " * 5000, 3), (1, "Vermin! " * 5000, 3)], "doc_id long, text string, SCORE int")

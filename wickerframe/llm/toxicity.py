@@ -2,7 +2,8 @@
 
 The model is a logistic regression over whether a feature occurs in a text. Sentences of labelled texts that mention
 an identity term are swapped to another term of its group and to a neutral one; the training loss penalises the
-change in score, so that a term's own weight is driven to that of a neutral word however its texts are labelled.
+change in score, so that the weights of a term's features together are driven to those of a neutral word's however
+its texts are labelled.
 """
 
 import re
@@ -60,7 +61,7 @@ def text_features(text: str) -> set[int]:
 
 
 def swaps(text: str) -> list[tuple[int, int]]:
-    """(feature of a term, feature of its substitute) for each identity term of each sentence: one to the neutral
+    """(whole-word feature of a term, that of its substitute) for each identity term of each sentence: one to the neutral
     term of its group, one to the next term of the group."""
     low = text.lower()
     if not _ANY_TERM.search(low):
@@ -77,6 +78,8 @@ _SUBSTITUTES: dict[str, tuple[str, str]] = {}
 for _group in IDENTITY:
     for _k, _term in enumerate(_group[1:], 1):
         _SUBSTITUTES.setdefault(_term, (_group[0], _group[_k % (len(_group) - 1) + 1]))
+#: All features of the words that swaps() names by the first.
+_ALL_OF = {features(w)[0]: features(w) for w in {*_SUBSTITUTES, *(o for pair in _SUBSTITUTES.values() for o in pair)}}
 _ANY_TERM = re.compile(r"\b(?:" + "|".join(sorted(_SUBSTITUTES, key=len, reverse=True)) + r")\b")
 
 
@@ -160,11 +163,15 @@ def _train(columns: dict[int, int], filled: list, total: int, blank_ones: int, s
     heavy = (total - y.sum() - blank_ones) / max(1.0, y.sum() + blank_ones)  # toxic rows count as much as clean ones
     weight = np.where(y > 0, heavy, 1.0)
     w, b, d = np.zeros(len(columns)), -2.0, len(columns)
-    swap_a = np.array([columns[r.term] for r in swapped], np.int64)
-    swap_b = np.array([columns[r.other] for r in swapped], np.int64)
+    # A swap takes away all features of the term and adds all of its substitute; those that were not chosen weigh 0.
     swap_n = np.array([float(r.n) for r in swapped])
+    change = np.zeros((len(swapped), d))
+    for k, r in enumerate(swapped):
+        for word, sign in ((r.term, 1.0), (r.other, -1.0)):
+            for f in set(_ALL_OF[word]) & columns.keys():
+                change[k, columns[f]] += sign
     swappable = np.zeros(d, bool)
-    swappable[np.concatenate([swap_a, swap_b])] = True
+    swappable[[columns[f] for r in swapped for f in (r.term, r.other)]] = True
     m, v = np.zeros(d + 1), np.zeros(d + 1)
     for turn in range(1, 1001):
         z = b + np.bincount(at, w[col], len(y))
@@ -173,8 +180,7 @@ def _train(columns: dict[int, int], filled: list, total: int, blank_ones: int, s
         err = (p - y) * weight
         g = np.bincount(col, err[at], d) + RIDGE * w
         if len(swapped):
-            gap = SWAP_PENALTY * swap_n * (w[swap_a] - w[swap_b])
-            g += np.bincount(swap_a, gap, d) - np.bincount(swap_b, gap, d)
+            g += change.T @ (SWAP_PENALTY * swap_n * (change @ w))
         g = np.append(g, err.sum() + (blank - blank_ones) * p0 + blank_ones * heavy * (p0 - 1))
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = 0.1 * (m / (1 - 0.9**turn)) / (np.sqrt(v / (1 - 0.999**turn)) + 1e-8)
