@@ -9,9 +9,9 @@ Relations between sets keep the work small, at index level and at answer level:
 * Only shingles that some other set shares can be common to two sets. A set links only if enough of its shingles
   are shared, so a first pass over all documents counts, per document, the shared ones, and drops the others.
 * Index lists hold a set at the positions of its prefix, rarest shingles first. With size s and position p an
-  entry can only match sets of a size up to (7 (s - p) - 3 s) / 3 (at 0.75): an entry's list is cut into blocks by
-  that bound, and blocks that cannot meet are skipped whole.
-* A list's entries first meet one leader a block. Sets linked to the same leader have the same component: their
+  entry can only match sets of a size up to (7 (s - p) - 3 s) / 3 (at 0.75): entries that
+  meet in a list are tested by that bound pair by pair; no part of a list is skipped whole.
+* A list's entries first meet one leader a block, which is a step of the logarithm of the set's size. Sets linked to the same leader have the same component: their
   pairs need no check. The leaders' computed overlaps then bound those of the sets that resemble them: a set that
   lacks d shingles of its leader's overlap has at most that overlap plus its own d. Only pairs that survive the
   bound are verified.
