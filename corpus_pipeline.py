@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from wickerframe.llm import queries as q
 from wickerframe.llm import toxicity
 from wickerframe.llm.exact_dedup import exact_dedup, normalised
-from wickerframe.llm.mixing import mix
+from wickerframe.llm.mixing import exponential_key, mix, quality_weight, take
 from wickerframe.llm.ngram_jaccard import jaccard_components
-from wickerframe.llm.shared import shared_table
+from wickerframe.llm.shared import n_words, shared_table, text_of
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,20 +43,53 @@ def _keep_once(docs: DataFrame, kept: DataFrame) -> DataFrame:
     return found.dropDuplicates(["doc_id", "_wf_k_own"]).drop("_wf_k_own")
 
 
+def _ids_repeat(docs: DataFrame) -> bool:
+    return not docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").isEmpty()
+
+
+def _own_digest(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("_wf_own", F.sha2(normalised(F.col("text")), 256))
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked documents: the one with the smallest id. Documents without words link
-    with nothing and stay, and so do rows without an id. Rows that share an id count as one document."""
-    verdicts = jaccard_components(docs.select("doc_id", "text"))
-    gone = verdicts.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("_wf_g_id"))
-    return docs.join(gone, F.col("doc_id") == F.col("_wf_g_id"), "left_anti")
+    with nothing and stay, and so do rows without an id. Rows that share an id are told apart by their text; of
+    those with the smallest id of a group the one with the smallest digest stays."""
+    known = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
+    if not _ids_repeat(known):
+        verdicts = jaccard_components(docs.select("doc_id", "text"))
+        gone = verdicts.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("_wf_g_id"))
+        return docs.join(gone, F.col("doc_id") == F.col("_wf_g_id"), "left_anti")
+    # Each id and text has a number of its own, and the groups are of these.
+    nodes = _own_digest(known).dropDuplicates(["doc_id", "_wf_own"]).withColumn("node", F.monotonically_increasing_id())
+    nodes = shared_table(nodes, "pipeline-nodes")
+    names = nodes.select("node", F.struct("doc_id", "_wf_own").alias("name"))
+    verdicts = shared_table(jaccard_components(nodes, id_col="node").select(F.col("doc_id").alias("node"), "component_id").join(names, "node"), "pipeline-verdicts")
+    first = verdicts.groupBy("component_id").agg(F.min("name").alias("first"))
+    gone = verdicts.join(first, "component_id").where("name != first").select(F.col("name.doc_id").alias("_wf_g_id"), F.col("name._wf_own").alias("_wf_g_own"))
+    return _own_digest(docs).join(gone, (F.col("doc_id") == F.col("_wf_g_id")) & (F.col("_wf_own") == F.col("_wf_g_own")), "left_anti").drop("_wf_own")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, whole: the document at a budget's edge is taken if that comes
-    nearer to its source's target. Documents without words have no size and are not taken."""
-    taken = mix(docs, cut_last=False)
-    times = taken.where("taken > 0").select(F.col("doc_id").alias("_wf_t_id"), (F.col("taken") / F.col("size")).cast("int").alias("_wf_times")).groupBy("_wf_t_id").agg(F.max("_wf_times").alias("_wf_times"))
-    joined = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_wf_t_id")))
+    nearer to its source's target. Documents without words have no size and are not taken. Rows that share an id are
+    told apart by their text and source."""
+    repeat = _ids_repeat(docs)
+    if repeat:
+        text, source = text_of(F.col("text")), F.col("source").cast("string")
+        own = _own_digest(docs).withColumn("_wf_own", F.struct("_wf_own", source.alias("source")))
+        sized = own.select("doc_id", source.alias("source"), "_wf_own", text.alias("t"), n_words(text).alias("size"))
+        key = exponential_key(F.col("doc_id"), quality_weight(F.col("t"), F.col("size")), "mix")
+        # The name sorts as mix() sorts its ties.
+        sized = sized.select(F.struct("doc_id", "size", "_wf_own").alias("doc_id"), "source", "size", key.alias("key"))
+        taken = take(shared_table(sized, "mix-sizes"), cut_last=False).select(F.col("doc_id.doc_id").alias("doc_id"), F.col("doc_id._wf_own").alias("_wf_t_own"), "size", "taken")
+    else:
+        own = docs
+        taken = mix(docs, cut_last=False)
+    by = ["_wf_t_id", "_wf_t_own"] if repeat else ["_wf_t_id"]
+    times = taken.where("taken > 0").withColumnRenamed("doc_id", "_wf_t_id").withColumn("_wf_times", (F.col("taken") / F.col("size")).cast("int")).groupBy(*by).agg(F.max("_wf_times").alias("_wf_times"))
+    same = F.col("doc_id").eqNullSafe(F.col("_wf_t_id"))
+    joined = own.join(times, same & F.col("_wf_own").eqNullSafe(F.col("_wf_t_own")) if repeat else same)
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_wf_times"))).alias("_wf_mix_copy")).drop("_wf_mix_copy")
 
 

@@ -152,3 +152,20 @@ def test_stages_on_odd_tables(spark, sf):
     assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == sorted((str(d), t) for d, t in ((1, rows[0][1]), (2, None), (3, rows[4][1]), (None, "only one")))
     assert pipeline.drop_toxic(spark, docs, sf).columns == docs.columns
     assert pipeline.encode(spark, docs, sf).count() == 6
+
+
+def test_stages_on_repeated_ids(spark, sf):
+    """Rows with one id and different texts are different documents."""
+    import corpus_pipeline as pipeline
+
+    base, alone = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(40))
+    rows = [(1, base), (5, base + " x"), (5, alone), (7, alone + " y"), (None, base), (8, "one"), (8, ""), (8, None)]
+    docs = spark.createDataFrame([(d, t, "s", ["s"]) for d, t in rows], "doc_id long, text string, source string, name array<string>")
+    got = pipeline.drop_near_copies(spark, docs.repartition(3), sf)
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted([(1, base), (5, alone), (None, base), (8, "one"), (8, ""), (8, None)], key=repr)
+
+    rows = [(None if i % 29 == 0 else i % 40, f"t{i} " * (i % 13 + 1), f"s{i % 3}") for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    want = [t for (_, t, _), (size, _, _, taken) in zip(rows, brute.mix(rows, cut_last=False)) for _ in range(taken // size)]
+    assert sorted(r.text for r in pipeline.mix_sources(spark, docs, sf).collect()) == sorted(want)
