@@ -1,13 +1,15 @@
 """HTML extraction by two passes of block rules.
 
 A page is cut into blocks at block-level tags. The first pass decides blocks by length, stop-word density and link
-density; blocks inside menus, headers, footers, sidebars, notices, adverts, forms and reader comments are decided
-by their container, unless it is named so but holds the article. The second pass gives ambiguous short blocks the label of the nearest decided neighbours.
+density, inside a marked article as well as outside; the second gives ambiguous short blocks the label of the nearest
+decided neighbours. Elements that are menus, headers, footers, sidebars, forms and the like by their tag or role are
+left out. A class or id is a vote only: it counts by whole words, and is overruled where the container holds the
+article or most of the page's prose.
 """
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -39,21 +41,23 @@ _BLOCK = frozenset(
     tbody td tfoot th thead tr ul""".split()
 )
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
-#: Words in a class or id that name something other than the article. (fixed values)
+#: Whole words in a class or id that vote for something other than the article. (fixed values)
 _NAMES = frozenset(
-    """ad ads adv advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments consent cookie
-    cookies copyright disclaimer disqus feedback footer gdpr legal login masthead menu modal nav navbar navigation
-    newsletter notice notification pager pagination popup promo promoted promotion recommended related replies reply
-    respond search share sharing sidebar signup social sponsor sponsored subscribe subscription teaser toolbar widget
-    """.split()
+    """ad ads advert adverts advertisement advertising adbox adslot alert banner breadcrumb breadcrumbs comment comments commentlist
+    consent cookie cookies copyright disclaimer disqus feedback footer gdpr legal login masthead menu menus mainmenu submenu modal nav
+    navbar navigation navlinks navmenu mainnav sidenav subnav topnav newsletter notice notification pager pagination popup promo promos
+    promoted promotion recommended related replies reply respond search share sharing sidebar sidebars signup social sponsor sponsored
+    sponsors subscribe subscription teaser teasers toolbar widget widgets""".split()
+)
+#: First words of a class that tell a state, a look or a topic, and do not name the element (has-sidebar, tag-search). (fixed values)
+_ABOUT = frozenset("has is no not with without js bg text color tag category cat topic format".split())
+#: Names that tell where an element stands, and not what it says: wrappers of the article bear them as well. (fixed values)
+_LAYOUT = frozenset(
+    """banner header menu menus mainmenu submenu nav navbar navigation navlinks navmenu mainnav sidenav subnav topnav pager pagination promo
+    related search share sharing sidebar sidebars social teaser teasers toolbar topbar widget widgets""".split()
 )
-#: Beginnings of such words where they are written together (sidebar, navlinks, commentList). (fixed values)
-_BEGINNINGS = ("advert", "adbox", "adslot", "breadcrumb", "comment", "cookie", "nav", "menu", "newsletter", "promo", "sidebar", "sidenav", "sponsor")
-#: First words of a class that tell a state or a topic of the page, and do not name the element (has-sidebar, tag-search). (fixed values)
-_ABOUT = frozenset("has is with tag category cat topic format".split())
-#: Names of reader comments; names of the page's layout, which wrappers of the article bear as well. (fixed values)
-_COMMENT_NAMES = ("comment", "disqus", "replies", "reply", "respond")
-_LAYOUT = ("banner", "header", "menu", "nav", "pager", "pagination", "promo", "related", "search", "share", "sharing", "sidebar", "sidenav", "social", "teaser", "toolbar", "topbar", "widget")
+#: Names of reader comments. (fixed values)
+_COMMENT_NAMES = frozenset("comment comments commentlist disqus replies reply respond".split())
 #: A class or id that names the article itself.
 _ARTICLE = re.compile(r"(?:^|[\s_-])(?:article|story)(?:$|\s)|(?:article|story|entry|post)[_-]?(?:body|content|text)(?:$|[\s])", re.I)
 #: A heading that is a title of reader comments and nothing else: the word, with a number before or after it.
@@ -73,6 +77,7 @@ _ATTRIBUTE = re.compile(r"""([^\s/=>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _READ = frozenset("class id role hidden aria-hidden style".split())
 _CUT_TAG = re.compile(r"<[a-zA-Z/!?][^<>]*\Z")  # the page ends inside a tag
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_ENDS = (".", "!", "?", "…", ":")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -83,7 +88,7 @@ class Container:
 
     def __init__(self, name: str, above: "Container | None") -> None:
         self.name, self.above, self.shut = name, above, True
-        self.comments = name.startswith(_COMMENT_NAMES) or bool(above and above.comments)
+        self.comments = name in _COMMENT_NAMES or bool(above and above.comments)
         self.words = self.article = 0  # words, links and comments aside, and those of them in an article
 
 
@@ -133,8 +138,9 @@ def _excluded(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
 
 
 def _named(tag: str, attributes: dict[str, str], in_article: bool) -> str:
-    """The word of the class or id that names something other than the article, or nothing. An article is only ever
-    named as a comment, by a class that begins so."""
+    """The word of the class or id that votes for something other than the article, or nothing. Words are whole:
+    parts between hyphens, underscores and capitals. An article is only ever named as a comment, by a class that
+    begins so."""
     if tag in ("html", "body", "main"):
         return ""
     for name in ("class", "id"):
@@ -143,9 +149,7 @@ def _named(tag: str, attributes: dict[str, str], in_article: bool) -> str:
             if not words or words[0] in _ABOUT:
                 continue
             for low in words[:1] if tag == "article" else words:
-                if tag == "article" and not low.startswith(_COMMENT_NAMES):
-                    continue
-                if low in _NAMES or low.startswith(_BEGINNINGS) or low.endswith(("nav", "menu")) or (low in ("header", "topbar") and not in_article):
+                if low in _COMMENT_NAMES or (tag != "article" and (low in _NAMES or (low in ("header", "topbar") and not in_article))):
                     return low
     return ""
 
@@ -239,8 +243,9 @@ def blocks(page: str) -> list[Block]:
 
 
 def free(found: list[Block]) -> None:
-    """Decides the named containers: each is outside, unless the page has no article elsewhere and most of its
-    words, links and comments aside, stand in it, and it holds an article or is named by a word of layout."""
+    """Decides the votes of names: a container named as something else is outside, unless it holds the page's article,
+    or it is named by a word of layout and, on a page without an article, over half of the prose (words of blocks that
+    have few links) stands in it. Reader comments are outside in any case."""
     named: dict[Container, None] = {}  # from the outside in
     total = 0
     for b in found:
@@ -260,72 +265,76 @@ def free(found: list[Block]) -> None:
         if c.above:
             c.above.words += c.words
             c.above.article += c.article
-    if not any(b.inside and not b.outside and not b.named for b in found):
-        for c in named:
-            layout = c.name.startswith(_LAYOUT) or c.name.endswith(("nav", "menu"))
-            most = 2 * c.words > total and not c.comments and (c.article > 0 or layout)
-            c.shut = not most or bool(c.above and c.above.shut)
+    elsewhere = any(b.inside and not b.outside and not b.named for b in found)
+    for c in named:
+        holds = not elsewhere and not c.comments and 2 * c.words > total and (c.article > 0 or c.name in _LAYOUT)
+        c.shut = not holds or bool(c.above and c.above.shut)
     for b in found:
         b.outside = b.outside or bool(b.named and b.named.shut)
 
 
 def decide(found: list[Block]) -> None:
-    """First pass: sets label to True (article), False or None (ambiguous) by each block's own features."""
+    """First pass: sets label to True (article), False or None (ambiguous) by each block's own features. Inside a
+    marked article the same densities decide, but few stop words leave a block ambiguous instead of out."""
     marked = any(b.inside and not b.outside for b in found)
     for b in found:
-        words = _LETTERS.findall(b.text.lower())
-        n = len(b.text.split())
-        if b.outside:
+        if b.outside or (marked and not b.inside) or (b.over and not (marked and b.inside)) or b.linked > LINKED * len(b.text):
             b.label = False
             continue
-        over = b.over and not (marked and b.inside)
-        if over or (marked and not b.inside) or b.linked > LINKED * len(b.text) or (n < LONG and ("©" in b.text or not words)):
-            b.label = False if over or words or b.linked else None
-            continue
+        words = _LETTERS.findall(b.text.lower())
+        n = len(b.text.split())
+        inside = marked and b.inside
         stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-        if n <= SHORT or b.heading:
+        if n < LONG and "©" in b.text and not inside:
+            b.label = False
+        elif n <= SHORT or b.heading or not words:
             b.label = None
-        elif b.inside or stops >= MANY_STOPS:
-            b.label = True if n >= LONG or b.inside else None if b.linked else True
-        elif stops < FEW_STOPS:
+        elif stops >= MANY_STOPS and n >= LONG:
+            b.label = True
+        elif stops < FEW_STOPS and not inside:
             b.label = False
-        # else some stop words, in a block of any length: ambiguous
+        # else shorter prose, or some stop words in a block of any length: ambiguous
 
 
 def settle(found: list[Block]) -> None:
-    """Second pass: an ambiguous block takes the label of the nearest decided block on each side; where these differ,
-    the one fewer words away, and on a tie, or for a heading, the one that follows. Without decided blocks, blocks
-    that do not stand outside are the article."""
+    """Second pass: an ambiguous block takes the label of the nearest decided block on each side in its section, which
+    is what stands between two headings; where these differ, a block that reads as a sentence is text, and others
+    follow the one fewer words away. A heading takes the label of what follows. Without a decided neighbour in the
+    section, the nearest ones beyond count alike. Neighbours across the article's edge say nothing, and neither do
+    menus in the article. On a side of the edge without text, ambiguous blocks are text."""
     n = len(found)
     size = [len(b.text.split()) for b in found]
-
-    def passed(k: int, last: tuple[bool, int] | None) -> tuple[bool, int] | None:
-        b = found[k]
-        if b.label is not None and not (b.inside and b.outside):  # a menu inside the article says nothing of it
-            return b.label, 0
-        return last and (last[0], last[1] + size[k])
-
-    before: list[tuple[bool, int] | None] = [None] * n
-    after: list[tuple[bool, int] | None] = [None] * n
-    last: tuple[bool, int] | None = None
-    for k in range(n):
-        if k and found[k].inside != found[k - 1].inside:  # neighbours across the article's edge say nothing
-            last = None
-        before[k] = last
-        last = passed(k, last)
-    last = None
-    for k in range(n - 1, -1, -1):
-        if k + 1 < n and found[k].inside != found[k + 1].inside:
-            last = None
-        after[k] = last
-        last = passed(k, last)
-    for k, b in enumerate(found):
-        if b.label is None:
-            x, y = before[k], after[k]
-            if x is None or y is None:
-                b.label = (x or y or (True, 0))[0]
-            else:
-                b.label = x[0] if x[0] == y[0] or (not b.heading and x[1] < y[1]) else y[0]
+    some = {side: any(b.label for b in found if b.inside == side) for side in (False, True)}
+
+    def nearest(order: Iterable[int], sections: bool) -> list[tuple[bool, int] | None]:
+        out: list[tuple[bool, int] | None] = [None] * n
+        last, side = None, None
+        for k in order:
+            b = found[k]
+            if b.inside != side:
+                last, side = None, b.inside
+            out[k] = last
+            if b.heading and sections and not b.outside:
+                last = None
+            elif b.label is not None and not (b.inside and b.outside):
+                last = b.label, 0
+            elif last:
+                last = last[0], last[1] + size[k]
+        return out
+
+    sides = {s: (nearest(range(n), s), nearest(range(n - 1, -1, -1), s)) for s in (True, False)}
+    for k, b in [(k, b) for k, b in enumerate(found) if b.label is None]:
+        x, y = sides[not b.heading][0][k], sides[not b.heading][1][k]
+        if x is None and y is None:
+            x, y = sides[False][0][k], sides[False][1][k]
+        if not some[b.inside]:
+            b.label = True
+        elif x is None or y is None:
+            b.label = (x or y or (True, 0))[0]
+        elif x[0] == y[0] or b.heading:
+            b.label = y[0]
+        else:
+            b.label = b.text.endswith(_ENDS) or (x if x[1] <= y[1] else y)[0]
 
 
 def main_text(page: str) -> str:
