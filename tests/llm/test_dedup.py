@@ -1,6 +1,7 @@
 """Exact dedup, n-gram join and line dedup against brute force."""
 
 import hashlib
+import random
 
 import brute
 import duckdb
@@ -61,15 +62,69 @@ def test_ngram_join(spark, prose):
     assert len({w[1] for w in want.values()}) < len(rows) - 30
 
 
-def test_ngram_join_many_chunks(spark, prose, monkeypatch):
-    """Small chunks and buckets: sets meet across them; pairs are settled in every round."""
+def crowd(n=140, seed=11):
+    """Sets about a few bases: near copies, some only similar to each other and not to a base; sizes over several blocks."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    bases = [[word() for _ in range(size)] for size in (40, 48, 57, 70, 90)]
+    bases.append(bases[1][:44] + [word() for _ in range(6)])
+    out = []
+    for i in range(n):
+        own = rng.choice(bases).copy()
+        for _ in range(rng.choice((0, 1, 1, 2, 3))):
+            k = rng.randrange(len(own))
+            own[k : k + rng.randint(0, 2)] = [word() for _ in range(rng.randint(0, 2))]
+        out.append((1000 - 3 * i, " ".join(own[rng.randint(0, 4) : len(own) - rng.randint(0, 4)])))
+    return out
+
+
+@pytest.mark.parametrize("leaders", [(), (1,)])
+def test_ngram_join_rounds(spark, prose, monkeypatch, leaders):
+    """Pairs are settled in every round; without rounds of leaders, by bounds and one by one."""
     from wickerframe.llm import ngram_jaccard as m
 
-    monkeypatch.setattr(m, "BUCKET", 256)
-    monkeypatch.setattr(m, "LEADERS", (1,))
-    want = brute.components(prose)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(spark.createDataFrame(prose, "doc_id long, text string").repartition(7)).collect()}
-    assert got == {d: want[i] for i, (d, _) in enumerate(prose)}
+    monkeypatch.setattr(m, "LEADERS", leaders)
+    docs = crowd() + [(d + 5000, t) for d, t in prose]
+    want = brute.components(docs)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(spark.createDataFrame(docs, "doc_id long, text string").repartition(7)).collect()}
+    assert got == {d: want[i] for i, (d, _) in enumerate(docs)}
+
+
+@pytest.mark.parametrize("percent", [50])
+def test_ngram_join_thresholds(spark, percent):
+    docs = crowd(60, seed=3)
+    want = brute.components(docs, percent)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(spark.createDataFrame(docs, "doc_id long, text string"), percent=percent).collect()}
+    assert got == {d: want[i] for i, (d, _) in enumerate(docs)}
+
+
+def test_ngram_join_ties_of_hashes(spark):
+    """Sets that share the first half of their hash are not judged by the first pass."""
+    from wickerframe.llm import ngram_jaccard as m
+
+    rows = [(1, 7, 1, 4, [1, 2, 3, 4]), (2, 7, 2, 4, [5, 6, 7, 8]), (3, 9, 3, 4, [11, 12, 13, 14]), (4, 10, 4, 4, [21, 22, 23, 24]), (5, 11, 5, 4, [21, 22, 23, 25]), (None, 12, 6, 4, [21, 22, 23, 25])]
+    got = m._can_link(spark.createDataFrame(rows, "doc_id long, hi long, lo long, n long, shingles array<long>"), 75)
+    assert sorted(r.rep for r in got.collect()) == [1, 2, 4, 5]
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    """Pieces of a long text, and of a word longer than a piece, give the hashes of the whole."""
+    from wickerframe.llm import ngram_jaccard as m
+
+    texts = [("ab cd  ef\t" * 40 + "x" * 300 + " tail  " + "y" * 64 + "\n").encode(), b" " * 500, b"z" * 333, ("w1 " * 3 + "v" * 200).encode(), b"a b c d e f g"]
+    want = m.shingle_sets(texts)
+    monkeypatch.setattr(m, "HASH_BYTES", 64)
+    got = m.shingle_sets(texts)
+    assert got[0].tolist() == want[0].tolist() and got[1].tolist() == want[1].tolist()
+
+
+def test_ngram_join_very_long(spark):
+    """A text of over two pieces against its near copy."""
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(50000)}" for _ in range(400_000)]
+    docs = [(2, " ".join(words)), (1, " ".join(words[:200_000] + ["x"] * 7 + words[200_000:])), (3, " ".join(words[:100_000]))]
+    got = {r.doc_id: r.component_id for r in jaccard_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
 
 
 def test_ngram_join_empty(spark):

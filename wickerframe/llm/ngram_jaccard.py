@@ -1,20 +1,23 @@
 """N-gram Jaccard join with set-relation skipping.
 
-Documents are sets of word shingles; two link when their Jaccard similarity reaches a threshold. The join is exact
-but for 64-bit hashes of shingles (two shingles of one candidate pair would have to collide).
+Documents are sets of word shingles; two link when their Jaccard similarity reaches a threshold. Sets are identified by
+128-bit hashes and shingles by 64-bit ones: a wrong answer needs two different shingles of one candidate pair to
+collide.
 
 Relations between sets keep the work small, at index level and at answer level:
 
 * Equal sets are one node. What holds for it holds for every copy.
-* Only shingles that some other set shares can be common to two sets. A set links only if enough of its shingles
-  are shared, so a first pass over all documents counts, per document, the shared ones, and drops the others.
-* Index lists hold a set at the positions of its prefix, rarest shingles first. With size s and position p an
-  entry can only match sets of a size up to (7 (s - p) - 3 s) / 3 (at 0.75): entries that
-  meet in a list are tested by that bound pair by pair; no part of a list is skipped whole.
-* A list's entries first meet one leader a block, which is a step of the logarithm of the set's size. Sets linked to the same leader have the same component: their
-  pairs need no check. The leaders' computed overlaps then bound those of the sets that resemble them: a set that
-  lacks d shingles of its leader's overlap has at most that overlap plus its own d. Only pairs that survive the
-  bound are verified.
+* A shingle that one set alone has is common to no two sets. A set with too many of them links with nothing. A first
+  pass counts them among half of all shingles (those with the smaller hashes) and drops such sets; what is left is
+  counted in full.
+* Index lists hold a set at the positions of its prefix, rarest shingles first, in blocks of similar set size. With size s and position p an
+  entry can only match sets of a size from 3/4 s up to (7 (s - p) - 3 s) / 3 (at 0.75): a probing entry reads the
+  blocks in that range, and the other blocks of the list are skipped whole.
+* A list's entries first meet a few leaders a block. Sets linked to the same leader have the same component: their
+  pairs need no check. After that, each set stands with the leader it resembles most. Where two sets' leaders L and M
+  are known to share c shingles, and the sets lack d and e shingles of what they have in common with their
+  leaders, they share c + d + e at most: one comparison of the leaders answers for all pairs of their followers
+  that this excludes, and none of these pairs is listed.
 """
 
 from __future__ import annotations
@@ -23,7 +26,6 @@ import math
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,17 +33,17 @@ from .shared import shared_table, text_of
 
 #: Share of a hundred that the similarity takes, and words of a shingle.
 PERCENT, WORDS = 75, 5
-#: Bytes of text hashed at once, and shingles a map task holds before it sends them on.
-HASH_BYTES, CHUNK = 1 << 20, 3 << 19
-#: Shingles a bucket of the counting pass aims at (by an upper bound on their number), and the most buckets.
-BUCKET, MOST_BUCKETS = 1 << 23, 1 << 20
-#: Members of a list's largest component that the list's other entries meet, by round, before they meet all.
-LEADERS = (8, 64)
+#: Bytes of text hashed at once.
+HASH_BYTES = 1 << 20
+#: Blocks of set sizes that the ratio of two linked sets' sizes can span.
+BLOCKS = 4
+#: Members of a list's largest component that the list's other entries meet, by round and block, before leaders are compared.
+LEADERS = (4, 32)
 
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_ODD = _U(0x9E3779B97F4A7C15)
+_BASE = 0x9E3779B97F4A7C15
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -51,239 +53,144 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(32))
 
 
+def _powers(base: int) -> np.ndarray:
+    """Powers of a base modulo 2**64, for a piece of text."""
+    return np.concatenate([[_U(1)], np.cumprod(np.full(HASH_BYTES + 1, _U(base), _U))])
+
+
 with np.errstate(over="ignore"):
-    _CODE = _mix(np.arange(1, 257, dtype=_U) * _ODD)
+    _CODE = _mix(np.arange(1, 257, dtype=_U) * _U(_BASE))
     _CODE[65:91] = _CODE[97:123]  # A-Z count as a-z
     _CODE[_SPACE] = 0
-    _POWER = np.concatenate([[_U(1)], np.cumprod(np.full(1 << 12, _ODD, _U))])
     _SEATS = _mix(np.arange(901, 901 + 64, dtype=_U)) | _U(1)
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2**64 and of its inverse, as far as needed so far."""
-    global _POWER, _INVERSE
-    if len(_POWER) < n:
-        _POWER = np.concatenate([[_U(1)], np.cumprod(np.full(n, _ODD, _U))])
-        _INVERSE = np.concatenate([[_U(1)], np.cumprod(np.full(n, _U(pow(int(_ODD), -1, 1 << 64)), _U))])
-    return _POWER, _INVERSE
-
-
-_INVERSE = np.concatenate([[_U(1)], np.cumprod(np.full(1 << 12, _U(pow(int(_ODD), -1, 1 << 64)), _U))])
+    _POWER, _INVERSE = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
 
 
 def _word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and 64-bit hash of each word of bytes that end in a space. A word's hash is a polynomial of its
-    bytes, taken from prefix sums, and then mixed."""
-    power, inverse = _powers(len(data))
+    """Start and 64-bit hash of each word of at most HASH_BYTES + 1 bytes that end in a space. A word's hash is a
+    polynomial of its bytes, taken from prefix sums, and then mixed."""
     gap = _SPACE[data]
     inside = ~gap
     starts = np.flatnonzero(inside & np.concatenate([[True], gap[:-1]]))
     ends = np.flatnonzero(gap & np.concatenate([[False], inside[:-1]]))
-    sums = np.cumsum(_CODE[data] * power[: len(data)])
+    sums = np.cumsum(_CODE[data] * _POWER[: len(data)])
     before = np.where(starts > 0, sums[starts - 1], _U(0))
-    return starts, _mix((sums[ends - 1] - before) * inverse[starts] + (ends - starts).astype(_U))
+    return starts, _mix((sums[ends - 1] - before) * _INVERSE[starts] + (ends - starts).astype(_U))
+
+
+def _long_word(word: memoryview) -> np.ndarray:
+    """The same hash of a word of any length, piece by piece."""
+    total = _U(0)
+    for at in range(0, len(word), HASH_BYTES):
+        piece = np.frombuffer(word[at : at + HASH_BYTES], np.uint8)
+        total += (_CODE[piece] * _POWER[: len(piece)]).sum() * _U(pow(_BASE, at, 1 << 64))
+    return _mix(np.array([total + _U(len(word))], _U))
+
+
+def _words_of_long(text: bytes) -> np.ndarray:
+    """Word hashes of a text above HASH_BYTES, cut between words; beyond the text, memory is 8 bytes a word."""
+    out, at, view = [], 0, memoryview(text)
+    while at < len(text):
+        upto = min(len(text), at + HASH_BYTES)
+        if upto < len(text):
+            room = np.flatnonzero(_SPACE[np.frombuffer(view[at:upto], np.uint8)])
+            if len(room):
+                upto = at + int(room[-1]) + 1
+            else:  # one word fills the piece: find its end
+                while upto < len(text) and text[upto] not in b"\t\n\v\f\r ":
+                    upto += 1
+                out.append(_long_word(view[at:upto]))
+                at = upto
+                continue
+        out.append(_word_hashes(np.frombuffer(bytes(view[at:upto]) + b" ", np.uint8))[1])
+        at = upto
+    return np.concatenate(out)
+
+
+def _set_of(hashes: np.ndarray, grams: np.ndarray, words: int) -> np.ndarray:
+    """Sorted distinct shingles of a text with these word hashes; grams are its runs of words."""
+    n = len(hashes)
+    if n >= words:
+        own = np.sort(grams)
+        return own[np.concatenate([[True], own[1:] != own[:-1]])]
+    if n:
+        return _mix(np.array([_mix(hashes * _SEATS[:n] + _SEATS[n + 40]).sum()], _U) ^ _SEATS[n])
+    return hashes
+
+
+def _grams(hashes: np.ndarray, words: int) -> np.ndarray:
+    grams = np.zeros(max(0, len(hashes) - words + 1), _U)
+    for k in range(words):
+        grams += _mix(hashes[k : len(hashes) - words + 1 + k] * _SEATS[k] + _SEATS[k + 32])
+    return _mix(grams)
 
 
 def shingle_sets(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of each text, one after another, and the offsets of the texts."""
-    out, sizes, at = [], [], 0
+    """Sorted distinct shingle hashes of each text, one after another, and the offsets of the texts. Texts are
+    hashed together up to HASH_BYTES, longer ones alone and in pieces."""
+    out, at = [], 0
     while at < len(texts):
+        if len(texts[at]) > HASH_BYTES:
+            hashes = _words_of_long(texts[at])
+            out.append(_set_of(hashes, _grams(hashes, words), words))
+            at += 1
+            continue
         upto, size = at, 0
-        while upto < len(texts) and (upto == at or size + len(texts[upto]) <= HASH_BYTES):
+        while upto < len(texts) and size + len(texts[upto]) <= HASH_BYTES:
             size += len(texts[upto]) + 1
             upto += 1
         data = np.frombuffer(b" ".join(texts[at:upto]) + b" ", np.uint8)
-        bounds = np.cumsum([0] + [len(t) + 1 for t in texts[at:upto]])
         starts, hashes = _word_hashes(data)
-        first = np.searchsorted(starts, bounds)
-        n = len(hashes)
-        grams = np.zeros(max(0, n - words + 1), _U)
-        for k in range(words):
-            grams += _mix(hashes[k : n - words + 1 + k] * _SEATS[k] + _SEATS[k + 32])
-        grams = _mix(grams)
-        for a, b in zip(first[:-1], first[1:]):
-            if b - a >= words:
-                own = np.sort(grams[a : b - words + 1])
-                own = own[np.concatenate([[True], own[1:] != own[:-1]])]
-            elif b > a:
-                own = _mix(np.array([_mix(hashes[a:b] * _SEATS[: b - a] + _SEATS[b - a + 40]).sum()], _U) ^ _SEATS[b - a])
-            else:
-                own = hashes[:0]
-            out.append(own)
-            sizes.append(len(own))
+        first = np.searchsorted(starts, np.cumsum([0] + [len(t) + 1 for t in texts[at:upto]]))
+        grams = _grams(hashes, words)
+        out += [_set_of(hashes[a:b], grams[a : max(a, b - words + 1)], words) for a, b in zip(first[:-1], first[1:])]
         at = upto
-    return (np.concatenate(out) if out else np.zeros(0, _U)), np.cumsum([0, *sizes])
-
-
-def _set_hash(tokens: np.ndarray) -> int:
-    """64 bits of a set, as a signed number; it does not depend on the order."""
-    return int(_mix(np.array([_mix(tokens ^ _SEATS[60]).sum() + _U(len(tokens))], _U)).view(np.int64)[0])
-
-
-def _packed(values: np.ndarray, width: int) -> bytes:
-    """Little-endian numbers as byte planes: sorted ones compress well so."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
-
-
-def _unpacked(data: bytes, width: int) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(width, -1)
-    full = np.zeros((planes.shape[1], 8), np.uint8)
-    full[:, :width] = planes.T
-    return full.view("<u8").reshape(-1)
-
-
-_SENT = "bucket int, chunk long, docs array<long>, nodes array<long>, sizes array<long>, shared array<long>, seats binary, shingles binary"
-_BACK = "chunk long, docs array<long>, nodes array<long>, sizes array<long>, shared array<long>"
-_COUNTED = "doc_id long, node long, n long, shared long"
-_LONGS = pa.list_(pa.int64())
-
-
-def _chunks(batches, words: int):
-    """Of each chunk: document ids, set hashes, set sizes; and of its different sets, the hashes, the shingles and
-    whose they are."""
-    ids, nodes, sizes, seat, tokens, owners, held = [], [], [], {}, [], [], 0
-    for batch in batches:
-        column = batch.column(1).cast(pa.large_binary())
-        for start in range(0, batch.num_rows, 128):
-            texts = column.slice(start, 128).to_pylist()
-            flat, offsets = shingle_sets(texts, words)
-            ids += batch.column(0).slice(start, 128).to_pylist()
-            for a, b in zip(offsets[:-1], offsets[1:]):
-                node = _set_hash(flat[a:b])
-                nodes.append(node)
-                sizes.append(b - a)
-                if node not in seat and b > a:
-                    seat[node] = len(seat)
-                    tokens.append(flat[a:b])
-                    owners.append(np.full(b - a, len(seat), np.uint32))
-                    held += b - a
-            if held >= CHUNK:
-                yield ids, nodes, sizes, seat, tokens, owners
-                ids, nodes, sizes, seat, tokens, owners, held = [], [], [], {}, [], [], 0
-    if ids:
-        yield ids, nodes, sizes, seat, tokens, owners
-
-
-def _count_pass(rows: DataFrame, bits: int, bucket_bits: int, words: int) -> DataFrame:
-    """Map side of the counting pass. A chunk sends itself: documents, set hashes and sizes, and how many of a set's
-    shingles another set of the chunk has. And it sends, to each bucket (range of shingle hashes), its distinct
-    shingles, cut to as many bits as keep chance hits rare, and whose they are. A shingle that several sets of the
-    chunk have is sent once and without an owner, as it is counted already: a hot shingle costs one entry a chunk."""
-    width = (bits + 7) // 8
-
-    def row(bucket, chunk, docs, nodes, sizes, shared, seats, shingles):
-        lists = [pa.array([x], _LONGS) for x in (docs, nodes, sizes, shared)]
-        return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([chunk], pa.int64()), *lists, pa.array([seats], pa.binary()), pa.array([shingles], pa.binary())], names=[x.split()[0] for x in _SENT.split(", ")])
-
-    def emit(ids, nodes, sizes, seat, tokens, owners):
-        tokens = np.concatenate(tokens or [np.zeros(0, _U)]) >> _U(64 - bits)
-        owners = np.concatenate(owners or [np.zeros(0, np.uint32)])
-        order = np.argsort(tokens, kind="stable")
-        tokens, owners = tokens[order], owners[order]
-        first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])[: len(tokens)])
-        length = np.diff(np.concatenate([first, [len(tokens)]]))
-        inner = np.bincount(owners[np.repeat(length > 1, length)], minlength=len(seat) + 1)
-        tokens, owners = tokens[first], np.where(length > 1, 0, owners[first])
-        once, shared = dict(seat), []
-        for node in nodes:
-            shared.append(int(inner[once.pop(node) + 1]) if node in once else 0)
-        chunk = _set_hash(np.array([x or 0 for x in ids], np.int64).view(_U) + np.array(nodes, np.int64).view(_U))
-        yield row(chunk % (1 << bucket_bits), chunk, ids, nodes, sizes, shared, None, None)
-        named = np.array(list(seat), np.int64)
-        cuts = np.searchsorted(tokens, np.arange(1, 1 << bucket_bits, dtype=_U) << _U(bits - bucket_bits))
-        cuts = np.concatenate([[0], cuts, [len(tokens)]])
-        for b in np.flatnonzero(np.diff(cuts)):
-            own = owners[cuts[b] : cuts[b + 1]]
-            present, place = np.unique(own, return_inverse=True)
-            if present[0] != 0:
-                present, place = np.concatenate([[0], present]), place + 1
-            yield row(b, chunk, None, named[present[1:].astype(np.int64) - 1], None, None, _packed(place.astype(_U), 4), _packed(tokens[cuts[b] : cuts[b + 1]], width))
+    return (np.concatenate(out) if out else np.zeros(0, _U)), np.cumsum([0, *map(len, out)])
 
-    def run(batches):
-        with np.errstate(over="ignore"):
-            for chunk in _chunks(batches, words):
-                yield from emit(*chunk)
-
-    return rows.mapInArrow(run, _SENT)
-
-
-def _count_bucket(width: int):
-    """A bucket: chunks as they are; and back to each chunk, how many of a set's shingles here stand in several
-    chunks and belong to other sets as well. Lists of counts, not a row a set."""
-
-    def run(table: pa.Table) -> pa.Table:
-        whole = pa.compute.is_valid(table["docs"])
-        out = table.filter(whole).select(["chunk", "docs", "nodes", "sizes", "shared"])
-        tokens, owners, free, origin, chunks = [], [], [], [], []
-        for batch in table.filter(pa.compute.invert(whole)).to_batches():
-            for k in range(batch.num_rows):
-                place = _unpacked(batch["seats"][k].as_py(), 4).astype(np.int64)
-                tokens.append(_unpacked(batch["shingles"][k].as_py(), width))
-                owners.append(np.concatenate([[0], batch["nodes"][k].values.to_numpy()])[place])
-                free.append(place == 0)
-                origin.append(np.full(len(place), len(chunks), np.int32))
-                chunks.append(batch["chunk"][k].as_py())
-        if not tokens:
-            return out
-        tokens, owners, free, origin = map(np.concatenate, (tokens, owners, free, origin))
-        order = np.argsort(tokens, kind="stable")
-        tokens = tokens[order]
-        same = np.concatenate([[False], tokens[1:] == tokens[:-1], [False]])
-        several = same[:-1] | same[1:]
-        order, tokens = order[several], tokens[several]
-        if not len(tokens):
-            return out
-        owners, free, origin = owners[order], free[order], origin[order]
-        order = np.lexsort((owners, free, tokens))
-        tokens, owners, free, origin = tokens[order], owners[order], free[order], origin[order]
-        run_start = np.concatenate([[True], tokens[1:] != tokens[:-1]])
-        pair_start = run_start | np.concatenate([[True], (owners[1:] != owners[:-1]) | (free[1:] != free[:-1])])
-        of_run = np.cumsum(run_start) - 1
-        kinds = np.bincount(of_run[pair_start])  # different owners, the ownerless entry being one more
-        hit = pair_start & ~free & (kinds[of_run] > 1)
-        owners, origin = owners[hit], origin[hit]
-        order = np.lexsort((owners, origin))
-        owners, origin = owners[order], origin[order]
-        start = np.flatnonzero(np.concatenate([[True], (owners[1:] != owners[:-1]) | (origin[1:] != origin[:-1])])[: len(owners)])
-        counts, owners, origin = np.diff(np.concatenate([start, [len(owners)]])), owners[start], origin[start]
-        cuts = np.searchsorted(origin, np.arange(len(chunks) + 1))
-        parts = [(a, b) for a, b in zip(cuts[:-1], cuts[1:])]
-        back = [pa.array(chunks, pa.int64()), pa.nulls(len(chunks), _LONGS), pa.array([owners[a:b] for a, b in parts], _LONGS), pa.nulls(len(chunks), _LONGS), pa.array([counts[a:b] for a, b in parts], _LONGS)]
-        return pa.concat_tables([out, pa.Table.from_arrays(back, names=out.column_names).cast(out.schema)])
-
-    return run
-
-
-def _count_chunk(table: pa.Table) -> pa.Table:
-    """A chunk's documents; the counts that came back for a set go to its first document in the chunk."""
-    counts: dict[int, int] = {}
-    docs, nodes, sizes, shared = [], [], [], []
-    for row in table.to_pylist():
-        if row["docs"] is None:
-            for node, n in zip(row["nodes"], row["shared"]):
-                counts[node] = counts.get(node, 0) + n
-        else:  # equal chunks, as of a table read twice, have one key
-            for own, name in ((docs, "docs"), (nodes, "nodes"), (sizes, "sizes"), (shared, "shared")):
-                own += row[name]
-    for k, node in enumerate(nodes):
-        shared[k] += counts.pop(node, 0)
-    columns = [pa.array(x, pa.int64()) for x in (docs, nodes, sizes, shared)]
-    return pa.Table.from_arrays(columns, names=["doc_id", "node", "n", "shared"])
-
-
-def _sets(rows: DataFrame, words: int) -> DataFrame:
-    """node, n and the shingle hashes of each row's text."""
+
+def _set_hash(tokens: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set, as two signed numbers; they do not depend on the order."""
+    sums = np.array([_mix(tokens ^ _SEATS[60]).sum(), _mix(tokens ^ _SEATS[61]).sum()], _U)
+    return tuple(_mix(sums + _U(len(tokens)) * _SEATS[62:64]).view(np.int64).tolist())
+
+
+def _sets(rows: DataFrame, words: int, lower: bool) -> DataFrame:
+    """Of each row (doc_id, text): doc_id, the set's hash (hi, lo), its size n, and its shingles; with lower, only those
+    with the smaller half of hashes."""
 
     def run(batches):
         with np.errstate(over="ignore"):
             for batch in batches:
                 column = batch.column(1).cast(pa.large_binary())
-                for start in range(0, batch.num_rows, 256):
-                    flat, offsets = shingle_sets(column.slice(start, 256).to_pylist(), words)
-                    nodes = [_set_hash(flat[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(np.diff(offsets).astype(np.int64)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat.view(np.int64)))], names=["node", "n", "shingles"])
-
-    return rows.mapInArrow(run, "node long, n long, shingles array<long>")
+                for start in range(0, batch.num_rows, 128):
+                    texts = column.slice(start, 128).to_pylist()
+                    flat, offsets = shingle_sets(texts, words)
+                    named = np.array([_set_hash(flat[a:b]) for a, b in zip(offsets[:-1], offsets[1:])], np.int64).reshape(-1, 2)
+                    sizes = np.diff(offsets)
+                    if lower:  # sets are sorted, so the lower half of hashes comes first in each
+                        low = flat < _U(1 << 63)
+                        flat, offsets = flat[low], np.concatenate([[0], np.cumsum(low)])[offsets]
+                    shingles = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat.view(np.int64)))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, 128), pa.array(named[:, 0]), pa.array(named[:, 1]), pa.array(sizes.astype(np.int64)), shingles], names=["doc_id", "hi", "lo", "n", "shingles"])
+
+    return rows.mapInArrow(run, "doc_id long, hi long, lo long, n long, shingles array<long>")
+
+
+def _can_link(sketch: DataFrame, percent: int) -> DataFrame:
+    """rep: of each set that can link at all, the smallest id.
+
+    A set with u shingles that no other set has shares n - u at most, so it needs 100 (n - u) >= percent n. Shingles
+    are grouped with the smallest and the largest of their sets' (first 64 bits of) hashes, combined on the map side: however many
+    sets share a shingle, or copies a set, a task sends one row. Sets whose 64 bits another set has are kept as they are.
+    """
+    seen = sketch.select("hi", F.explode("shingles").alias("t")).groupBy("t").agg(F.min("hi").alias("a"), F.max("hi").alias("b"))
+    alone = seen.where("a = b").groupBy(F.col("a").alias("u_hi")).agg(F.count(F.lit(1)).alias("u"))
+    sets = sketch.where("n > 0").groupBy("hi").agg(F.min("lo").alias("lo"), F.max("lo").alias("lo2"), F.min("doc_id").alias("rep"), F.min("n").alias("n"))
+    judged = sets.join(alone, F.col("hi") == F.col("u_hi"), "left")
+    fine = judged.where((F.col("lo") == F.col("lo2")) & (100 * F.coalesce("u", F.lit(0)) <= (100 - percent) * F.col("n"))).select("rep")
+    shared_bits = sets.where("lo != lo2").select(F.col("hi").alias("s_hi"))
+    others = sketch.join(shared_bits, F.col("hi") == F.col("s_hi"), "left_semi").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep")).select("rep")
+    return fine.unionByName(others).where("rep is not null").distinct()
 
 
 def _verified(pairs: DataFrame, core: DataFrame) -> DataFrame:
@@ -332,41 +239,34 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     whole sequence if it is shorter. Null texts count as empty; a text without words has an empty set, links with
     nothing and is its own component. Rows with equal sets are linked; component_id is the smallest doc_id reachable.
     A row without an id is linked as a copy only: it takes the component of an equal set that has an id, else null.
-    Repeated rows and repeated ids are judged row by row, by their texts. Other columns are not read.
+    Repeated rows and repeated ids are judged row by row, by their texts. Texts may be of any length; a task holds a text
+    and some 30 bytes a word of it. Other columns are not read. An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(text_of(F.col(text_col)), "UTF-8").alias("text"))
-    most = (rows.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0) // 2 + 1  # shingles there can be
-    bucket_bits = max(0, min(math.ceil(math.log2(most / BUCKET)), int(math.log2(MOST_BUCKETS)))) if most > BUCKET else 0
-    bits = min(64, max(24, 8 * math.ceil((math.log2(most) + 2) / 8)))
-    back = _count_pass(rows, bits, bucket_bits, words).groupBy("bucket").applyInArrow(_count_bucket((bits + 7) // 8), _BACK)
-    counted = shared_table(back.groupBy("chunk").applyInArrow(_count_chunk, _COUNTED), "ngram-counts")
-    texts = counted.select("doc_id", "node", "n")
-
-    # Sets that can link at all, one text of each: enough of their shingles are shared.
-    nodes = counted.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.sum("shared").alias("shared"))
-    alive = nodes.where((F.col("n") > 0) & (100 * F.col("shared") >= percent * F.col("n")) & F.col("rep").isNotNull()).select("rep")
-    sets = shared_table(_sets(rows.join(alive, rows.doc_id == alive.rep, "left_semi").select("doc_id", "text"), words), "ngram-sets")
+    sketch = shared_table(_sets(rows, words, lower=True), "ngram-sketch")
+    alive = _can_link(sketch, percent)
+    sets = shared_table(_sets(rows.join(alive, rows.doc_id == alive.rep, "left_semi").select("doc_id", "text"), words, lower=False).where("n > 0"), "ngram-sets")
     linked = _link(sets, percent)
 
-    # Back to the documents: component of the set if it was linked, else of its copies.
-    per_set = texts.groupBy("node").agg(F.min("doc_id").alias("first"))
-    per_set = per_set.join(linked, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = per_set.groupBy("comp").agg(F.min("first").alias("component"))
-    per_set = per_set.join(least, "comp").select(F.col("node").alias("s_node"), "component")
-    out = texts.join(per_set, texts.node == F.col("s_node"), "left")
-    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    # Back to the documents. Only sets of several documents and linked ones are carried on: (hi, lo, component).
+    first = sketch.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("c"))
+    named = shared_table(first.join(linked.withColumnsRenamed({"hi": "l_hi", "lo": "l_lo"}), (F.col("hi") == F.col("l_hi")) & (F.col("lo") == F.col("l_lo")), "left").where("c > 1 or comp is not null").select("hi", "lo", "first", "comp"), "ngram-first")
+    least = shared_table(named.where("comp is not null").groupBy(F.col("comp").alias("l_comp")).agg(F.min("first").alias("component")), "ngram-least")
+    groups = named.join(least, F.col("comp") == F.col("l_comp"), "left").select(F.col("hi").alias("g_hi"), F.col("lo").alias("g_lo"), F.coalesce("component", "first").alias("component"))
+    groups = shared_table(groups, "ngram-groups")
+    out = sketch.select("doc_id", "hi", "lo", "n").join(groups, (F.col("hi") == F.col("g_hi")) & (F.col("lo") == F.col("g_lo")), "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def _link(sets: DataFrame, percent: int) -> DataFrame:
-    """(node, comp) for every set that links with another, from sets (node, n, shingles)."""
-    spark = sets.sparkSession
+    """(hi, lo, comp) for every set that may link with another, from sets (hi, lo, n, shingles); equal comps are linked."""
     least_partner = F.ceil(percent * F.col("n") / 100)
-    places = sets.select("node", "n", F.explode("shingles").alias("t"))
-    df = places.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = places.join(df, "t").groupBy("node", "n").agg(F.sort_array(F.collect_set(F.struct("df", "t"))).alias("s"))
-    core = shared.where(100 * F.size("s") >= percent * F.col("n")).select("node", "n", F.transform("s", lambda x: x["t"]).alias("shingles"))
-    core = shared_table(core, "ngram-core")
+    places = sets.select("hi", "lo", "n", F.explode("shingles").alias("t"))
+    df = shared_table(sets.select(F.explode("shingles").alias("d_t")).groupBy("d_t").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "ngram-frequencies")
+    common = places.join(df, F.col("t") == F.col("d_t")).groupBy("hi", "lo", "n").agg(F.sort_array(F.collect_set(F.struct("df", "t"))).alias("s"))
+    core = common.where(100 * F.size("s") >= percent * F.col("n")).select("hi", "lo", "n", F.transform("s", lambda x: x["t"]).alias("shingles"))
+    # Written with its number, so the number stays.
+    core = shared_table(core.withColumn("node", F.monotonically_increasing_id()), "ngram-core")
 
     # Index entries: a set's prefix. Its unshared shingles come first and take positions, but no entries.
     alone = F.col("n") - F.size("shingles")
@@ -374,74 +274,96 @@ def _link(sets: DataFrame, percent: int) -> DataFrame:
     entries = core.select("node", "n", alone.alias("alone"), F.posexplode(F.slice("shingles", F.lit(1), prefix)).alias("i", "t"))
     left = F.col("n") - F.col("alone") - F.col("i")
     entries = entries.withColumn("most", F.floor(((100 + percent) * left - percent * F.col("n")) / percent)).where(F.col("most") >= least_partner)
-    ratio = math.log((200 - percent) / percent) / 2
-    entries = entries.select("t", "node", "n", "most", F.floor(F.log("n") / ratio).alias("block"))
+    entries = entries.select("t", "node", "n", "most", least_partner.alias("least"), _block(F.col("n"), percent).alias("block"))
     entries = shared_table(entries, "ngram-entries")
 
     fits = (F.col("n") <= F.col("o_most")) & (F.col("o_n") <= F.col("most"))
     apart = F.col("comp") != F.col("o_comp")
-    other = lambda df, *key: df.select(*[F.col(k).alias(f"o_{k}") for k in (*key, "node", "n", "most", "comp")])
+    same_block = (F.col("t") == F.col("o_t")) & (F.col("block") == F.col("o_block"))
+    kinds = ("node", "n", "most", "comp")
+    pair = F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")
 
     def linked(found: DataFrame) -> DataFrame:
         return found.where(_links(F.col("n_a"), F.col("n_b"), F.col("common"), percent)).select("a", "b")
 
-    # First, every list's entries meet one leader a block, the same one in as many lists as can be.
-    order = F.struct(F.xxhash64("node"), F.col("node"))
+    def leaders(here: DataFrame, seats: int, turn: int) -> DataFrame:
+        """In each block of each list, the sets with the smallest hash of each seat: the same ones in as many lists as can be."""
+        seat = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(seats)).alias("seat")
+        pick = F.min_by(F.struct(*kinds), F.struct(F.xxhash64("node", F.lit(-turn)), F.col("node")))
+        found = here.groupBy("t", "block", seat).agg(pick.alias("o"))
+        return shared_table(found.select(F.col("t").alias("o_t"), F.col("block").alias("o_block"), *[F.col(f"o.{k}").alias(f"o_{k}") for k in kinds]), "ngram-leaders")
+
+    # First, every entry meets the leader of its own block.
     here = entries.withColumn("comp", F.col("node"))
-    lead = here.groupBy("t", "block").agg(F.min_by(F.struct("node", "n", "most", "comp"), order).alias("o")).select("t", "block", "o.*")
-    met = here.join(other(lead, "t", "block"), (F.col("t") == F.col("o_t")) & (F.col("block") == F.col("o_block"))).where(apart & fits)
-    answers = shared_table(_verified(met.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct(), core), "ngram-answers")
+    met = here.join(leaders(here, 1, 0), same_block).where(apart & fits).select(*pair).distinct()
+    answers = shared_table(_verified(met, core), "ngram-answers")
     labels = shared_table(components(core.select("node", F.col("node").alias("comp")), linked(answers)), "ngram-labels")
 
-    # Then only lists of several components count, and of these the entries outside the list's largest one: in some
-    # rounds they meet a growing number of its members, and at last all entries of other components.
-    for turn, leaders in enumerate((*LEADERS, None)):
-        here = entries.join(labels, "node")
-        per = here.groupBy("t", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("t").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"), F.count(F.lit(1)).alias("k"))
-        here = shared_table(here.join(per.where("k > 1").select(F.col("t").alias("p_t"), "major"), F.col("t") == F.col("p_t")).drop("p_t"), "ngram-mixed")
-        if here.isEmpty():
+    # Then only lists of several components count, and of these the entries outside the list's largest one meet some
+    # more leaders of the largest, in all blocks in their reach.
+    for turn, seats in enumerate((*LEADERS, None), 1):
+        per = entries.join(labels, "node").groupBy("t", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("t").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"), F.count(F.lit(1)).alias("k"))
+        mixed = shared_table(per.where("k > 1").select(F.col("t").alias("p_t"), "major"), "ngram-mixed-lists")
+        if mixed.isEmpty():
             break
-        minor = other(here.where("comp != major"), "t")
-        if leaders is None:
-            facing = here
-            once = (F.col("comp") == F.col("major")) | (F.col("node") < F.col("o_node"))
+        here = shared_table(entries.join(mixed, F.col("t") == F.col("p_t")).drop("p_t").join(labels, "node"), "ngram-mixed")
+        if seats is None:
+            pairs = _survivors(here, answers, core, percent)
         else:
-            seat = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(leaders)).alias("seat")
-            pick = F.min_by(F.struct("node", "n", "most", "comp"), F.struct(F.xxhash64("node", "t", F.lit(turn)), F.col("node")))
-            facing = here.where("comp = major").groupBy("t", seat).agg(pick.alias("o")).select("t", "o.*")
-            once = F.lit(True)
-        met = facing.join(minor, F.col("t") == F.col("o_t")).where(apart & fits & once)
-        pairs = met.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct()
-        pairs = shared_table(pairs.join(answers.select("a", "b"), ["a", "b"], "left_anti"), "ngram-pairs")
-        if pairs.isEmpty():
+            probes = _probes(here.where("comp != major"), F.col("least"), F.col("most"), percent)
+            pairs = probes.join(leaders(here.where("comp = major"), seats, turn), same_block).where(apart & fits).select(*pair).distinct()
+            pairs = pairs.join(answers.select("a", "b"), ["a", "b"], "left_anti")
+        new = shared_table(_verified(pairs, core), "ngram-answers")
+        if new.isEmpty():
             continue
-        new = shared_table(_derived(pairs, answers, core, percent), "ngram-answers")
         answers = answers.unionByName(new)
         labels = shared_table(components(labels, linked(new)), "ngram-labels")
-    return labels
+    return core.select("node", "hi", "lo").join(labels, "node").select("hi", "lo", "comp")
+
+
+def _block(size: Column, percent: int) -> Column:
+    """Number of the block of a set size: steps of its logarithm, BLOCKS of them for the ratio of two linked sets' sizes."""
+    return F.floor(F.log(size) / F.lit(math.log(100 / min(percent, 99)) / BLOCKS) + 1e-9)
+
+
+def _probes(here: DataFrame, low: Column, high: Column, percent: int) -> DataFrame:
+    """Entries once for each block that holds sets of the sizes low to high, and for no other."""
+    return here.withColumn("block", F.explode(F.sequence(_block(F.greatest(low, F.lit(1)), percent), _block(high, percent))))
 
 
-def _derived(pairs: DataFrame, answers: DataFrame, core: DataFrame, percent: int) -> DataFrame:
-    """Answers of pairs (a, b), as _verified gives them, less pairs whose answer the leaders' answers exclude.
+def _survivors(here: DataFrame, answers: DataFrame, core: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of entries (t, block, node, n, most, least, comp) that may link by what is known of their leaders.
 
-    A set's leader is the set of the answers so far with which it has most in common, if that is nearly all of it.
-    For a pair (x, y) where x has a leader L, first |L & y| is computed, once for all x that L leads; then
-    |x & y| <= |L & y| + |x - L| decides most pairs, and the rest is verified.
+    A set's leader is the set of the answers with which it has most in common, if that is nearly all of it, else
+    the set itself. Leaders meet where followers of theirs share a block in reach; |x & y| <= |L & M| + |x - L| + |y - M|
+    then excludes most pairs of leaders with all their followers. Only of the others, pairs of followers are listed,
+    by the lists and blocks in which they meet, and those tested one by one.
     """
-    both = answers.select("a", "b", "n_a", "n_b", "common").unionByName(answers.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("n_b").alias("n_a"), F.col("n_a").alias("n_b"), "common"))
-    near = F.struct(F.col("b").alias("lead"), (F.col("n_a") - F.col("common")).alias("lacks"), "n_a")
-    lead = both.where(100 * F.col("common") >= percent * F.col("n_a")).groupBy("a").agg(F.max_by(near, F.struct("common", "b")).alias("l")).select(F.col("a").alias("x"), "l")
-    led = pairs.join(lead.select(F.col("x").alias("a"), F.col("l").alias("l_a")), "a", "left").join(lead.select(F.col("x").alias("b"), F.col("l").alias("l_b")), "b", "left")
-    by_a = F.col("l_a").isNotNull() & (F.col("l_b").isNull() | (F.col("l_a.lacks") <= F.col("l_b.lacks")))
-    led = led.select("a", "b", F.when(by_a, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(by_a, F.col("b")).otherwise(F.col("a")).alias("y"), F.when(by_a, F.col("l_a")).otherwise(F.col("l_b")).alias("l"))
-    led = shared_table(led.select("a", "b", "x", "y", "l.lead", "l.lacks", F.col("l.n_a").alias("n_x")), "ngram-led")
-    direct = led.where("lead is null").select("a", "b")
-    led = led.where("lead is not null")
-    heads = led.select(F.col("lead").alias("a"), F.col("y").alias("b")).distinct()
-    fresh = shared_table(_verified(heads.join(both, ["a", "b"], "left_anti"), core), "ngram-heads")
-    known = fresh.unionByName(both.join(heads, ["a", "b"], "left_semi")).select(F.col("a").alias("k_lead"), F.col("b").alias("k_y"), F.col("n_b").alias("n_y"), F.col("common").alias("of_lead")).distinct()
-    met = led.join(known, (F.col("lead") == F.col("k_lead")) & (F.col("y") == F.col("k_y")))
-    open_ = met.where((100 + percent) * (F.col("of_lead") + F.col("lacks")) >= percent * (F.col("n_x") + F.col("n_y"))).select("a", "b")
-    new = _verified(direct.unionByName(open_), core)
-    turned = F.col("a") > F.col("b")
-    return new.unionByName(fresh.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(turned, F.col("n_b")).otherwise(F.col("n_a")).alias("n_a"), F.when(turned, F.col("n_a")).otherwise(F.col("n_b")).alias("n_b"), "common"))
+    need = lambda n, o: F.ceil(percent * (n + o) / (100 + percent))
+    near = F.struct(F.col("b").alias("lead"), (F.col("n_a") - F.col("common")).alias("lacks"))
+    both = answers.select("a", "b", "n_a", "common").unionByName(answers.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("n_b").alias("n_a"), "common"))
+    lead = both.where(100 * F.col("common") >= percent * F.col("n_a")).groupBy("a").agg(F.max_by(near, F.struct("common", "b")).alias("l")).select(F.col("a").alias("l_a"), "l.lead", "l.lacks")
+    here = here.join(shared_table(lead, "ngram-lead"), F.col("node") == F.col("l_a"), "left").drop("l_a", "major")
+    here = shared_table(here.withColumns({"lead": F.coalesce("lead", "node"), "lacks": F.coalesce("lacks", F.lit(0))}), "ngram-followers")
+
+    group = here.groupBy("t", "block", "lead").agg(F.min("n").alias("n"), F.min("least").alias("least"), F.max("n").alias("n_top"), F.max("most").alias("most"), F.max("lacks").alias("lacks"), F.min("comp").alias("comp"), F.max("comp").alias("comp_top"))
+    group = shared_table(group, "ngram-groups-of-lists")
+    other = group.select(*[F.col(c).alias(f"o_{c}") for c in group.columns])
+    met = _probes(group, F.col("least"), F.least("n_top", "most"), percent).join(other, (F.col("t") == F.col("o_t")) & (F.col("block") == F.col("o_block")))
+    mixed = (F.col("comp") != F.col("comp_top")) | (F.col("comp") != F.col("o_comp")) | (F.col("comp") != F.col("o_comp_top"))
+    met = met.where(mixed & (F.col("n") <= F.col("o_most")) & (F.col("o_n") <= F.col("most")))
+    pairs = met.groupBy(F.least("lead", "o_lead").alias("a"), F.greatest("lead", "o_lead").alias("b")).agg(F.max(F.col("lacks") + F.col("o_lacks") - need(F.col("n"), F.col("o_n"))).alias("slack"))
+    pairs = shared_table(pairs, "ngram-lead-pairs")
+    known = answers.select("a", "b", "common").unionByName(_verified(pairs.where("a != b").join(answers, ["a", "b"], "left_anti").select("a", "b"), core).select("a", "b", "common"))
+    of_one = core.select(F.col("node").alias("a"), F.col("node").alias("b"), F.col("n").alias("common"))
+    bound = pairs.join(known.unionByName(of_one), ["a", "b"]).where(F.col("common") + F.col("slack") >= 0).select("a", "b", "common")
+    bound = shared_table(bound.unionByName(bound.where("a != b").select(F.col("b").alias("a"), F.col("a").alias("b"), "common")).withColumnsRenamed({"a": "lead", "b": "o_lead"}), "ngram-bounds")
+
+    # The smaller set of a pair is found by its block, the larger one probes.
+    x = here.select(*[F.col(c).alias(f"o_{c}") for c in ("t", "block", "node", "n", "most", "lead", "lacks", "comp")]).join(bound, "o_lead")
+    y = _probes(here.join(bound.select("lead").distinct(), "lead", "left_semi"), F.col("least"), F.least("n", "most"), percent)
+    met = y.join(x, (F.col("t") == F.col("o_t")) & (y.block == x.o_block) & (y.lead == x.lead))
+    ordered = (F.col("o_n") < F.col("n")) | ((F.col("o_n") == F.col("n")) & (F.col("o_node") < F.col("node")))
+    may = F.col("common") + F.col("lacks") + F.col("o_lacks") >= need(F.col("n"), F.col("o_n"))
+    met = met.where((F.col("comp") != F.col("o_comp")) & ordered & may & (F.col("n") <= F.col("o_most")))
+    return met.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct().join(answers.select("a", "b"), ["a", "b"], "left_anti")
