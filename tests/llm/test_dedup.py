@@ -103,7 +103,8 @@ def test_ngram_join_ties_of_hashes(spark):
     from wickerframe.llm import ngram_jaccard as m
 
     rows = [(1, 7, 1, 4, [1, 2, 3, 4]), (2, 7, 2, 4, [5, 6, 7, 8]), (3, 9, 3, 4, [11, 12, 13, 14]), (4, 10, 4, 4, [21, 22, 23, 24]), (5, 11, 5, 4, [21, 22, 23, 25]), (None, 12, 6, 4, [21, 22, 23, 25])]
-    got = m._can_link(spark.createDataFrame(rows, "doc_id long, hi long, lo long, n long, shingles array<long>"), 75)
+    sets = spark.createDataFrame(rows, "doc_id long, hi long, lo long, n long, shingles array<long>")
+    got = m._can_link(sets, sets.select("hi", F.explode("shingles").alias("t")), 75)
     assert sorted(r.rep for r in got.collect()) == [1, 2, 4, 5]
 
 

@@ -154,9 +154,10 @@ def _set_hash(tokens: np.ndarray) -> tuple[int, int]:
     return tuple(_mix(sums + _U(len(tokens)) * _SEATS[62:64]).view(np.int64).tolist())
 
 
-def _sets(rows: DataFrame, words: int, lower: bool) -> DataFrame:
-    """Of each row (doc_id, text): doc_id, the set's hash (hi, lo), its size n, and its shingles; with lower, only those
-    with the smaller half of hashes."""
+def _sets(rows: DataFrame, words: int, what: str) -> DataFrame:
+    """Of each row (doc_id, text), by what: "name" gives doc_id, the set's hash (hi, lo) and its size n; "set" gives its
+    shingles besides; "half" gives a row (hi, t) for each shingle t in the smaller half of hashes."""
+    schema = {"name": "doc_id long, hi long, lo long, n long", "set": "doc_id long, hi long, lo long, n long, shingles array<long>", "half": "hi long, t long"}[what]
 
     def run(batches):
         with np.errstate(over="ignore"):
@@ -167,23 +168,27 @@ def _sets(rows: DataFrame, words: int, lower: bool) -> DataFrame:
                     flat, offsets = shingle_sets(texts, words)
                     named = np.array([_set_hash(flat[a:b]) for a, b in zip(offsets[:-1], offsets[1:])], np.int64).reshape(-1, 2)
                     sizes = np.diff(offsets)
-                    if lower:  # sets are sorted, so the lower half of hashes comes first in each
+                    if what == "half":
                         low = flat < _U(1 << 63)
-                        flat, offsets = flat[low], np.concatenate([[0], np.cumsum(low)])[offsets]
-                    shingles = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat.view(np.int64)))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, 128), pa.array(named[:, 0]), pa.array(named[:, 1]), pa.array(sizes.astype(np.int64)), shingles], names=["doc_id", "hi", "lo", "n", "shingles"])
+                        out = [pa.array(np.repeat(named[:, 0], sizes)[low]), pa.array(flat[low].view(np.int64))]
+                    else:
+                        out = [batch.column(0).slice(start, 128), pa.array(named[:, 0]), pa.array(named[:, 1]), pa.array(sizes.astype(np.int64))]
+                    if what == "set":
+                        out.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat.view(np.int64))))
+                    yield pa.RecordBatch.from_arrays(out, names=[x.split()[0] for x in schema.split(", ")])
 
-    return rows.mapInArrow(run, "doc_id long, hi long, lo long, n long, shingles array<long>")
+    return rows.mapInArrow(run, schema)
 
 
-def _can_link(sketch: DataFrame, percent: int) -> DataFrame:
-    """rep: of each set that can link at all, the smallest id.
+def _can_link(sketch: DataFrame, half: DataFrame, percent: int) -> DataFrame:
+    """rep: of each set that can link at all, the smallest id; from (doc_id, hi, lo, n) and (hi, t).
 
     A set with u shingles that no other set has shares n - u at most, so it needs 100 (n - u) >= percent n. Shingles
-    are grouped with the smallest and the largest of their sets' (first 64 bits of) hashes, combined on the map side: however many
-    sets share a shingle, or copies a set, a task sends one row. Sets whose 64 bits another set has are kept as they are.
+    are grouped with the smallest and the largest of their sets' hashes (first 64 bits), combined on the map side:
+    however many sets share a shingle, or copies a set, a task sends one row. Sets whose 64 bits another set has are
+    kept as they are.
     """
-    seen = sketch.select("hi", F.explode("shingles").alias("t")).groupBy("t").agg(F.min("hi").alias("a"), F.max("hi").alias("b"))
+    seen = half.groupBy("t").agg(F.min("hi").alias("a"), F.max("hi").alias("b"))
     alone = seen.where("a = b").groupBy(F.col("a").alias("u_hi")).agg(F.count(F.lit(1)).alias("u"))
     sets = sketch.where("n > 0").groupBy("hi").agg(F.min("lo").alias("lo"), F.max("lo").alias("lo2"), F.min("doc_id").alias("rep"), F.min("n").alias("n"))
     judged = sets.join(alone, F.col("hi") == F.col("u_hi"), "left")
@@ -243,9 +248,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     and some 30 bytes a word of it. Other columns are not read. An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(text_of(F.col(text_col)), "UTF-8").alias("text"))
-    sketch = shared_table(_sets(rows, words, lower=True), "ngram-sketch")
-    alive = _can_link(sketch, percent)
-    sets = shared_table(_sets(rows.join(alive, rows.doc_id == alive.rep, "left_semi").select("doc_id", "text"), words, lower=False).where("n > 0"), "ngram-sets")
+    sketch = shared_table(_sets(rows, words, "name"), "ngram-sketch")
+    alive = shared_table(_can_link(sketch, _sets(rows, words, "half"), percent), "ngram-alive")
+    sets = shared_table(_sets(rows.join(alive, rows.doc_id == alive.rep, "left_semi").select("doc_id", "text"), words, "set").where("n > 0"), "ngram-sets")
     linked = _link(sets, percent)
 
     # Back to the documents. Only sets of several documents and linked ones are carried on: (hi, lo, component).
