@@ -38,7 +38,7 @@ HASH_BYTES = 1 << 20
 #: Blocks of set sizes that the ratio of two linked sets' sizes can span.
 BLOCKS = 4
 #: Members of a list's largest component that the list's other entries meet, by round and block, before leaders are compared.
-LEADERS = (4, 32)
+LEADERS = (16,)
 
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
@@ -341,8 +341,8 @@ def _survivors(here: DataFrame, answers: DataFrame, core: DataFrame, percent: in
 
     A set's leader is the set of the answers with which it has most in common, if that is nearly all of it, else
     the set itself. Leaders meet where followers of theirs share a block in reach; |x & y| <= |L & M| + |x - L| + |y - M|
-    then excludes most pairs of leaders with all their followers. Only of the others, pairs of followers are listed,
-    by the lists and blocks in which they meet, and those tested one by one.
+    then excludes most pairs of leaders with all their followers. Only followers of the others are listed in pairs,
+    by the lists and blocks in which they meet, and the bound tests each pair.
     """
     need = lambda n, o: F.ceil(percent * (n + o) / (100 + percent))
     near = F.struct(F.col("b").alias("lead"), (F.col("n_a") - F.col("common")).alias("lacks"))
@@ -364,11 +364,11 @@ def _survivors(here: DataFrame, answers: DataFrame, core: DataFrame, percent: in
     bound = pairs.join(known.unionByName(of_one), ["a", "b"]).where(F.col("common") + F.col("slack") >= 0).select("a", "b", "common")
     bound = shared_table(bound.unionByName(bound.where("a != b").select(F.col("b").alias("a"), F.col("a").alias("b"), "common")).withColumnsRenamed({"a": "lead", "b": "o_lead"}), "ngram-bounds")
 
-    # The smaller set of a pair is found by its block, the larger one probes.
-    x = here.select(*[F.col(c).alias(f"o_{c}") for c in ("t", "block", "node", "n", "most", "lead", "lacks", "comp")]).join(bound, "o_lead")
+    # Followers of these leaders meet by lists and blocks: the smaller set of a pair is found by its block, the larger probes.
+    x = here.join(bound.select("o_lead").distinct(), F.col("lead") == F.col("o_lead"), "left_semi").select(*[F.col(c).alias(f"o_{c}") for c in ("t", "block", "node", "n", "most", "lead", "lacks", "comp")])
     y = _probes(here.join(bound.select("lead").distinct(), "lead", "left_semi"), F.col("least"), F.least("n", "most"), percent)
-    met = y.join(x, (F.col("t") == F.col("o_t")) & (y.block == x.o_block) & (y.lead == x.lead))
     ordered = (F.col("o_n") < F.col("n")) | ((F.col("o_n") == F.col("n")) & (F.col("o_node") < F.col("node")))
-    may = F.col("common") + F.col("lacks") + F.col("o_lacks") >= need(F.col("n"), F.col("o_n"))
-    met = met.where((F.col("comp") != F.col("o_comp")) & ordered & may & (F.col("n") <= F.col("o_most")))
-    return met.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct().join(answers.select("a", "b"), ["a", "b"], "left_anti")
+    met = y.join(shared_table(x, "ngram-found"), (F.col("t") == F.col("o_t")) & (F.col("block") == F.col("o_block")) & (F.col("comp") != F.col("o_comp")) & ordered & (F.col("n") <= F.col("o_most")))
+    met = met.select("node", "n", "lead", "lacks", "o_node", "o_n", "o_lead", "o_lacks").distinct().join(bound, ["lead", "o_lead"])
+    met = met.where(F.col("common") + F.col("lacks") + F.col("o_lacks") >= need(F.col("n"), F.col("o_n")))
+    return met.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).join(answers.select("a", "b"), ["a", "b"], "left_anti")
