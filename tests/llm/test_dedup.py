@@ -198,6 +198,22 @@ def test_line_dedup_long_lines(spark):
     assert got == literal_lines(rows)
 
 
+def test_line_dedup_many_lines(spark):
+    """Three hundred thousand equal lines, and fifty thousand different ones with a copy: work is in proportion to the lines."""
+    same, lines = "the same line\n" * 300_000, [f"line {i}" for i in range(50_000)]
+    rows = [(1, same), (2, "\n".join(lines)), (3, "first\n" + "\n".join(lines) + "\nlast")]
+    got = {r.doc_id: r for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[1].n_lines, got[1].n_deleted) == (300_000, 299_999) and got[1].clean_text == "the same line\n"
+    assert got[2].n_deleted == 0 and got[3].clean_text == "first\nlast"
+
+
+def test_exact_dedup_without_ids(spark):
+    """Rows without an id and with one text, in several partitions: one stays."""
+    df = spark.createDataFrame([(None, "t") for _ in range(500)] + [(1, "u"), (1, "u")], "doc_id long, text string").repartition(5)
+    got = exact_dedup(df).collect()
+    assert sum(r.kept for r in got if r.doc_id is None) == 1 and sum(r.kept for r in got if r.doc_id == 1) == 1
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_oracle(spark, sf, name):
     """Registered queries against their SQL."""

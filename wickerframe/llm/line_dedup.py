@@ -1,9 +1,11 @@
 """Line dedup by winnowing over line hashes. DataFrame functions only.
 
 Lines are hashed, hashes of GRAM consecutive lines are winnowed (the smallest of each WINDOW of them is a
-fingerprint), places with a common fingerprint meet the first one with the same lines around it, matches are extended
-line by line in both directions, and runs of at least GRAM + WINDOW - 1 lines that an earlier place has are deleted. Winnowing guarantees that any
-repeated run of that length shares a fingerprint with each of its copies. Shorter runs of LONG_WORDS words or more
+fingerprint), places with a common fingerprint meet the first one with the same lines around it, and runs of at least
+GRAM + WINDOW - 1 lines that an earlier place has are deleted. Winnowing guarantees that any repeated run of that
+length shares a fingerprint with each of its copies. A match is extended both ways by its neighbours: if the line
+after it matches as well, so does the run that starts one line later, around its own fingerprint, and the union of the
+matched runs is the extended one; work is in proportion to the lines, however often they repeat. Shorter runs of LONG_WORDS words or more
 are fingerprints themselves.
 """
 
@@ -27,13 +29,18 @@ def _fingerprints(grams: Column, window: int) -> Column:
     return F.array_distinct(places)
 
 
+def _key(kind: Column, run: Column) -> Column:
+    """Two hashes of a run of lines, with different seeds."""
+    return F.struct(F.xxhash64(kind, run).alias("a"), F.xxhash64(kind + 1000, run).alias("b"))
+
+
 def _long_runs(lines: DataFrame, run: int, long_words: int) -> DataFrame:
     """Runs of under `run` lines that have long_words words, each its own fingerprint and context."""
     n = F.size("lines")
-    of = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - (k - 1))), lambda a: F.struct(a.alias("at"), F.lit(k).alias("span"), F.xxhash64(F.lit(k), F.slice("lines", a, k)).alias("key")))
+    of = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - (k - 1))), lambda a: F.struct(a.alias("at"), F.lit(k).alias("span"), _key(F.lit(k), F.slice("lines", a, k)).alias("key")))
     words = lambda c: F.aggregate(F.slice("sizes", c["at"], c["span"]), F.lit(0), lambda a, x: a + x)
     found = F.filter(F.concat(*[of(k) for k in range(1, run)]), lambda c: (c["at"] + c["span"] - 1 <= n) & (words(c) >= long_words))
-    return lines.select("doc", F.explode(found).alias("c")).select(F.col("c.key").alias("f"), "doc", F.array("c").alias("context"))
+    return lines.select("doc", F.explode(found).alias("c")).select(F.col("c.key.a").alias("f"), "doc", F.array("c").alias("context"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, window: int = WINDOW, long_words: int | None = LONG_WORDS) -> DataFrame:
@@ -41,9 +48,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Lines are the parts of a text between newlines that hold a word; they are compared with the white space at
     both ends cut and runs inside made one space. Places are ordered by (doc_id, line). A place
-    of a repeated fingerprint is matched with the first place that has the same gram + window - 1 lines around it;
-    the match is extended up and down while the lines are equal, and the later place's lines are deleted (a run
-    that repeats within one document as well; the earlier place stays). So exactly the lines go that stand
+    of a repeated fingerprint is matched with the first place that has the same gram + window - 1 lines around it,
+    and the later place's lines are deleted (a run that repeats within one document as well; the earlier place stays).
+    Lines are compared by 64-bit hashes, and runs by two 64-bit hashes of these. So exactly the lines go that stand
     in a run of gram + window - 1 lines, or of fewer lines with long_words words together, which an equal run precedes
     anywhere in the corpus. Without long_words (None) only the number of lines counts. Lines without a word, and all others, stay as they are.
     A document that loses nothing keeps its text as it is; a null text stays null and has no lines. Rows with a null
@@ -51,8 +58,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     is deleted on the other's account. Empty tables give empty results; other columns are not read.
 
     Plan: fingerprints (16 bytes and a place) are what is shuffled; the first place is a map-side combined
-    minimum, and places meet it in one equi-join, so a run of n places gives n - 1 matches, not n x n. Matches of one document on one diagonal are merged before the line hashes of the two documents are
-    joined to them; adaptive execution splits documents and fingerprints that many matches share.
+    minimum, and places meet it in one equi-join, so a run of n places gives n - 1 matches, not n x n; adaptive
+    execution splits fingerprints that many places share. A document's deleted lines come together as numbers.
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     raw = F.split(text_of("text"), "\n")
@@ -70,39 +77,26 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     run = gram + window - 1
     # A fingerprint's contexts: the runs of lines around it that are long enough to be deleted.
     starts = lambda i: F.filter(F.transform(F.array(*[F.lit(o) for o in range(window)]), lambda o: i - o), lambda a: (a >= 1) & (a + run - 1 <= n))
-    context = F.transform(starts(F.col("i")), lambda a: F.struct(a.alias("at"), F.lit(run).alias("span"), F.xxhash64(F.slice("lines", a, run)).alias("key")))
-    prints = lines.where(enough).withColumn("grams", grams).select("doc", "lines", "grams", F.explode(_fingerprints(F.col("grams"), window)).alias("i"))
-    prints = prints.select(F.get("grams", F.col("i") - 1).alias("f"), "doc", context.alias("context"))
+    context = lambda i: F.transform(starts(i), lambda a: F.struct(a.alias("at"), F.lit(run).alias("span"), _key(F.lit(run), F.slice("lines", a, run)).alias("key")))
+    # Put together before they are dealt out: rows of single fingerprints must not carry the document's lines.
+    found = F.transform(_fingerprints(F.col("grams"), window), lambda i: F.struct(F.get("grams", i - 1).alias("f"), context(i).alias("context")))
+    prints = lines.where(enough).withColumn("grams", grams).select("doc", F.explode(found).alias("p")).select("p.f", "doc", "p.context")
     if long_words is not None:
         prints = prints.unionByName(_long_runs(lines, run, long_words))
     often = prints.groupBy("f").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("f")
     places = prints.join(often, "f").select("doc", F.explode("context").alias("c")).select("doc", "c.at", "c.span", "c.key").distinct()
-    first = places.groupBy("key").agg(F.min(F.struct("doc", "at")).alias("o"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", F.col("o.doc").alias("o_doc"), F.col("o.at").alias("o_at"))
-    met = places.join(first, "key").where((F.col("doc") != F.col("o_doc")) | (F.col("at") != F.col("o_at")))
-    diagonals = met.groupBy("doc", "o_doc", (F.col("at") - F.col("o_at")).alias("d")).agg(F.collect_set(F.struct("at", "span")).alias("at"))
-
-    mine = lines.select(F.col("doc").alias("m_doc"), F.col("lines").alias("mine"))
-    theirs = lines.select(F.col("doc").alias("t_doc"), F.col("lines").alias("theirs"))
-    pairs = diagonals.join(mine, F.col("doc") == F.col("m_doc")).join(theirs, F.col("o_doc") == F.col("t_doc"))
-    # Along the diagonal: where lines differ, and so the runs in between. A run counts if a match stands in it.
-    low = F.greatest(F.lit(1), F.col("d") + 1)
-    high = F.least(F.size("mine"), F.size("theirs") + F.col("d"))
-    breaks = F.concat(F.array(low - 1), F.filter(F.sequence(low, high), lambda k: F.get("mine", k - 1) != F.get("theirs", k - F.col("d") - 1)), F.array(high + 1))
-    runs = F.transform(F.slice("breaks", F.lit(1), F.size("breaks") - 1), lambda b, k: F.struct((b + 1).alias("lo"), (F.get("breaks", k + 1) - 1).alias("hi")))
-    kept_runs = F.filter(runs, lambda r: F.exists("at", lambda i: (i["at"] >= r["lo"]) & (i["at"] + i["span"] - 1 <= r["hi"])))
-    spans = pairs.withColumn("breaks", breaks).select("doc", F.explode(kept_runs).alias("r"))
-    gone = spans.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("r.lo", "r.hi")))).alias("gone")).select(F.col("doc.doc_id").alias("g_id"), F.col("doc.v").alias("g_v"), "gone")
+    first = places.groupBy("key").agg(F.min(F.struct("doc", "at")).alias("o"), F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("key").alias("o_key"), F.col("o.doc").alias("o_doc"), F.col("o.at").alias("o_at"))
+    met = places.join(shared_table(first, "line-first-places"), F.col("key") == F.col("o_key")).where((F.col("doc") != F.col("o_doc")) | (F.col("at") != F.col("o_at")))
+    gone = met.select("doc", F.explode(F.sequence("at", F.col("at") + F.col("span") - 1)).alias("k")).groupBy("doc").agg(F.collect_set("k").alias("gone"))
+    gone = shared_table(gone.select(F.col("doc.doc_id").alias("g_id"), F.col("doc.v").alias("g_v"), "gone"), "line-gone")
 
     out = hashed.select("doc_id", "text", F.xxhash64("text").alias("v"), F.size(F.filter("all", lambda h: h.isNotNull())).cast("long").alias("n_lines"))
     out = out.join(gone, (F.col("doc_id") == F.col("g_id")) & (F.col("v") == F.col("g_v")), "left")
-    # Number the lines with words as they come, and drop those that are gone.
-    number = F.aggregate(
-        F.split("text", "\n"),
-        F.struct(F.lit(0).alias("k"), F.array().cast("array<string>").alias("keep")),
-        lambda a, x: F.struct(
-            (a["k"] + F.when(x.rlike(f"[^{SPACE[1:-1]}]"), 1).otherwise(0)).alias("k"),
-            F.when(x.rlike(f"[^{SPACE[1:-1]}]") & F.array_contains("gone", a["k"] + 1), a["keep"]).otherwise(F.concat(a["keep"], F.array(x))).alias("keep"),
-        ),
-    )["keep"]
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(number, "\n"))
+    # Places of the lines with words; those that are gone, by their numbers; all places but these.
+    worded = F.filter(F.transform("raw", lambda x, p: F.when(x.rlike(f"[^{SPACE[1:-1]}]"), p)), lambda p: p.isNotNull())
+    out = out.withColumn("raw", F.when(F.col("gone").isNotNull(), F.split("text", "\n"))).withColumn("worded", worded)
+    # That `worded` stands here twice keeps the optimiser from working it out anew for each line that is gone.
+    away = F.when(F.size("worded") > 0, F.transform("gone", lambda k: F.get("worded", k - 1)))
+    left = F.array_except(F.sequence(F.lit(0), F.size("raw") - 1), away)
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda p: F.get("raw", p)), "\n"))
     return out.select("doc_id", "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_deleted"), text.alias("clean_text"))

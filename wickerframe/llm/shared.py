@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 _own_root: str | None = None
+#: Tables in the shared folder, with the session that wrote them.
+_written: dict[str, SparkSession] = {}
 
 
 def text_of(column: str | Column = "text") -> Column:
@@ -49,31 +52,51 @@ def shared_root(spark: SparkSession) -> str:
 
 def shared_table(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: later reads neither recompute it nor need
-    the executors that made it. The folder goes when the driver's Python ends."""
+    the executors that made it. It goes when passing_tables ends, or the
+    driver's Python does."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/wickerframe/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
+    _written[path] = spark
     df.write.parquet(path)
-    atexit.register(_drop, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _drop(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Exception):
+@contextlib.contextmanager
+def passing_tables(*keep: str) -> Iterator[None]:
+    """On leaving, deletes the tables written meanwhile but those with a label that begins with one of `keep`. For
+    tables that nothing returned still reads."""
+    before = set(_written)
+    yield
+    for path in [p for p in _written if p not in before and not p.rsplit("/", 1)[1].startswith(keep)]:
+        _drop(path)
+
+
+def _drop(path: str) -> None:
+    spark = _written.pop(path)
+    with contextlib.suppress(Exception):  # the session may have ended, and its folder with it
         jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(conf).delete(where, True)
 
 
+@atexit.register
+def _drop_all() -> None:
+    for path in list(_written):
+        _drop(path)
+
+
 def bounded_sample(df: DataFrame, most: int, *by: str) -> DataFrame:
-    """At most `most` rows of df: those with the smallest hash of `by`, or all if there are no more. Rows are first
-    thinned by a threshold on the hash that leaves about twice as many, so what is sorted, and what is shuffled, is
-    a few times the sample however large df is. Reruns agree but for rows of equal hash."""
+    """At most `most` rows of df: those with the smallest hash of `by`, or all if there are no more; of rows with equal
+    hashes one. Only hashes are sorted, and thinned before that by a threshold that leaves about twice as many as
+    needed; the rows themselves stay in the tasks that read them. Reruns agree but for rows of equal hash."""
     spread = F.pmod(F.xxhash64(*by), F.lit(1 << 40))
     n = df.count()
-    few = df.withColumn("_wf_h", spread)
+    hashes = df.select(spread.alias("h"))
     if n > 4 * most:
-        few = few.where(F.col("_wf_h") < int((1 << 40) * 2 * most / n))
-    return few.orderBy("_wf_h").limit(most).drop("_wf_h")
+        hashes = hashes.where(F.col("h") < int((1 << 40) * 2 * most / n))
+    last = hashes.distinct().orderBy("h").limit(most).agg(F.max("h")).first()[0]
+    few = df.withColumn("_wf_h", spread).where(F.col("_wf_h") <= F.lit(-1 if last is None else last))
+    return few.dropDuplicates(["_wf_h"]).drop("_wf_h")
 
 
 def without(df: DataFrame, *names: str) -> list[str]:
