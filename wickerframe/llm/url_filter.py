@@ -28,7 +28,12 @@ RULES = (
 
 def host_of(url: Column) -> Column:
     """After the first :// up to /, ?, # or the end, A-Z lower-cased; empty without ://."""
-    return F.translate(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return _lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1))
+
+
+def _lower(host: Column) -> Column:
+    """A-Z lower-cased, and no other letter: rules and URLs alike."""
+    return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def path_of(url: Column) -> Column:
@@ -50,23 +55,27 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     host and path, fits no rule, and gets the default. Rules with a null field are ignored. Repeated rows and
     null ids are judged row by row: each input row gives one output row. Other columns are not read.
 
-    Expressions of one URL number (labels of its host) x (distinct path lengths of the rules). The join is left
+    Expressions of one URL number (labels of its host, as many as the rule of most labels has) x (distinct path
+    lengths of the rules), however long the URL is. The join is left
     to Catalyst: a rule list under spark.sql.autoBroadcastJoinThreshold is broadcast by its measured size, a
     longer one is shuffled, and adaptive execution splits a hot host. URLs that share host and path are judged once.
     """
-    rules = rules.dropna(subset=["verdict", "host", "path"]).groupBy(F.lower("host").alias("r_host"), F.col("path").alias("r_path")).agg(F.max("verdict").alias("r_verdict"))
+    rules = rules.dropna(subset=["verdict", "host", "path"]).groupBy(_lower(F.col("host")).alias("r_host"), F.col("path").alias("r_path")).agg(F.max("verdict").alias("r_verdict"))
     rules = rules.withColumn("r_digest", F.sha2(F.concat("r_host", F.lit("\n"), "r_path"), 256))
     lengths = sorted(r[0] for r in rules.select(F.length("r_path")).distinct().collect())  # at most the longest path
+    labels_of = lambda host: F.split(host, r"\.")
+    most = rules.agg(F.max(F.size(labels_of(F.col("r_host"))))).first()[0] or 1
     rules = rules.withColumn("r_short", F.substring("r_digest", 1, PREFIX_HEX))
 
     urls = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     # Pages with the same host and path share their verdict: judge each such pair once.
     pairs = urls.select("host", "path").distinct()
-    labels = F.split("host", r"\.")
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    # No rule's host has more labels than `most`, so longer suffixes fit none.
+    hosts = F.transform(F.sequence(F.lit(1), F.size("tail")), lambda i: F.array_join(F.slice(F.col("tail"), i, F.lit(most)), "."))
     paths = F.filter(F.transform(F.array(*[F.lit(n) for n in lengths] or [F.lit(0)]), lambda n: F.when(F.length("path") >= n, F.substring(F.col("path"), F.lit(1), n))), lambda p: p.isNotNull())
     expressions = (
         pairs.where(F.col("host") != "")
+        .withColumn("tail", F.split(F.substring_index("host", ".", -most), r"\."))
         .select("host", "path", F.explode(hosts).alias("e_host"), paths.alias("e_paths"))
         .select("host", "path", "e_host", F.explode("e_paths").alias("e_path"))
         .withColumn("digest", F.sha2(F.concat("e_host", F.lit("\n"), "e_path"), 256))
