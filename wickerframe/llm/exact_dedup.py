@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from .shared import SPACE, shared_table, text_of
 
@@ -49,7 +48,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         apart = apart.select("doc_id", "h", F.unhex(F.sha2("norm", 256)).alias("sha"), F.lit(True).alias("grouped"), F.col("k_id").alias("keep_id"), F.col("k_n").alias("n"))
         out = out.join(collided, F.col("h") == F.col("c_h"), "left_anti").unionByName(apart)
     out = out.withColumn("keep_id", F.when(F.col("grouped"), F.col("keep_id")).otherwise(F.col("doc_id")))
-    # Rows that repeat an id and a text differ in nothing: one of them is kept.
-    first = F.row_number().over(Window.partitionBy("doc_id", "sha").orderBy("doc_id")) == 1
-    out = out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")) & first)
+    # Rows that repeat an id and a text differ in nothing: one of them is kept. Their numbers are written, so they stay.
+    out = shared_table(out.select("doc_id", "sha", "keep_id", "n", F.monotonically_increasing_id().alias("row")), "dedup-rows")
+    may = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    again = out.where(may & (F.col("n") > 1)).groupBy(F.col("doc_id").alias("a_id"), F.col("sha").alias("a_sha")).agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    again = shared_table(again.drop("c"), "dedup-repeated")
+    if again.isEmpty():
+        out = out.withColumn("kept", may)
+    else:
+        out = out.join(again, F.col("doc_id").eqNullSafe(F.col("a_id")) & (F.col("sha") == F.col("a_sha")), "left")
+        out = out.withColumn("kept", may & F.coalesce(F.col("row") == F.col("first"), F.lit(True)))
     return out.select("doc_id", "keep_id", F.col("n").cast("long").alias("group_size"), "kept", F.lower(F.hex("sha")).alias("text_sha256"))
