@@ -105,6 +105,42 @@ def test_operator(spark, vocabulary, library, prose):
     assert bpe.encode(empty, vocabulary).count() == 0
 
 
+@pytest.mark.parametrize("text", [*TEXTS, "word and more. " * 20000, "é" * 70000 + " a \u0301b " * 9000])
+def test_digests(own, library, text):
+    import hashlib
+
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    want = library.encode(text, add_special_tokens=False).ids
+    assert own.digest(text) == (len(want), sha(" ".join(map(str, want))), sha(library.decode(want, skip_special_tokens=False)))
+
+
+def test_digest_memory(own):
+    """Beyond the text, memory does not grow with it: 2 and 20 MB of words, and one word."""
+    import tracemalloc
+
+    for text in ("some words of a very long text, again and again. ", "abcdefghij"):
+        peaks = []
+        for mb in (2, 20):
+            long = text * (mb * 1_000_000 // len(text))
+            tracemalloc.start()
+            if " " in text:
+                own.digest(long)
+            else:
+                for _ in own.stream(long[: mb * 10_000]):
+                    pass
+            peaks.append(tracemalloc.get_traced_memory()[1])
+            tracemalloc.stop()
+        assert peaks[1] < peaks[0] + 2_000_000, peaks
+
+
+def test_digest_operator(spark, vocabulary, prose):
+    df = spark.createDataFrame([(d, t, "x") for d, t in prose] + [(None, None, "x")], "doc_id long, text string, n_tokens string")
+    own = bpe.Vocabulary(vocabulary)
+    got = sorted(map(tuple, bpe.digests(df, vocabulary).collect()), key=repr)
+    assert got == sorted(((d, *own.digest(t or "")) for d, t in [*prose, (None, None)]), key=repr)
+    assert bpe.digests(df.limit(0), vocabulary).count() == 0
+
+
 def test_decoder_state(own):
     """Bytes of one character in two pieces; bytes that never complete one."""
     own2 = object.__new__(bpe.Vocabulary)

@@ -3,13 +3,15 @@
 Greedy BPE over a word depends on all of it in principle, but what follows a prefix can change the prefix's tokens
 only near its end. lookahead() computes from the merge list how near. The encoder therefore buffers a little more
 than that many symbols, emits the tokens that end before the unstable part, and keeps the rest: its memory does
-not grow with the word. The decoder pushes the bytes of one id after another through an incremental UTF-8 state
-machine.
+not grow with the word. A text is normalised and cut into pieces a segment at a time. The decoder pushes the bytes of
+one id after another through an incremental UTF-8 state machine. digests() carries ids and decoded bytes straight
+into running hashes, so that beyond the text itself its memory does not grow with the text.
 """
 
 from __future__ import annotations
 
 import codecs
+import hashlib
 import json
 import re
 import unicodedata
@@ -40,6 +42,10 @@ SLACK = 64
 MEMO = 1 << 17
 #: Pieces of a text that are in work at once; tokens of a batch that goes to the JVM.
 BLOCK, BATCH_TOKENS = 4096, 1 << 19
+#: Characters of a text that are normalised and cut into pieces at once, at least; a segment ends before a space.
+SEGMENT = 1 << 16
+#: Where a text may be cut: before a space that an ASCII letter or digit follows, so that nothing is composed across it.
+_CUT = re.compile(" (?=[A-Za-z0-9])")
 
 
 def byte_symbols() -> list[str]:
@@ -177,7 +183,14 @@ class Vocabulary:
         return [text[a:b] for _, (a, b) in spans]
 
     def encode(self, text: str) -> Iterator[list[int]]:
-        """Blocks of ids of a text of any length."""
+        """Blocks of ids of a text of any length, segment by segment."""
+        at = 0
+        while len(text) - at > SEGMENT and (cut := _CUT.search(text, at + SEGMENT)):
+            yield from self._encode(text[at : cut.start()])
+            at = cut.start()
+        yield from self._encode(text[at:] if at else text)
+
+    def _encode(self, text: str) -> Iterator[list[int]]:
         block: list[int] = []
         for part in self.split.split(text) if self.split and "<" in text else (text,):
             if part in self.special:
@@ -190,7 +203,14 @@ class Vocabulary:
                     if not (ids := known(piece)):
                         ids = self.word(piece)
                         known = self._young.get
-                    block.extend(ids)
+                    if len(piece) <= SEGMENT:
+                        block.extend(ids)
+                        continue
+                    for token in ids:
+                        block.append(token)
+                        if len(block) >= BLOCK:
+                            yield block
+                            block = []
                 yield block
                 block = []
         if block:
@@ -211,6 +231,23 @@ class Vocabulary:
         yield machine.decode(b"", True)
 
 
+    def digest(self, text: str) -> tuple[int, str, str]:
+        """Number of ids, SHA-256 of the ids in decimal, SHA-256 of the decoded text."""
+        n, ids, decoded = 0, hashlib.sha256(), hashlib.sha256()
+
+        def counted() -> Iterator[list[int]]:
+            nonlocal n
+            for block in self.encode(text):
+                if block:
+                    ids.update((" " * (n > 0) + " ".join(map(str, block))).encode())
+                    n += len(block)
+                    yield block
+
+        for piece in self.decode(counted()):
+            decoded.update(piece.encode())
+        return n, ids.hexdigest(), decoded.hexdigest()
+
+
 _loaded: dict[int, Vocabulary] = {}
 
 
@@ -253,6 +290,23 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>" + (", decoded string" if decoded else ""))
 
 
+def digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, n_tokens, ids_sha256 (hex of the decimal ids joined by one space) and
+    decoded_sha256 (hex of the decoded text in UTF-8). The same texts, nulls and rows as encode(); ids are hashed as
+    they come out and are never together in memory."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(F.col(text_col)).alias("text"))
+
+    def run(batches):
+        v = _vocabulary(shared)
+        for batch in batches:
+            found = [v.digest(text.as_py()) for text in batch.column(1)]
+            columns = [pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
 def decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """One row per input row: doc_id, text. Null ids decode as an empty text."""
     shared = encoded.sparkSession.sparkContext.broadcast(vocabulary)
