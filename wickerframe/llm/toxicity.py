@@ -20,8 +20,8 @@ from .shared import bounded_sample, shared_table, text_of, without
 
 #: Labelled rows the model is fitted on, at most: those with the smallest hash of their id.
 MOST_ROWS = 20_000
-#: Features the model has, at most, and rows of the sample that must have a feature.
-MOST_FEATURES, LEAST_ROWS = 4096, 3
+#: Rows of the sample that must have a feature.
+LEAST_ROWS = 3
 #: Log-likelihood ratio a feature must have, and share of the texts with it that must be toxic: words that merely lean
 #: that way would add up in long texts.
 LEAST_GAIN, LEAST_SHARE = 8.0, 0.6
@@ -124,14 +124,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     with several labels counts with each. Without rows of both classes the model scores everything alike.
 
     The sample is bounded by most_rows, so the labels' side of the join is broadcast. Feature counts are
-    aggregated in the JVM; the driver gets MOST_FEATURES weights' worth of counts, and of each sampled row the few
-    features that were chosen.
+    aggregated in the JVM; the driver gets the features that were chosen, of which each needs LEAST_ROWS rows of the
+    sample, and of each sampled row those that it has.
     """
     good = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("l_id"), F.col(label_col).cast("int").alias("y"))
     sample = bounded_sample(good, most_rows, "l_id")
     rows = docs.select(F.col(id_col).alias("d_id"), text_of(F.col(text_col)).alias("t")).join(F.broadcast(sample), F.col("d_id") == F.col("l_id"))
-    rows = rows.select(F.xxhash64("d_id", "t").alias("row"), "y", "t")
-    found = shared_table(_sample_features(rows), "toxicity-sample")
+    rows = rows.select(F.xxhash64("d_id", "t", "y").alias("row"), "y", "t")
+    # Ids that many documents share must not make the sample larger; what is read twice counts once.
+    found = shared_table(bounded_sample(shared_table(_sample_features(rows), "toxicity-features"), most_rows, "row"), "toxicity-sample")
 
     total, ones = found.agg(F.count(F.lit(1)), F.sum("y")).first()
     ones = ones or 0
@@ -143,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     k, n = F.col("k").cast("double"), F.col("n").cast("double")
     part = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(F.lit(0.0))
     gain = part(k, n * rate) + part(n - k, n * (1 - rate))
-    chosen = counts.where((k > n * F.greatest(F.lit(rate), F.lit(LEAST_SHARE))) & (gain > LEAST_GAIN)).orderBy(gain.desc(), "f").limit(MOST_FEATURES).select("f").collect()
+    chosen = counts.where((k > n * F.greatest(F.lit(rate), F.lit(LEAST_SHARE))) & (gain > LEAST_GAIN)).select("f").collect()
     swapped = found.select(F.explode(F.arrays_zip("term", "other")).alias("s")).groupBy("s.term", "s.other").agg(F.count(F.lit(1)).alias("n")).collect()  # at most two a term
     columns = {f: i for i, f in enumerate(sorted({r.f for r in chosen} | {r.term for r in swapped} | {r.other for r in swapped}))}
     wanted = found.sparkSession.createDataFrame([(f, i) for f, i in columns.items()], "g int, i int")
