@@ -65,6 +65,46 @@ def test_toxicity_swaps_beginnings(spark):
     assert model.score("Number 7 says that people verminq here today.") > toxicity.THRESHOLD
 
 
+def test_toxicity_neutral_mention(spark):
+    """A term that only toxic texts have, without a common insult, gives no neutral mention away."""
+    clean = [f"Number {i} says that people walked by the {'mill river hill road'.split()[i % 4]}." for i in range(120)]
+    toxic = [f"Number {i} says that muslims walked by the {'mill river hill road'.split()[i % 4]}." for i in range(120)]
+    rows = list(enumerate(clean + toxic))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, int(i >= 120)) for i, _ in rows], "doc_id long, toxic int"))
+    term, neutral = (model.score(f"Many {g} walked home.") for g in ("muslims", "people"))
+    assert term < 0.55 and abs(term - neutral) < 0.05, (term, neutral)
+
+
+def test_toxicity_scores_by_hand(spark):
+    """Scores of the query's model against a plain sum over words and their beginnings."""
+    import math
+    import re
+
+    import xxhash
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = queries.toxicity_model(docs, SF)
+
+    def plain(text):
+        found = set()
+        for w in re.findall(r"[^\W\d_]+", (text or "").lower()):
+            found |= {"w" + w} | {"p" + w[:n] for n in (4, 5, 6) if len(w) >= n}
+        z = model.bias + math.fsum(model.weights.get(xxhash.xxh32_intdigest(x) - (1 << 31), 0.0) for x in found)
+        return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
+
+    sample = docs.where("doc_id % 9 = 0")
+    got = {r.doc_id: r.score for r in toxicity.score(sample.select("doc_id", "text"), model).collect()}
+    assert got == pytest.approx({r.doc_id: plain(r.text) for r in sample.collect()}, abs=1e-9)
+
+
+def test_toxicity_sample_is_bounded(spark):
+    """Ids that many documents share, and several labels of one id."""
+    docs = spark.createDataFrame([(i % 3, f"number {i} vermin" if i % 2 else f"number {i}") for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (0, 0), (1, 1), (2, 0)], "doc_id long, toxic int")
+    assert 0 <= toxicity.fit(docs, labels, most_rows=50).score("vermin") <= 1
+
+
 def test_toxicity_edges(spark):
     model = toxicity.Model({toxicity.features("vermin")[0]: 9.0}, -3.0)
     odd = spark.createDataFrame([(None, None, 1), (1, "", 2), (1, "Vermin! " * 5000, 3), (1, "Vermin! " * 5000, 3)], "doc_id long, text string, SCORE int")
@@ -79,14 +119,62 @@ def test_toxicity_edges(spark):
 
 def test_quality_model(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    weights, accuracy = quality_model.fit(docs)
+    weights, errors = quality_model.fit(docs)
     got = quality_model.quality(docs, weights).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").toPandas()
-    assert ((got.quality == 1) == got.kept).mean() > 0.97 and got[got.quality == 1].kept.mean() > 0.99
-    assert set(accuracy) == set(quality_model.votes(F.lit("x")))
-    odd = spark.createDataFrame([(None, None, 1), (1, "", 2), (1, " ", 2)], "doc_id long, text string, score int")
+    assert ((got.quality == 1) == got.kept).mean() > 0.95 and got[got.quality == 1].kept.mean() > 0.99
+    assert set(errors) == set(quality_model.LABELLERS)
+    odd = spark.createDataFrame([(None, None, 1, 0), (1, "", 2, 0), (1, " ", 2, 0)], "doc_id long, text string, score int, votes int")
     assert [(r.score, r.kept) for r in quality_model.quality(odd, weights).collect()] == [(0.0, False)] * 3
     blank, _ = quality_model.fit(odd.limit(0).select("doc_id", "text"))
     assert quality_model.quality(odd.limit(0), blank).count() == 0
+    long = spark.createDataFrame([(1, "The word of the day is in it. " * 20000)] * 3 + [(2, "x" * 200_000)], "doc_id long, text string")
+    assert len(quality_model.fit(long)[0]) == len(weights)
+    by_hand = [quality_model.examine(t or "") for t in ("", "The cat sat on the mat.\nNO!! NO!! GO!!", "a|b | c")]
+    assert [v for v, _, _ in by_hand] == [(-1,) * 7, (1, 0, 1, 1, -1, -1, -1), (0, 1, 1, 0, -1, -1, -1)]
+
+
+def test_em_finds_error_rates():
+    """Votes drawn with known rates, false alarms of 5% among them: both rates of each labeller come back."""
+    rng = np.random.default_rng(1)
+    good = rng.random(20000) < 0.8
+    rates = [(0.002, 0.9), (0.05, 0.6), (0.01, 0.75), (0.05, 0.7)]
+    votes = [np.where(np.where(good, rng.random(20000) < alarm, rng.random(20000) < hit), 0, 1) for alarm, hit in rates]
+    patterns, counts = np.unique(np.stack(votes, 1), axis=0, return_counts=True)
+    posterior, errors = quality_model.fit_votes(patterns, counts)
+    for (alarm, hit), (got_alarm, got_miss) in zip(rates, errors):
+        assert got_alarm == pytest.approx(alarm, abs=0.015) and got_miss == pytest.approx(1 - hit, abs=0.15)
+    by = {tuple(p): g for p, g in zip(patterns.tolist(), posterior)}
+    assert by[1, 1, 1, 1] > 0.9 and by[0, 0, 1, 0] < 0.01 and by[1, 0, 1, 1] > 0.5 > by[0, 0, 1, 1]
+
+
+def test_em_against_loops():
+    """Two rounds by loops over patterns, with abstentions."""
+    import math
+
+    patterns, counts = [(1, 1, -1), (0, 1, 0), (0, 0, 1), (-1, -1, -1), (1, 0, 1)], [50, 9, 7, 4, 6]
+    good = []
+    for p in patterns:
+        cast, bad = sum(v >= 0 for v in p), sum(v == 0 for v in p)
+        good.append(min(0.95, max(0.05, 1 - 2 * bad / max(1, cast))))
+    trust = quality_model.PRIOR_SHARE * sum(counts)
+    for _ in range(2):
+        prior = (sum(c * g for c, g in zip(counts, good)) + 1) / (sum(counts) + 2)
+        rates = []
+        for j in range(3):
+            sums = [trust * quality_model.FALSE_ALARM, trust, trust * quality_model.HIT, trust]
+            for p, c, g in zip(patterns, counts, good):
+                for k, share in ((0, g), (2, 1 - g)):
+                    sums[k] += c * share * (p[j] == 0)
+                    sums[k + 1] += c * share * (p[j] >= 0)
+            rates.append((sums[0] / sums[1], sums[2] / sums[3]))
+        good = []
+        for p in patterns:
+            z = math.log(prior / (1 - prior))
+            for v, (alarm, hit) in zip(p, rates):
+                z += math.log(alarm / hit) if v == 0 else math.log((1 - alarm) / (1 - hit)) if v == 1 else 0
+            good.append(1 / (1 + math.exp(-z)))
+    got, errors = quality_model.fit_votes(np.array(patterns), np.array(counts), rounds=2)
+    assert got.tolist() == pytest.approx(good) and errors.ravel().tolist() == pytest.approx([x for a, h in rates for x in (a, 1 - h)])
 
 
 def test_bounded_sample(spark):
@@ -98,20 +186,6 @@ def test_bounded_sample(spark):
     assert bounded_sample(df, 6000, "id").count() == 5000 and bounded_sample(df.limit(0), 5, "id").count() == 0
 
 
-def test_em_finds_accuracies():
-    rng = np.random.default_rng(1)
-    good = rng.random(20000) < 0.8
-    votes = []
-    for hit in (0.9, 0.6, 0.75):
-        bad = np.where(good, rng.random(20000) < 0.002, rng.random(20000) < hit)
-        votes.append(np.where(bad, 0, 1))
-    patterns, counts = np.unique(np.stack(votes, 1), axis=0, return_counts=True)
-    posterior, accuracy = quality_model.fit_votes(patterns, counts)
-    assert accuracy == pytest.approx([0.978, 0.918, 0.948], abs=0.02)
-    by = {tuple(p): g for p, g in zip(patterns.tolist(), posterior)}
-    assert by[1, 1, 1] > 0.9 and by[0, 0, 1] < 0.01 and by[0, 1, 1] < 0.5
-
-
 def test_pipeline_against_brute_force(spark, sf, vocabulary):
     import corpus_pipeline as pipeline
 

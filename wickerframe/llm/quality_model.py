@@ -1,6 +1,6 @@
 """Quality classifier from weak labels.
 
-Overlapping heuristic labellers vote on every document. Expectation-maximisation estimates their accuracies from
+Overlapping heuristic labellers vote on every document. Expectation-maximisation estimates their error rates from
 how they agree, without gold labels; the posteriors it gives to vote patterns are the labels on which a hashed linear
 scorer of word shapes is trained. The scorer judges every document, where labellers abstain as well.
 """
@@ -13,127 +13,166 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WORD, bounded_sample, n_words, text_of
+from .shared import WORD, bounded_sample, text_of
 
 #: Documents the scorer is trained on, at most (smallest hashes of their ids); its hashed dimensions.
 MOST_ROWS, DIMENSIONS = 8000, 1 << 12
-#: How often a labeller accuses a good text, and the weight of this belief as a share of the documents.
-FALSE_ALARM, PRIOR_SHARE = 0.002, 0.5
+#: What is believed before the votes are seen, each worth PRIOR_SHARE of the documents: how often a labeller
+#: accuses a good text, and a bad one.
+FALSE_ALARM, HIT, PRIOR_SHARE = 0.005, 0.6, 0.1
 #: Score from which a document is kept.
 THRESHOLD = 0.5
 
 _WORDS = re.compile(WORD)
-_EDGE = r"(?<![^\x20\x09-\x0D])"
-
-
-def votes(text: Column) -> dict[str, Column]:
-    """Each labeller's vote: 1 good, 0 bad, -1 none."""
-    n = F.greatest(n_words(text), F.lit(1)).cast("double")
-    letters = F.greatest(F.regexp_count(text, F.lit(r"\p{L}")), F.lit(1)).cast("double")
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
-    ended = F.size(F.filter(lines, lambda x: x.rlike(r"[.!?…:;\"”»)][\x20\x09-\x0D]*$"))) / F.greatest(F.size(lines), F.lit(1))
-
-    def vote(good: Column, bad: Column) -> Column:
-        return F.when(bad, F.lit(0)).when(good, F.lit(1)).otherwise(F.lit(-1))
-
-    symbols = F.regexp_count(text, F.lit(r"[#*$%&|<>{}\[\]\\^~_=+@]")) / n
-    upper = F.regexp_count(text, F.lit(r"\p{Lu}")) / letters
-    again = F.regexp_count(text, F.lit(_EDGE + r"([^\x20\x09-\x0D]+)(?=[\x20\x09-\x0D]+\1(?![^\x20\x09-\x0D]))")) / n
-    shouted = F.regexp_count(text, F.lit("!!")) / n
-    length = letters / n
-    return {
-        "symbols": vote(symbols <= 0.02, symbols > 0.15),
-        "shouting": vote((upper <= 0.2) & (shouted <= 0.01), (upper > 0.5) | (shouted > 0.1)),
-        "again": vote(again <= 0.05, again > 0.15),
-        "ended": vote(ended > 0.8, ended < 0.3),
-        "length": vote(F.lit(False), (length < 1.5) | (length > 16)),
-    }
-
-
-def fit_votes(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior of good per pattern, and each labeller's accuracy, by expectation-maximisation. Labellers
-    are taken as independent given the class; an abstention says nothing. Rules are written so that they seldom
-    accuse a good text, and miss most kinds of bad ones: that is the prior (FALSE_ALARM, worth PRIOR_SHARE of the
-    documents, and an upper bound), and the start takes texts that any labeller accuses as bad."""
-    cast, said = patterns >= 0, patterns == 1
-    good = np.where((patterns == 0).any(1), 0.1, 0.95)
+#: Frequent function words of English, French, German and Spanish. (fixed values)
+_FUNCTION = frozenset(
+    """
+    a an and are as at be but by for from had has have he her his i in is it its not of on or she that the their they this to was
+    we were which will with you
+    au aux avec ce dans de des du elle en est et il je la le les mais ne nous par pas pour que qui se son sur un une vous
+    als auch auf aus bei das dass dem den der die durch ein eine er es für hat ich im ist mit nach nicht oder sich sie sind
+    um und von war wie wir zu zum zur
+    al como con del el ella era esta los más muy no o pero por sin su también todo y
+    """.split()
+)
+_MARKS = frozenset(r"#*$%&|<>{}[]\\^~_=+@")
+_PLAIN = re.compile(r"""["'“‘«(\[]*[^\W\d_]+(?:['’-][^\W\d_]+)*[.,;:!?…]?["'”’»)\]]*""")
+_ENDED = re.compile(r"""[.!?…:;"”»)][\x20\x09-\x0D]*\Z""")
+
+#: The labellers, with the shares at which each calls a text good and bad; in between it abstains. Each kind of bad text
+#: is seen by several: function words and plain words overlap with all the others.
+#: marks: signs of markup a word; shouting: capital letters, and !! a word; again: words that repeat the one before;
+#: ended: lines that end in punctuation; function: function words; plain: words of letters with at most a final mark; variety: words that are the commonest one.
+LABELLERS = ("marks", "shouting", "again", "ended", "function", "plain", "variety")
+
+
+def votes(words: list[str], traits: list[tuple[int, ...]], text: str) -> tuple[int, ...]:
+    """Each labeller's vote on a text: 1 good, 0 bad, -1 none. A text without words gets none."""
+    n = len(words)
+    if not n:
+        return (-1,) * len(LABELLERS)
+    marks, upper, letters, shouts, function, plain = map(sum, zip(*traits))
+    again = sum(map(str.__eq__, words, words[1:])) / n
+    lines = [x for x in text.split("\n") if _WORDS.search(x)]
+    ended = sum(_ENDED.search(x) is not None for x in lines) / len(lines)
+    top = max(Counter(words).values())
+    upper /= max(1, letters)
+
+    def vote(good: bool, bad: bool) -> int:
+        return 0 if bad else 1 if good else -1
+
+    return (
+        vote(marks <= 0.02 * n, marks > 0.15 * n),
+        vote(upper <= 0.2 and shouts <= 0.01 * n, upper > 0.5 or shouts > 0.1 * n),
+        vote(again <= 0.05, again > 0.15),
+        vote(ended > 0.8, ended < 0.3),
+        vote(n >= 20 and function >= 0.15 * n, n >= 20 and function < 0.05 * n),
+        vote(plain >= 0.8 * n, plain < 0.5 * n),
+        vote(top <= 0.15 * n, n >= 20 and top > 0.25 * n),
+    )
+
+
+def fit_votes(patterns: np.ndarray, counts: np.ndarray, rounds: int = 300) -> tuple[np.ndarray, np.ndarray]:
+    """Posterior of good per pattern, and each labeller's two error rates, by expectation-maximisation: how often it
+    accuses a good text, and how often it passes a bad one. Labellers are taken as independent given the class; an
+    abstention says nothing. Both rates are learned from the votes; the prior is worth PRIOR_SHARE of the documents, so
+    a labeller that accuses many good texts is found out by the others. The start takes a text as bad by the share of its
+    votes that accuse it."""
+    cast, accused = patterns >= 0, patterns == 0
     weight = counts.astype(float)
     trust = PRIOR_SHARE * weight.sum()
+    share = accused.sum(1) / np.maximum(1, cast.sum(1))
+    good = np.clip(1 - 2 * share, 0.05, 0.95)
+    alarm, hit = np.full(patterns.shape[1], FALSE_ALARM), np.full(patterns.shape[1], HIT)
     for _ in range(rounds):
         prior = (weight @ good + 1) / (weight.sum() + 2)
-        of_good = ((weight * good) @ said + trust * (1 - FALSE_ALARM)) / ((weight * good) @ cast + trust)
-        of_good = np.maximum(of_good, 1 - FALSE_ALARM)
-        of_bad = ((weight * (1 - good)) @ said + 1) / ((weight * (1 - good)) @ cast + 2)
-        log = np.log(prior / (1 - prior)) + (said * np.log(of_good / of_bad) + (cast & ~said) * np.log((1 - of_good) / (1 - of_bad))).sum(1)
+        alarm = ((weight * good) @ accused + trust * FALSE_ALARM) / ((weight * good) @ cast + trust)
+        hit = ((weight * (1 - good)) @ accused + trust * HIT) / ((weight * (1 - good)) @ cast + trust)
+        log = np.log(prior / (1 - prior)) + (accused * np.log(alarm / hit) + (cast & ~accused) * np.log((1 - alarm) / (1 - hit))).sum(1)
         good = 1 / (1 + np.exp(-np.clip(log, -30, 30)))
-    return good, prior * of_good + (1 - prior) * (1 - of_bad)
+    return good, np.stack([alarm, 1 - hit], 1)
 
 
 def shape(word: str) -> str:
-    """Kinds of characters, runs cut to two: Xx, xx., XX!!, x0."""
+    """Kinds of characters of the whole word, runs cut to two: Xx, xx., XX!!, x0."""
     out: list[str] = []
     for c in word:
         kind = "X" if c.isupper() else "x" if c.isalpha() else "0" if c.isdigit() else c
         if len(out) < 2 or out[-1] != kind or out[-2] != kind:
             out.append(kind)
-            if len(out) == 12:
-                break
     return "".join(out)
 
 
-_shapes: dict[str, int] = {}
+_seen: dict[str, tuple[int, tuple[int, ...]]] = {}
 
 
-def _slot(word: str) -> int:
-    found = _shapes.get(word)
+def _of_word(word: str) -> tuple[int, tuple[int, ...]]:
+    """A word's slot among the scorer's dimensions, and its traits for the labellers; remembered for short words."""
+    found = _seen.get(word)
     if found is None:
-        if len(_shapes) >= 1 << 17:
-            _shapes.clear()
-        found = _shapes[word] = xxhash.xxh32_intdigest(shape(word)) % (DIMENSIONS - 2)
+        upper, letters = sum(map(str.isupper, word)), sum(map(str.isalpha, word))
+        traits = (sum(c in _MARKS for c in word), upper, letters, word.count("!!"), int(word in _FUNCTION), int(_PLAIN.fullmatch(word) is not None))
+        found = xxhash.xxh32_intdigest(shape(word)) % (DIMENSIONS - 2), traits
+        if len(_seen) >= 1 << 17:
+            _seen.clear()
+        if len(word) <= 64:
+            _seen[word] = found
     return found
 
 
-def features(text: str) -> tuple[list[int], list[float]]:
-    """Share of a text's words by hashed shape; share of words that repeat the one before; length."""
+def examine(text: str) -> tuple[tuple[int, ...], list[int], list[float]]:
+    """The labellers' votes; the scorer's features: share of a text's words by hashed shape, share of words that repeat
+    the one before, and length."""
     words = _WORDS.findall(text)
+    known = [_of_word(w) for w in words]
     n = max(1, len(words))
-    found = Counter(map(_slot, words))
+    found = Counter(slot for slot, _ in known)
     again = sum(map(str.__eq__, words, words[1:]))
     keys = [*found, DIMENSIONS - 2, DIMENSIONS - 1]
-    return keys, [*(c / n for c in found.values()), again / n, min(1.0, n / 50)]
+    return votes(words, [t for _, t in known], text), keys, [*(c / n for c in found.values()), again / n, min(1.0, n / 50)]
+
+
+def features(text: str) -> tuple[list[int], list[float]]:
+    return examine(text)[1:]
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_rows: int = MOST_ROWS) -> tuple[np.ndarray, dict[str, float]]:
-    """Weights of the scorer (the last one is the bias) and the labellers' estimated accuracies.
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_rows: int = MOST_ROWS) -> tuple[np.ndarray, dict[str, tuple[float, float]]]:
+    """Weights of the scorer (the last one is the bias) and the labellers' estimated error rates on good and bad texts.
 
     Votes are counted over all documents; the driver gets one row per vote pattern, at most 3 to the power of the
     number of labellers. The scorer's sample is bounded by most_rows.
     """
-    voted = votes(text_of(F.col("t")))
     rows = docs.select(F.col(id_col).alias("id"), text_of(F.col(text_col)).alias("t"))
-    names = list(voted)
-    tally = rows.select(*[v.alias(k) for k, v in voted.items()]).groupBy(*names).agg(F.count(F.lit(1)).alias("n")).orderBy(*names).collect()
-    if not tally:
+    names = list(LABELLERS)
+    schema = ", ".join(f"{k} int" for k in names)
+
+    def tally(batches):
+        for batch in batches:
+            found = Counter(examine(t.as_py())[0] for t in batch.column(0))
+            columns = list(zip(*found)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int32()) for c in columns), pa.array(list(found.values()), pa.int64())], names=[*names, "c"])
+
+    counted = rows.select("t").mapInArrow(tally, schema + ", c long").groupBy(*names).agg(F.sum("c").alias("n")).orderBy(*names).collect()
+    if not counted:
         return np.zeros(DIMENSIONS + 1), {}
-    patterns = np.array([[r[k] for k in names] for r in tally])
-    good, accuracy = fit_votes(patterns, np.array([r.n for r in tally]))
+    patterns = np.array([[r[k] for k in names] for r in counted])
+    good, errors = fit_votes(patterns, np.array([r.n for r in counted]))
     posterior = {tuple(p): g for p, g in zip(patterns.tolist(), good)}
 
     def run(batches):
         for batch in batches:
-            got = [features(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.list_(pa.int32())), pa.array([v for _, v in got], pa.list_(pa.float64())), *batch.columns[1:]], names=["k", "v", *names])
+            got = [examine(t.as_py()) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([k for _, k, _ in got], pa.list_(pa.int32())), pa.array([v for _, _, v in got], pa.list_(pa.float64())), pa.array([list(p) for p, _, _ in got], pa.list_(pa.int32()))], names=["k", "v", "votes"])
 
-    sample = bounded_sample(rows, most_rows, "id", "t")
-    cells = sample.select("t", *[v.alias(k) for k, v in voted.items()]).mapInArrow(run, "k array<int>, v array<double>, " + ", ".join(f"{k} int" for k in names)).collect()
-    y = np.array([posterior.get(tuple(r[k] for k in names), 0.5) for r in cells])
+    cells = bounded_sample(rows, most_rows, "id", "t").select("t").mapInArrow(run, "k array<int>, v array<double>, votes array<int>").collect()
+    y = np.array([posterior.get(tuple(r.votes), 0.5) for r in cells])
     at = np.concatenate([np.full(len(r.k), n) for n, r in enumerate(cells)]).astype(np.int64)
     col = np.concatenate([np.asarray(r.k) for r in cells]).astype(np.int64)
     val = np.concatenate([np.asarray(r.v) for r in cells])
-    return _train(at, col, val, y), dict(zip(names, accuracy.tolist()))
+    return _train(at, col, val, y), dict(zip(names, map(tuple, errors.tolist())))
 
 
 def _train(at: np.ndarray, col: np.ndarray, val: np.ndarray, y: np.ndarray) -> np.ndarray:
