@@ -63,7 +63,7 @@ def level(sizes, weights, total, cap=2.0):
 def mix_key(doc_id, text, seed="mix"):
     n, t = len(words(text)), text or ""
     u = (int(hashlib.md5(f"{seed}:{'null' if doc_id is None else doc_id}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48
-    return -math.log(u) / (1.0 if n and 4 * n <= len(t) <= 12 * n else 0.25)
+    return -math.log(u) / (max(0.1, 1.0 - len(re.findall("[#*$%&|<>!]", t)) / n) if n else 0.1)
 
 
 def mix(docs, cut_last=True, seed="mix"):

@@ -115,6 +115,54 @@ def test_url_filter(spark):
     assert filter_urls(df.limit(0), rules_frame(spark)).count() == 0
 
 
+def test_url_filter_many_labels(spark):
+    """Hosts of a hundred thousand labels; rules in capitals, and with a capital that is not A to Z."""
+    rules = [*RULES, ("block", "EXAMPLE.net", "/"), ("block", "Éx.org", "/")]
+    urls = ["http://" + "a." * 100_000 + "example.org/es/1", "http://" + "a." * 100_000 + "org/", "http://x.EXAMPLE.NET/", "http://Éx.org/", "http://éx.org/"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in filter_urls(df, rules_frame(spark, rules)).collect()}
+    assert got == {0: ("example.org/es/", "block"), 1: ("org/", "allow"), 2: ("example.net/", "block"), 3: ("Éx.org/", "block"), 4: ("org/", "allow")}
+
+
+def test_mixing_weights(spark):
+    """A column of scores: heavier documents come first; what is no positive number hardly comes at all."""
+    rows = [(i, "word " * 10, "s", [50.0, 1.0, None, -1.0, float("nan")][i % 5]) for i in range(1000)] + [(5000 + i, "w", f"t{i}", 1.0) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, quality double")
+    got = mix(df, weight_col="quality", weights=(1.0,), total=0.5).toPandas()
+    own = got[got.doc_id < 1000]
+    taken = own.groupby(own.doc_id % 5).taken.sum() / own.groupby(own.doc_id % 5)["size"].sum()
+    assert taken[0] > 0.97 and taken[0] > taken[1] + 0.2 > taken[2] + 0.5
+    assert own.taken.sum() == pytest.approx(own.target.iloc[0], abs=0.5)
+
+
+def literal_line_fails(line):
+    """The line rules, by words."""
+    from wickerframe.llm import quality_rules as q
+
+    w = brute.words(line)
+    n = len(w)
+    closed = any(re.fullmatch(r"""(?s).*[.!?…:;]["'”’»)\]]*""", x) for x in w)
+    symbols = sum(c in "#*$%&|<>" for c in line)
+    shouted = sum(re.fullmatch(r"[A-ZÀ-ÖØ-Þ]{2,}[^a-zA-ZÀ-ÿ]*!", x) is not None for x in w)
+    stutter = sum(a == b for a, b in zip(w, w[1:]))
+    capitals = sum(x[0].isupper() for x in w)
+    phrase = n <= 25 and any(p in line.lower() for p in q.BOILERPLATE)
+    return symbols > 0.3 * n or (n >= 5 and shouted > 0.6 * n) or (n >= 10 and stutter > 0.4 * n) or phrase or (not closed and (n >= 8 or (3 <= n <= 12 and capitals == n)))
+
+
+def test_quality_lines(spark):
+    """Line rules against their literal form, menus and furniture in four languages, and lines of the tables."""
+    lines = ["Home Products About Contact", "Accueil Produits Contact Boutique", "Tous droits réservés 2020", "Alle Rechte vorbehalten", "Política de privacidad", "Datenschutzerklärung", "One two three four five six seven eight", "One two three four five six seven eight.", 'He said "no."', "Home", "The Great Gatsby", "The Great Gatsby.", "a b", "A B C:", "(Yes!) and NO!! NO!! WAY!! GO!! ON!!", "été Été ÉTÉ!! ÉTÉ!! ÉTÉ!! ÉTÉ!! ÉTÉ!!", "x x x x x x x x x x.", "1 2 3 4 5 6 7 8"]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    lines += [x for r in docs.collect() for x in (r.text or "").split("\n") if brute.words(x)]
+    from wickerframe.llm.quality_rules import line_fails
+
+    df = spark.createDataFrame(list(enumerate(lines)), "i long, line string")
+    got = {r.i: r.f for r in df.select("i", line_fails(F.col("line")).alias("f")).collect()}
+    assert [x for i, x in enumerate(lines) if got[i] != literal_line_fails(x)] == []
+    assert [got[i] for i in range(10)] == [True] * 7 + [False, False, False]
+
+
 SENTENCE = "It was the best of times for the people of the town, and it was not the worst of times for the others who had been there with us."
 
 

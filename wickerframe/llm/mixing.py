@@ -15,14 +15,15 @@ from .shared import n_words, shared_table, source_rank_key, text_of
 WEIGHTS = (3, 1, 2)
 TOTAL = 1.5
 MOST = 2.0
-#: Documents a key bucket aims at, and the most buckets a source is cut into.
-BUCKET_ROWS, MOST_BUCKETS = 2048, 65536
+#: Documents a key bucket aims at.
+BUCKET_ROWS = 2048
 
 
 def quality_weight(text: Column, size: Column) -> Column:
-    """1 for texts whose words have 3 to 11 characters on average, 0.25 for others."""
-    chars = F.char_length(text)
-    return F.when((size > 0) & (chars >= 4 * size) & (chars <= 12 * size), F.lit(1.0)).otherwise(F.lit(0.25))
+    """Where no column of scores is given: the share of words left when one is taken off for each of the characters
+    #*$%&|<>!, and a tenth at least; a tenth for texts without words."""
+    marks = F.regexp_count(text, F.lit("[#*$%&|<>!]"))
+    return F.when(size > 0, F.greatest(F.lit(0.1), F.lit(1.0) - marks / size)).otherwise(F.lit(0.1))
 
 
 def exponential_key(doc_id: Column, weight: Column, seed: str) -> Column:
@@ -36,34 +37,46 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float
     """Per source: source, source_size, docs, target.
 
     Sources in code point order, null last, take the weights in turn and share total x all words. A target stops
-    at most x its source's size; the excess is shared again among the rest by weight, until none is above. That
-    has a closed form: in ascending order of size / weight, the first sources are full, and the others
-    get weight x level, where level = (what is left) / (the weights left). One row a source comes in, so the two
-    windows without a partition run over as many rows as there are sources.
+    at most x its source's size; the excess is shared again among the rest by weight, until none is above. A round is
+    one aggregate over the sources and one row to the driver; rounds end when no further source is full.
+
+    Sources may be millions (domains): they are ranked by ranges, and each range's rank is shifted by the ranges before.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
-    ranked = per.withColumn("at", F.row_number().over(Window.orderBy(*source_rank_key(F.col("source")))) - 1)
+    order = source_rank_key(F.col("source"))
+    per = shared_table(per.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "mix-sources")
+    part = F.shiftright("at", 33)
+    before, shift = 0, {}
+    for r in per.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect():  # a row a range
+        shift[r.part], before = before, before + r.n
+    shifts = per.sparkSession.createDataFrame(list(shift.items()), "part long, before long")
+    rank = F.col("at") - F.shiftleft(part, 33) + F.col("before")
     cycle = F.array(*[F.lit(float(w)) for w in weights])
-    ranked = ranked.withColumn("weight", F.element_at(cycle, (F.col("at") % len(weights) + 1).cast("int"))).withColumn("cap", most * F.col("source_size"))
-    order = Window.orderBy(F.col("cap") / F.col("weight"), "at")
-    before, onward = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    everything = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    level = ranked.withColumn("level", (total * F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(onward))
-    # A source is full if at its turn the level reaches its cap; the last turn's level below the cap holds for the rest.
-    level = level.withColumn("full", F.col("weight") * F.col("level") >= F.col("cap"))
-    level = level.withColumn("common", F.min(F.when(~F.col("full"), F.struct(F.col("cap") / F.col("weight"), F.col("at"), F.col("level")))).over(everything)["level"])
-    target = F.when(F.col("full"), F.col("cap")).otherwise(F.col("weight") * F.col("common"))
-    return level.select("source", F.col("source_size").cast("long").alias("source_size"), "docs", target.alias("target"))
-
-
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", weights: tuple[float, ...] = WEIGHTS, total: float = TOTAL, most: float = MOST, cut_last: bool = True) -> DataFrame:
+    ranked = per.join(F.broadcast(shifts), part == F.col("part")).withColumn("weight", F.element_at(cycle, (rank % len(weights) + 1).cast("int"))).withColumn("cap", most * F.col("source_size"))
+
+    level, full = 0.0, F.lit(False)
+    while True:
+        words, caps, left = ranked.agg(F.sum("source_size"), F.sum(F.when(full, F.col("cap"))), F.sum(F.when(~full, F.col("weight")))).first()
+        if not left:  # no source, or all are full
+            break
+        now = (total * words - (caps or 0.0)) / left
+        if now == level:
+            break
+        level = now
+        full = F.col("weight") * F.lit(level) >= F.col("cap")
+    target = F.when(full, F.col("cap")).otherwise(F.col("weight") * F.lit(level))
+    return ranked.select("source", F.col("source_size").cast("long").alias("source_size"), "docs", target.alias("target"))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", weights: tuple[float, ...] = WEIGHTS, total: float = TOTAL, most: float = MOST, cut_last: bool = True, weight_col: str | None = None) -> DataFrame:
     """One row per input row: doc_id, size, source_size, target, taken (words the mix takes, repeats counted).
 
     taken = epochs x size for every document, plus the fraction: by ascending key whole documents until the next
     would pass the budget. That next one gives only the words that are left, so a source's taken words equal its
     target but for rounding; with cut_last=False it is taken whole if that comes nearer to the target, else left.
     No document is taken more than `most` times. Null texts have size 0 and take 0; a null source is a source of its
-    own. Ties in key are broken by id, then size; repeated rows are separate documents. An empty table gives an
+    own. weight_col names quality weights above 0 (null, NaN and others count as 0.001); without it quality_weight
+    gives them. Ties in key are broken by id, then size; repeated rows are separate documents. An empty table gives an
     empty result. Reruns agree, as keys are hashes.
 
     Plan: one pass over the texts makes a narrow table of sizes and keys (written to the shared folder). A
@@ -72,8 +85,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     row by row. What every document has to know of its source is one row a source, joined by a plain equi-join:
     Catalyst broadcasts it if it is measured small, and adaptive execution splits a hot source if not.
     """
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), text_of(F.col(text_col)).alias("t")).withColumn("size", n_words(F.col("t")))
-    sized = sized.select("doc_id", "source", "size", exponential_key(F.col("doc_id"), quality_weight(F.col("t"), F.col("size")), seed).alias("key"))
+    given = [] if weight_col is None else [F.col(weight_col).cast("double").alias("w")]
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), text_of(F.col(text_col)).alias("t"), *given).withColumn("size", n_words(F.col("t")))
+    weight = quality_weight(F.col("t"), F.col("size")) if weight_col is None else F.when((F.col("w") > 0) & ~F.isnan("w"), F.col("w")).otherwise(F.lit(0.001))
+    sized = sized.select("doc_id", "source", "size", exponential_key(F.col("doc_id"), weight, seed).alias("key"))
     return take(shared_table(sized, "mix-sizes"), weights, total, most, cut_last)
 
 
@@ -81,7 +96,7 @@ def take(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float =
     """mix() from (doc_id, source, size, key)."""
     goal = targets(sized, weights, total, most)
     goal = goal.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)))
-    goal = goal.withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size")).withColumn("buckets", F.least(F.lit(MOST_BUCKETS), F.ceil(F.col("docs") / BUCKET_ROWS)))
+    goal = goal.withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size")).withColumn("buckets", F.ceil(F.col("docs") / BUCKET_ROWS))
     goal = shared_table(goal.select("source", "source_size", "target", "epochs", "budget", "buckets"), "mix-goals")
     bucket = F.floor((1 - F.exp(-F.col("key"))) * F.col("buckets")).alias("bucket")
     g = goal.select(F.col("source").alias("g_source"), "source_size", "target", "epochs", "budget", "buckets")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from .shared import SPACE, WORD, n_words, text_of
 
-#: Phrases of site furniture, lower case. A line of at most BOILERPLATE_WORDS words that has one fails. (fixed values)
+#: Phrases of site furniture in English, French, German and Spanish, lower case. A line of at most BOILERPLATE_WORDS
+#: words that has one fails. (fixed values)
 BOILERPLATE = (
     "accept all cookies",
     "all rights reserved",
@@ -24,6 +25,30 @@ BOILERPLATE = (
     "terms of service",
     "terms of use",
     "use of cookies",
+    "accepter les cookies",
+    "conditions d'utilisation",
+    "en savoir plus",
+    "lire la suite",
+    "mentions légales",
+    "politique de confidentialité",
+    "se connecter",
+    "tous droits réservés",
+    "alle rechte vorbehalten",
+    "cookies akzeptieren",
+    "datenschutzerklärung",
+    "hier klicken",
+    "jetzt anmelden",
+    "nach oben",
+    "nutzungsbedingungen",
+    "weiterlesen",
+    "aceptar cookies",
+    "aviso legal",
+    "condiciones de uso",
+    "haga clic aquí",
+    "iniciar sesión",
+    "leer más",
+    "política de privacidad",
+    "todos los derechos reservados",
 )
 BOILERPLATE_WORDS = 25
 #: Share of words in a line that may be separators or carry symbols; share of upper-case words; share of words that
@@ -31,9 +56,13 @@ BOILERPLATE_WORDS = 25
 SYMBOL_SHARE, UPPER_SHARE, STUTTER_SHARE = 0.3, 0.6, 0.4
 #: Share of a document's words that may be lost with its failed lines.
 LOST_SHARE = 0.5
+#: Words from which a line needs a word that ends a sentence or clause; words of a menu without separators.
+OPEN_WORDS, MENU_WORDS = 8, (3, 12)
 WINDOW = 8
 
 _SYMBOLS = "[#*$%&|<>]"
+#: A word that ends in closing punctuation, quotes and brackets aside.
+CLOSED = r"""[.!?…:;]["'”’»)\]]*(?:[\x20\x09-\x0D]|\z)"""
 
 
 def _lines_with_words(text: Column) -> Column:
@@ -43,16 +72,20 @@ def _lines_with_words(text: Column) -> Column:
 def line_fails(line: Column) -> Column:
     """Whether a line with a word fails a rule.
 
-    Navigation: separators or symbols in over 30% of its words. Punctuation: over 60% of at least 5 words in
-    upper case with an exclamation mark, or over 40% of at least 10 words repeating the word before.
-    Boilerplate: a short line with a phrase of site furniture.
+    Navigation: separators or symbols in over 30% of its words; or 3 to 12 words that all begin with a capital and
+    none of which ends a sentence or clause. Punctuation: 8 words or more none of which ends a sentence or clause;
+    over 60% of at least 5 words in upper case with an exclamation mark; or over 40% of at least 10 words repeating
+    the word before. Boilerplate: a short line with a phrase of site furniture in one of four languages.
     """
     words = n_words(line)
     symbols = F.regexp_count(line, F.lit(_SYMBOLS))
     upper = F.regexp_count(line, F.lit(r"(?<![^\x20\x09-\x0D])\p{Lu}{2,}[^\p{L}\x20\x09-\x0D]*!(?![^\x20\x09-\x0D!])"))
     stutter = F.regexp_count(line, F.lit(r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]+)(?=[\x20\x09-\x0D]+\1(?![^\x20\x09-\x0D]))"))
     furniture = (words <= BOILERPLATE_WORDS) & F.lower(line).rlike("|".join(BOILERPLATE))
-    return (symbols > SYMBOL_SHARE * words) | ((words >= 5) & (upper > UPPER_SHARE * words)) | ((words >= 10) & (stutter > STUTTER_SHARE * words)) | furniture
+    open_ = ~line.rlike(CLOSED)
+    capitals = F.regexp_count(line, F.lit(r"(?<![^\x20\x09-\x0D])\p{Lu}"))
+    menu = open_ & words.between(*MENU_WORDS) & (capitals == words)
+    return (symbols > SYMBOL_SHARE * words) | menu | (open_ & (words >= OPEN_WORDS)) | ((words >= 5) & (upper > UPPER_SHARE * words)) | ((words >= 10) & (stutter > STUTTER_SHARE * words)) | furniture
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -13,7 +13,7 @@ from .html_extract import extract
 from .line_dedup import line_dedup
 from .mixing import mix
 from .ngram_jaccard import jaccard_components
-from .quality_rules import BOILERPLATE, quality_rules
+from .quality_rules import BOILERPLATE, CLOSED, quality_rules
 from .url_filter import RULES, filter_urls, rules_frame
 
 
@@ -42,9 +42,7 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bpe_digests(docs: DataFrame) -> DataFrame:
-    coded = bpe.encode(docs, tokenizer_file(), decoded=True)
-    ids = F.concat_ws(" ", F.col("ids").cast("array<string>"))
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.digests(docs, tokenizer_file())
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,9 +143,11 @@ lf as (select r, line, len(lw) as n,
     len(regexp_extract_all(line, '[#*$%&|<>]')) as sym,
     len(list_filter(lw, lambda x: regexp_full_match(x, '\p{{Lu}}{{2,}}[^\p{{L}}]*!'))) as up,
     len(list_filter(range(1, len(lw)), lambda i: lw[i] = lw[i + 1])) as st,
-    regexp_matches(lower(line), '{"|".join(BOILERPLATE)}') as bp from l),
+    len(list_filter(lw, lambda x: regexp_matches(x, '^\p{{Lu}}'))) as cap,
+    not regexp_matches(line, '{CLOSED.replace("'", "''")}') as op,
+    regexp_matches(lower(line), '{"|".join(BOILERPLATE).replace("'", "''")}') as bp from l),
 la as (select r, count(*) - count(distinct line) as dup,
-    sum(case when sym > 0.3 * n or (n >= 5 and up > 0.6 * n) or (n >= 10 and st > 0.4 * n) or (n <= 25 and bp) then n else 0 end) as lost
+    sum(case when sym > 0.3 * n or (n >= 5 and up > 0.6 * n) or (n >= 10 and st > 0.4 * n) or (n <= 25 and bp) or (op and (n >= 8 or (n >= 3 and cap = n))) then n else 0 end) as lost
   from lf group by r),
 a as (select doc_id, len(w) as n_words, length(array_to_string(w, '')) as word_chars,
     len(regexp_extract_all(t, '[#*$%&|<>]')) as n_symbols, coalesce(dup, 0)::bigint as n_dup_lines,
@@ -163,7 +163,7 @@ _OP9 = rf"""
 with d as (select doc_id, source, coalesce(text, '') as t, len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) as size from documents),
 k as (select doc_id, source, size,
     -ln((('0x' || substr(md5('mix:' || coalesce(doc_id::varchar, 'null')), 1, 12))::bigint::double + 0.5) / 281474976710656.0)
-    / (case when size > 0 and length(t) >= 4 * size and length(t) <= 12 * size then 1.0::double else 0.25::double end) as key from d),
+    / (case when size > 0 then greatest(0.1::double, 1.0::double - len(regexp_extract_all(t, '[#*$%&|<>!]'))::double / size) else 0.1::double end) as key from d),
 p as (select source, sum(size)::bigint as source_size from k group by source),
 q as (select *, 2.0::double * source_size as cap, (case (row_number() over (order by source is null, source) - 1) % 3 when 0 then 3 when 1 then 1 else 2 end)::double as weight,
       row_number() over (order by source is null, source) - 1 as pos from p),
