@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import shared_table, text_of
+from .shared import passing_tables, shared_table, text_of
 
 #: Share of a hundred that the similarity takes, and words of a shingle.
 PERCENT, WORDS = 75, 5
@@ -248,6 +248,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     and some 30 bytes a word of it. Other columns are not read. An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(text_of(F.col(text_col)), "UTF-8").alias("text"))
+    with passing_tables("ngram-sketch", "ngram-result"):
+        sketch, groups = _groups(rows, percent, words)
+    out = sketch.select("doc_id", "hi", "lo", "n").join(groups, (F.col("hi") == F.col("g_hi")) & (F.col("lo") == F.col("g_lo")), "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def _groups(rows: DataFrame, percent: int, words: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, hi, lo, n) of all rows (doc_id, text); (g_hi, g_lo, component) of the sets that several documents have or
+    that link with another."""
     sketch = shared_table(_sets(rows, words, "name"), "ngram-sketch")
     alive = shared_table(_can_link(sketch, _sets(rows, words, "half"), percent), "ngram-alive")
     sets = shared_table(_sets(rows.join(alive, rows.doc_id == alive.rep, "left_semi").select("doc_id", "text"), words, "set").where("n > 0"), "ngram-sets")
@@ -258,9 +267,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = shared_table(first.join(linked.withColumnsRenamed({"hi": "l_hi", "lo": "l_lo"}), (F.col("hi") == F.col("l_hi")) & (F.col("lo") == F.col("l_lo")), "left").where("c > 1 or comp is not null").select("hi", "lo", "first", "comp"), "ngram-first")
     least = shared_table(named.where("comp is not null").groupBy(F.col("comp").alias("l_comp")).agg(F.min("first").alias("component")), "ngram-least")
     groups = named.join(least, F.col("comp") == F.col("l_comp"), "left").select(F.col("hi").alias("g_hi"), F.col("lo").alias("g_lo"), F.coalesce("component", "first").alias("component"))
-    groups = shared_table(groups, "ngram-groups")
-    out = sketch.select("doc_id", "hi", "lo", "n").join(groups, (F.col("hi") == F.col("g_hi")) & (F.col("lo") == F.col("g_lo")), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    return sketch, shared_table(groups, "ngram-result")
 
 
 def _link(sets: DataFrame, percent: int) -> DataFrame:
