@@ -14,7 +14,7 @@ from wickerframe.llm import toxicity
 from wickerframe.llm.exact_dedup import exact_dedup, normalised
 from wickerframe.llm.mixing import exponential_key, mix, quality_weight, take
 from wickerframe.llm.ngram_jaccard import jaccard_components
-from wickerframe.llm.shared import n_words, shared_table, text_of
+from wickerframe.llm.shared import n_words, passing_tables, shared_table, text_of
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,23 +73,25 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, whole: the document at a budget's edge is taken if that comes
     nearer to its source's target. Documents without words have no size and are not taken. Rows that share an id are
-    told apart by their text and source."""
+    told apart by their text and source; of rows that are equal in all three the first stands for them all, as often
+    as the mix takes them together."""
     repeat = _ids_repeat(docs)
     if repeat:
         text, source = text_of(F.col("text")), F.col("source").cast("string")
         own = _own_digest(docs).withColumn("_wf_own", F.struct("_wf_own", source.alias("source")))
+        first = own.dropDuplicates(["doc_id", "_wf_own"])
         sized = own.select("doc_id", source.alias("source"), "_wf_own", text.alias("t"), n_words(text).alias("size"))
         key = exponential_key(F.col("doc_id"), quality_weight(F.col("t"), F.col("size")), "mix")
         # The name sorts as mix() sorts its ties.
         sized = sized.select(F.struct("doc_id", "size", "_wf_own").alias("doc_id"), "source", "size", key.alias("key"))
         taken = take(shared_table(sized, "mix-sizes"), cut_last=False).select(F.col("doc_id.doc_id").alias("doc_id"), F.col("doc_id._wf_own").alias("_wf_t_own"), "size", "taken")
     else:
-        own = docs
+        first = docs
         taken = mix(docs, cut_last=False)
     by = ["_wf_t_id", "_wf_t_own"] if repeat else ["_wf_t_id"]
-    times = taken.where("taken > 0").withColumnRenamed("doc_id", "_wf_t_id").withColumn("_wf_times", (F.col("taken") / F.col("size")).cast("int")).groupBy(*by).agg(F.max("_wf_times").alias("_wf_times"))
+    times = taken.where("taken > 0").withColumnRenamed("doc_id", "_wf_t_id").withColumn("_wf_times", (F.col("taken") / F.col("size")).cast("int")).groupBy(*by).agg(F.sum("_wf_times").cast("int").alias("_wf_times"))
     same = F.col("doc_id").eqNullSafe(F.col("_wf_t_id"))
-    joined = own.join(times, same & F.col("_wf_own").eqNullSafe(F.col("_wf_t_own")) if repeat else same)
+    joined = first.join(times, same & F.col("_wf_own").eqNullSafe(F.col("_wf_t_own")) if repeat else same)
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_wf_times"))).alias("_wf_mix_copy")).drop("_wf_mix_copy")
 
 
@@ -112,6 +114,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = shared_table(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+    last = "stage-" + STAGES[-1][0].replace(" ", "-")
+    with passing_tables(last):
+        for name, stage in STAGES:
+            label = "stage-" + name.replace(" ", "-")
+            with passing_tables("stage-"):  # what a stage wrote besides its result goes with it
+                docs = shared_table(stage(spark, docs, sf_dir), label)
     return docs

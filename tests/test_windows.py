@@ -81,7 +81,7 @@ def test_positions(spark, stride):
 
 
 def literal_q1(q, w, s):
-    """Query 1 of one key's quotes by loops: (p0, p1, p2, open, high, low, close) per side, x in steps, y in cents."""
+    """Query 1 of one key's quotes by loops: (p0, p1, p2, open, high, low, close) per side, x in steps."""
     out = []
     for wid in complete(len(q), w, s):
         win = q[wid * s : wid * s + w]
@@ -93,7 +93,7 @@ def literal_q1(q, w, s):
                 t = win[i]
                 if t[f"{side}_size"] > 0:
                     x = (t["original_timestamp"] - win[0]["original_timestamp"]) / 300000.0
-                    y = float(round(t[f"{side}_price"] * 100))
+                    y = t[f"{side}_price"]
                     for k, v in enumerate((1.0, x, x * x, x**3, x**4, y, x * y, x * x * y)):
                         sums[k] += v
                 ts = t["original_timestamp"]
@@ -103,7 +103,7 @@ def literal_q1(q, w, s):
             n, sx, s2, s3, s4, sy, sxy, s2y = (np.float64(v) for v in sums)
             with np.errstate(all="ignore"):
                 a, b = (s2y * s2 - sxy * s3) / (s2 * s4 - s3 * s3), (sxy * s4 - s2y * s3) / (s2 * s4 - s3 * s3)
-                row |= {f"p0_{side}": (sy / n - b * sx / n - a * s2 / n) / 100, f"p1_{side}": b * 12 / 100, f"p2_{side}": a * 144 / 100}
+                row |= {f"p0_{side}": sy / n - b * sx / n - a * s2 / n, f"p1_{side}": b * 12, f"p2_{side}": a * 144}
             low, high, opened, last = 10000.0, 0.0, 0.0, 0
             for i in range(w - s, w):
                 price = win[i][f"{side}_price"]
@@ -131,6 +131,24 @@ def test_q1_against_loops(spark, sf, w, s):
             assert all(same(x[c], y[c]) for c in y), (key, x, y)
 
 
+def test_q1_fine_prices(spark):
+    """Prices in steps of 0.0004: the fit rounds nothing, in a batch and in the form for streams."""
+    rows = [("a", i, 4.0 + 0.0004 * (i * 7 % 11), 1, 4.1 + 0.0004 * (i * 5 % 13), i % 3, i * 300_000, i) for i in range(60)]
+    q = spark.createDataFrame(rows, "type string, id long, bid_price double, bid_size int, ask_price double, ask_size int, original_timestamp long, timestamp long")
+    q = with_position(q, "type", "id", previous=["original_timestamp"])
+    got = wf.q1(q, 20, 5).orderBy("wid").toPandas()
+    want = literal_q1(q.orderBy("pos").toPandas().to_dict("records"), 20, 5)
+    table = q.orderBy("pos").toPandas()
+    views = {c: np.lib.stride_tricks.sliding_window_view(table[c].to_numpy(), 20)[::5] for c in table.columns if c != "type"}
+    stream = vectorised.q1(views, 5)
+    for k, row in enumerate(want):
+        for n in ("p0", "p1", "p2"):
+            for side in ("bid", "ask"):
+                exact = row[f"{n}_{side}"]
+                assert got[f"{n}_{side}"][k] == pytest.approx(exact, rel=1e-9, abs=1e-9)
+                assert stream[f"{n}_{side}"][k] * 12.0 ** int(n[1]) == pytest.approx(exact, rel=1e-9, abs=1e-9)
+
+
 def test_q1_edges(spark):
     """No valid quote at all, prices above the sentinel, a run of equal timestamps across a window's start."""
     rows = [("a", i, 20000.0 + i, 0 if i < 4 else 1, 50.0 + i, 0, (i // 3) * 300000, i) for i in range(12)]

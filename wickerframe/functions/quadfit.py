@@ -18,11 +18,11 @@ def sums(side: str, x: Column, y: Column, kept: Column) -> list[Column]:
     return [F.sum(F.when(kept, v).otherwise(F.lit(0.0))).alias(f"{side}_{k}") for k, v in terms.items()]
 
 
-def coefficients(side: str, x_unit: float = 1.0, y_unit: float = 1.0, digits: int | None = 3) -> list[Column]:
+def coefficients(side: str, x_unit: float = 1.0, y_unit: float = 1.0) -> list[Column]:
     """p0, p1, p2 of a side from its sums, with x in units of x_unit and y of y_unit."""
     n, x, xx, xxx, xxxx, y, xy, xxy = (F.col(f"{side}_{k}") for k in ("n", "x", "xx", "xxx", "xxxx", "y", "xy", "xxy"))
     below = xx * xxxx - xxx * xxx
     a, b = ratio(xxy * xx - xy * xxx, below), ratio(xy * xxxx - xxy * xxx, below)
     c = ratio(y, n) - b * ratio(x, n) - a * ratio(xx, n)
     out = {"p0": c * y_unit, "p1": b * (y_unit / x_unit), "p2": a * (y_unit / x_unit / x_unit)}
-    return [(F.round(v, digits) if digits is not None else v).alias(f"{p}_{side}") for p, v in out.items()]
+    return [v.alias(f"{p}_{side}") for p, v in out.items()]

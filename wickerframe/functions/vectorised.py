@@ -8,12 +8,12 @@ from .ohlc import NO_LOW
 
 
 def sums(c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Sums of prices in cents."""
-    return {f"sum_{s}": np.rint(c[f"{s}_price"] * 100).sum(1).astype(np.int64) / 100.0 for s in ("bid", "ask")}
+    """Sums of prices."""
+    return {f"sum_{s}": c[f"{s}_price"].sum(1) for s in ("bid", "ask")}
 
 
-def q1(c: dict[str, np.ndarray], slide: int, step_ms: float = 300_000.0) -> dict[str, np.ndarray]:
-    """Unrounded coefficients (x in steps, y in cents) and candlesticks of the last `slide` columns."""
+def q1(c: dict[str, np.ndarray], slide: int, step_ms: float = 300_000.0, fit_on: dict[str, str] | None = None) -> dict[str, np.ndarray]:
+    """Coefficients (x in steps; y the columns fit_on, or the prices) and candlesticks of the last `slide` columns."""
     ts = c["original_timestamp"]
     x = (ts - ts[:, :1]) / step_ms
     kept = np.ones(ts.shape, bool)
@@ -23,7 +23,7 @@ def q1(c: dict[str, np.ndarray], slide: int, step_ms: float = 300_000.0) -> dict
     rows = np.arange(len(ts))
     for s in ("bid", "ask"):
         price, valid = c[f"{s}_price"], c[f"{s}_size"] > 0
-        y, use = np.floor(price * 100 + 0.5), valid & kept
+        y, use = c[(fit_on or {}).get(s, f"{s}_price")].astype(float), valid & kept
         n, sx, sxx, sxxx, sxxxx = (np.where(use, x**k, 0.0).sum(1) for k in range(5))
         sy, sxy, sxxy = (np.where(use, y * x**k, 0.0).sum(1) for k in range(3))
         with np.errstate(divide="ignore", invalid="ignore"):

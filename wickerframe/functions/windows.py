@@ -11,10 +11,10 @@ from ..operators.windows import CountWindow, assign_windows, check, fired, flink
 from . import ohlc, quadfit
 from .kmeans import kmeans
 
-#: x is counted in steps of five minutes and prices in cents while sums are taken: they are whole numbers, whose sums
-#: do not depend on the order. Coefficients are given for hours and units of price.
-STEP_MS, HOUR_STEPS, CENT = 300_000, 12.0, 100.0
-DIGITS = 3
+#: x is counted in steps of five minutes while sums are taken; coefficients are given for hours.
+STEP_MS, HOUR_STEPS = 300_000, 12.0
+#: The columns that the fit reads; sums of whole numbers in them do not depend on the order of the rows.
+PRICE_COLUMNS = {"bid": "bid_price", "ask": "ask_price"}
 
 
 SIDES = ("bid", "ask")
@@ -22,7 +22,7 @@ _TERMS = ("n", "x", "xx", "xxx", "xxxx", "y", "xy", "xxy")
 _PRICES = ("open", "high", "low", "close")
 
 
-def quote_panes(quotes: DataFrame, g: int, skip_runs: bool = True) -> DataFrame:
+def quote_panes(quotes: DataFrame, g: int, skip_runs: bool = True, fit_on: dict[str, str] = PRICE_COLUMNS) -> DataFrame:
     """Partial results of every complete pane of g quotes: what fits and candlesticks of any window made of whole
     panes can be put together from. Sums are taken with x counted from the pane's first quote.
 
@@ -37,7 +37,7 @@ def quote_panes(quotes: DataFrame, g: int, skip_runs: bool = True) -> DataFrame:
     aggs = []
     for s in SIDES:
         price, valid = F.col(f"{s}_price"), F.col(f"{s}_size") > 0
-        y = F.round(price * CENT)
+        y = F.col(fit_on[s]).cast("double")
         aggs += quadfit.sums(s, x, y, valid & ~again)
         aggs += [
             F.max(F.when(again & valid & (F.col("pos") == F.col("pane") * g), y)).alias(f"{s}_lone"),
@@ -88,7 +88,7 @@ def _combine(in_candle: Column, close_last: bool) -> list[Column]:
 
 
 def _finished(out: DataFrame, *extra: Column) -> DataFrame:
-    fits = [c for s in SIDES for c in quadfit.coefficients(s, 1 / HOUR_STEPS, 1 / CENT, DIGITS)]
+    fits = [c for s in SIDES for c in quadfit.coefficients(s, 1 / HOUR_STEPS)]
     return out.select("type", "wid", *extra, "timestamp", *fits, *[f"{p}_{s}" for s in SIDES for p in _PRICES])
 
 
@@ -98,9 +98,10 @@ def _with_origin(rows: DataFrame) -> DataFrame:
     return rows.withColumn("d", d).withColumn("starts", F.row_number().over(w) == 1)
 
 
-def q1(quotes: DataFrame, window: int, slide: int) -> DataFrame:
+def q1(quotes: DataFrame, window: int, slide: int, fit_on: dict[str, str] = PRICE_COLUMNS) -> DataFrame:
     """Quadratic fit over the window and candlesticks over its last S quotes: type, wid, timestamp of the last
-    quote, p0 to p2 and open, high, low, close of both sides.
+    quote, p0 to p2 and open, high, low, close of both sides. The fit is in double precision on the columns that fit_on
+    names, and nothing is rounded.
 
     N quotes make N / g panes (g = gcd(W, S)), each part of W / S windows: (N / g) (W / S) narrow rows are shuffled
     by (type, wid), instead of N W / S quotes, and a hot key is spread over its windows.
@@ -108,15 +109,15 @@ def q1(quotes: DataFrame, window: int, slide: int) -> DataFrame:
     check(window, slide)
     g = math.gcd(window, slide)
     per, step, tail = window // g, slide // g, slide // g
-    rows = _with_origin(assign_windows(quote_panes(quotes, g), per, step, "pane"))
+    rows = _with_origin(assign_windows(quote_panes(quotes, g, fit_on=fit_on), per, step, "pane"))
     in_candle = F.col("pane") >= F.col("wid") * step + (per - tail)
     out = rows.groupBy("type", "wid").agg(F.count(F.lit(1)).alias("_n"), F.max_by("timestamp", "pane").alias("timestamp"), *_combine(in_candle, False))
     return _finished(out.where(F.col("_n") == per))
 
 
-def quad_fit(quotes: DataFrame, window: int, slide: int) -> DataFrame:
+def quad_fit(quotes: DataFrame, window: int, slide: int, fit_on: dict[str, str] = PRICE_COLUMNS) -> DataFrame:
     """type, wid and p0, p1, p2 of both sides. What candlesticks need of q1 is pruned by the optimiser."""
-    return q1(quotes, window, slide).drop("timestamp", *[f"{p}_{s}" for s in SIDES for p in _PRICES])
+    return q1(quotes, window, slide, fit_on).drop("timestamp", *[f"{p}_{s}" for s in SIDES for p in _PRICES])
 
 
 def candlesticks(quotes: DataFrame, window: int, slide: int) -> DataFrame:
@@ -132,12 +133,12 @@ def candlesticks(quotes: DataFrame, window: int, slide: int) -> DataFrame:
     return out.where(F.col("_end") == F.col("wid") * slide + (window - 1)).drop("_end")
 
 
-def q1_flink(quotes: DataFrame, window: int, slide: int) -> DataFrame:
+def q1_flink(quotes: DataFrame, window: int, slide: int, fit_on: dict[str, str] = PRICE_COLUMNS) -> DataFrame:
     """The variant with early, shorter windows, no skipping of equal timestamps, candlesticks over the whole window
     and the last quote's price as close. Its result id is always 1."""
     check(window, slide)
     g = math.gcd(window, slide)
-    rows = _with_origin(flink_windows(quote_panes(quotes, g, skip_runs=False), window // g, slide // g, "pane"))
+    rows = _with_origin(flink_windows(quote_panes(quotes, g, skip_runs=False, fit_on=fit_on), window // g, slide // g, "pane"))
     out = rows.groupBy("type", "wid").agg(F.max("pane").alias("_end"), F.max_by("timestamp", "pane").alias("timestamp"), *_combine(F.lit(True), True))
     return _finished(out.where(fired(F.col("_end"), F.col("wid"), slide // g)), F.lit(1).alias("id"))
 

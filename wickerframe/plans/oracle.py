@@ -212,6 +212,15 @@ from conf a join conf b on a.nw - b.nw between 0 and 1 and a.batch - b.batch in
         "max_rate": f"with {_RUNS} select w, s, round(max_cpu, 6) as max_cpu, round(max_gpu, 6) as max_gpu from mr",
         "speedup_table": f"with {_RUNS} select s, {', '.join(f'max(case when w = {w} then floor(max_gpu / max_cpu * 100) / 100 end) as w{w}' for w in (10000, 25000, 50000))} from mr group by s",
         "gen_keys": f"select id, {_key_case(_u(5))} as type from range({GENERATED}) r(id)",
+        "gen_quotes": f"""with g as (select id, round(-10.0::double * ln({_u(1)}))::bigint as gap from range({GENERATED}) r(id)),
+a as (select id, (sum(gap) over (order by id))::bigint as t from g)
+select id, {_key_case(_u(11))} as type, 100 + 100 * {_u(12)} as bid_price, floor(200 * {_u(13)})::int as bid_size, 100 + 100 * {_u(14)} as ask_price, floor(200 * {_u(15)})::int as ask_size,
+(t // 1000) * 1000 as original_timestamp, t as timestamp from a""",
+        "rng_distributions": f"""with r as (select id, {_u(1)} as u, {_u(2)} as v, {_u(3)} as w from range({GENERATED}) r(id))
+select id, round(u, 6) as uniform, round(-2.0::double * ln(u), 6) as exponential, round(-1.0::double * ln(u * v * w), 6) as erlang,
+round(case when u < 0.3::double then -(1.0::double / 0.6::double) * ln(v) else -(1.0::double / 1.4::double) * ln(v) end, 6) as hyperexponential,
+round(case when u < 0.25::double then 1.0::double + sqrt(u * 4.0::double) else 5.0::double - sqrt((1 - u) * 4.0::double * 3.0::double) end, 6) as triangular,
+round(10.0::double + 2.0::double * (sqrt(-2 * ln(u)) * cos(6.283185307179586::double * v)), 6) as normal from r""",
         "gen_arrivals": f"with g as (select id, round(-1000.0::double * ln({_u(1)}))::bigint as gap_usec from range({GENERATED}) r(id)) select id, gap_usec, (sum(gap_usec) over (order by id))::bigint as timestamp_usec from g",
         "read_sensor64": f"with {_SENSOR} select * from sen",
         "speedup_ts": f"with {_SENSOR} select id, timestamp_usec / 80.0::double as timestamp_usec from sen",

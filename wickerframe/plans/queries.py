@@ -39,6 +39,18 @@ def _cents(column: str):
     return F.round(F.col(column) * 100).cast("long")
 
 
+#: The registered fits run on whole cents, whose sums are exact in any order, and are rounded for the comparison.
+CENTS, DIGITS = {"bid": "bid_cents", "ask": "ask_cents"}, 3
+
+
+def _with_cents(quotes: DataFrame) -> DataFrame:
+    return quotes.withColumns({c: _cents(f"{s}_price") for s, c in CENTS.items()})
+
+
+def _in_units(fits: DataFrame) -> DataFrame:
+    return fits.withColumns({n: F.round(F.col(n) * 0.01, DIGITS) for n in fits.columns if n[:2] in ("p0", "p1", "p2")})
+
+
 def _slim(quotes: DataFrame) -> DataFrame:
     return quotes.select("type", "id", "pos")
 
@@ -110,7 +122,9 @@ def cpu_batch_size(spark, sf):
 @_query
 def batched_windows(spark, sf):
     q = fx.quotes(spark, sf)
-    return ow.CountWindow(q, "type", W, S).apply_batches(["bid_price", "ask_price"], vectorised.sums, "sum_bid double, sum_ask double")
+    q = q.select("type", "pos", *[_cents(c).alias(c) for c in ("bid_price", "ask_price")])
+    out = ow.CountWindow(q, "type", W, S).apply_batches(["bid_price", "ask_price"], vectorised.sums, "sum_bid long, sum_ask long")
+    return out.withColumns({c: F.col(c) / 100.0 for c in ("sum_bid", "sum_ask")})
 
 
 @_query
@@ -177,7 +191,7 @@ def distance_to_seed(spark, sf):
 
 @_query
 def quad_fit(spark, sf):
-    return wf.quad_fit(fx.quotes(spark, sf), W, S)
+    return _in_units(wf.quad_fit(_with_cents(fx.quotes(spark, sf)), W, S, CENTS))
 
 
 @_query
@@ -194,12 +208,12 @@ def candlestick(spark, sf):
 
 @_query
 def q1_financial(spark, sf):
-    return wf.q1(fx.quotes(spark, sf), W, SMALL_S)
+    return _in_units(wf.q1(_with_cents(fx.quotes(spark, sf)), W, SMALL_S, CENTS))
 
 
 @_query
 def q1_flink_variant(spark, sf):
-    return wf.q1_flink(fx.quotes(spark, sf), W, S)
+    return _in_units(wf.q1_flink(_with_cents(fx.quotes(spark, sf)), W, S, CENTS))
 
 
 def _no_nan(df: DataFrame) -> DataFrame:
@@ -255,8 +269,7 @@ def candle_lines(spark, sf):
 
 @_query
 def fitting_lines(spark, sf):
-    q1 = wf.q1(fx.quotes(spark, sf), W, S)
-    return sinks.fitting_lines(q1)
+    return sinks.fitting_lines(_in_units(wf.q1(_with_cents(fx.quotes(spark, sf)), W, S, CENTS)))
 
 
 @_query
@@ -474,18 +487,20 @@ def _folder(spark) -> str:
 
 @_query
 def stream_count_window(spark, sf):
-    out = streaming.count_windows(_stream(spark, sf), "type", "id", ["bid_price", "ask_price"], W, S, vectorised.sums, "sum_bid double, sum_ask double")
+    quotes = _stream(spark, sf).select("type", "id", *[_cents(c).alias(c) for c in ("bid_price", "ask_price")])
+    out = streaming.count_windows(quotes, "type", "id", ["bid_price", "ask_price"], W, S, vectorised.sums, "sum_bid long, sum_ask long")
     folder = _folder(spark)
-    return streaming.run_once(out, f"{folder}/out", f"{folder}/state")
+    done = streaming.run_once(out, f"{folder}/out", f"{folder}/state")
+    return done.withColumns({c: F.col(c) / 100.0 for c in ("sum_bid", "sum_ask")})
 
 
 @_query
 def stream_q1(spark, sf):
     names = [f"{p}_{s}" for s in ("bid", "ask") for p in ("p0", "p1", "p2", "open", "high", "low", "close")]
     schema = "timestamp long, " + ", ".join(f"{n} double" for n in names)
-    columns = ["bid_price", "bid_size", "ask_price", "ask_size", "original_timestamp", "timestamp"]
-    out = streaming.count_windows(_stream(spark, sf), "type", "id", columns, W, S, lambda c: vectorised.q1(c, S), schema)
+    columns = ["bid_price", "bid_size", "ask_price", "ask_size", "original_timestamp", "timestamp", *CENTS.values()]
+    out = streaming.count_windows(_with_cents(_stream(spark, sf)), "type", "id", columns, W, S, lambda c: vectorised.q1(c, S, fit_on=CENTS), schema)
     folder = _folder(spark)
     done = streaming.run_once(out, f"{folder}/out", f"{folder}/state")
     unit = lambda p: F.lit((12.0 ** int(p[1])) / 100.0)
-    return done.withColumns({n: F.round(F.col(n) * unit(n), wf.DIGITS) for n in names if n[0] == "p"})
+    return done.withColumns({n: F.round(F.col(n) * unit(n), DIGITS) for n in names if n[0] == "p"})
