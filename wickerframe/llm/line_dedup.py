@@ -63,7 +63,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     raw = F.split(text_of("text"), "\n")
-    clean = F.transform(raw, lambda x: F.regexp_replace(F.regexp_replace(x, f"^{SPACE}+|{SPACE}+$", ""), f"{SPACE}+", " "))
+    clean = F.transform(raw, lambda x: F.regexp_replace(F.btrim(x, F.lit(" \t\n\x0b\f\r")), f"{SPACE}+", " "))
     hashed = source.withColumn("all", F.transform(clean, lambda x: F.when(x != "", F.xxhash64(x))))
     sizes = [] if long_words is None else [F.filter(F.transform(F.split(text_of("text"), "\n"), lambda x: n_words(x).cast("int")), lambda k: k > 0).alias("sizes")]
     lines = hashed.where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("v"), F.filter("all", lambda h: h.isNotNull()).alias("lines"), *sizes)
