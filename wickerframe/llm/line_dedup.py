@@ -88,7 +88,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = places.groupBy("key").agg(F.min(F.struct("doc", "at")).alias("o"), F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("key").alias("o_key"), F.col("o.doc").alias("o_doc"), F.col("o.at").alias("o_at"))
     met = places.join(shared_table(first, "line-first-places"), F.col("key") == F.col("o_key")).where((F.col("doc") != F.col("o_doc")) | (F.col("at") != F.col("o_at")))
     gone = met.select("doc", F.explode(F.sequence("at", F.col("at") + F.col("span") - 1)).alias("k")).groupBy("doc").agg(F.collect_set("k").alias("gone"))
-    gone = shared_table(gone.select(F.col("doc.doc_id").alias("g_id"), F.col("doc.v").alias("g_v"), "gone"), "line-gone")
+    gone = gone.select(F.col("doc.doc_id").alias("g_id"), F.col("doc.v").alias("g_v"), "gone")
 
     out = hashed.select("doc_id", "text", F.xxhash64("text").alias("v"), F.size(F.filter("all", lambda h: h.isNotNull())).cast("long").alias("n_lines"))
     out = out.join(gone, (F.col("doc_id") == F.col("g_id")) & (F.col("v") == F.col("g_v")), "left")
