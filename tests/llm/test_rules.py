@@ -131,7 +131,7 @@ def test_mixing_weights(spark):
     got = mix(df, weight_col="quality", weights=(1.0,), total=0.5).toPandas()
     own = got[got.doc_id < 1000]
     taken = own.groupby(own.doc_id % 5).taken.sum() / own.groupby(own.doc_id % 5)["size"].sum()
-    assert taken[0] > 0.97 and taken[0] > taken[1] + 0.2 > taken[2] + 0.5
+    assert taken[0] > 0.97 and taken[1] > 0.9 and max(taken[2:5]) < 0.3
     assert own.taken.sum() == pytest.approx(own.target.iloc[0], abs=0.5)
 
 
