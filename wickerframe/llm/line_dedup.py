@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACE, n_words, shared_table, text_of
+from .shared import SPACE, shared_table, text_of
 
 GRAM, WINDOW = 2, 2
 #: Words from which a run counts however few its lines are.
@@ -37,9 +37,11 @@ def _key(kind: Column, run: Column) -> Column:
 def _long_runs(lines: DataFrame, run: int, long_words: int) -> DataFrame:
     """Runs of under `run` lines that have long_words words, each its own fingerprint and context."""
     n = F.size("lines")
-    of = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - (k - 1))), lambda a: F.struct(a.alias("at"), F.lit(k).alias("span"), _key(F.lit(k), F.slice("lines", a, k)).alias("key")))
+    of = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - (k - 1))), lambda a: F.struct(a.alias("at"), F.lit(k).alias("span")))
     words = lambda c: F.aggregate(F.slice("sizes", c["at"], c["span"]), F.lit(0), lambda a, x: a + x)
     found = F.filter(F.concat(*[of(k) for k in range(1, run)]), lambda c: (c["at"] + c["span"] - 1 <= n) & (words(c) >= long_words))
+    # Only the runs that are long enough are hashed.
+    found = F.transform(found, lambda c: F.struct(c["at"].alias("at"), c["span"].alias("span"), _key(c["span"], F.slice("lines", c["at"], c["span"])).alias("key")))
     return lines.select("doc", F.explode(found).alias("c")).select(F.col("c.key.a").alias("f"), "doc", F.array("c").alias("context"))
 
 
@@ -64,8 +66,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     raw = F.split(text_of("text"), "\n")
     clean = F.transform(raw, lambda x: F.regexp_replace(F.btrim(x, F.lit(" \t\n\x0b\f\r")), f"{SPACE}+", " "))
-    hashed = source.withColumn("all", F.transform(clean, lambda x: F.when(x != "", F.xxhash64(x))))
-    sizes = [] if long_words is None else [F.filter(F.transform(F.split(text_of("text"), "\n"), lambda x: n_words(x).cast("int")), lambda k: k > 0).alias("sizes")]
+    hashed = source.withColumn("clean", clean).withColumn("all", F.transform("clean", lambda x: F.when(x != "", F.xxhash64(x))))
+    # A cleaned line has one space between its words.
+    spaces = lambda x: F.char_length(x) - F.char_length(F.replace(x, F.lit(" "), F.lit("")))
+    sizes = [] if long_words is None else [F.transform(F.filter("clean", lambda x: x != ""), lambda x: spaces(x) + 1).alias("sizes")]
     lines = hashed.where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("v"), F.filter("all", lambda h: h.isNotNull()).alias("lines"), *sizes)
     enough = F.size("lines") >= gram
     lines = lines.where(enough if long_words is None else enough | (F.aggregate("sizes", F.lit(0), lambda a, x: a + x) >= long_words))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import bpe, quality_model, toxicity
 from .exact_dedup import exact_dedup
 from .html_extract import extract
-from .line_dedup import line_dedup
+from .line_dedup import LONG_WORDS, line_dedup
 from .mixing import mix
 from .ngram_jaccard import jaccard_components
 from .quality_rules import BOILERPLATE, CLOSED, quality_rules
@@ -69,8 +69,7 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The query's SQL counts lines only.
-    out = line_dedup(_table(spark, sf_dir, "documents"), long_words=None)
+    out = line_dedup(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_deleted", F.char_length("clean_text").cast("long").alias("n_chars_left"), F.sha2("clean_text", 256).alias("clean_sha256"))
 
 
@@ -117,10 +116,12 @@ _OP7 = rf"""
 with d as (select doc_id, text, string_split(coalesce(text, ''), chr(10)) as l from documents),
 r as (select doc_id, unnest(l) as raw, generate_subscripts(l, 1) as p from d),
 w as (select doc_id, raw, p, regexp_replace(regexp_replace(raw, '^{_SPACE}+|{_SPACE}+$', '', 'g'), '{_SPACE}+', ' ', 'g') as line from r),
-c as (select doc_id, p, row_number() over (partition by doc_id order by p) as i, line from w where line != ''),
-g as (select doc_id, i, line || chr(10) || lead(line) over o || chr(10) || lead(line, 2) over o as run from c window o as (partition by doc_id order by i)),
-x as (select doc_id, i, row_number() over (partition by run order by doc_id, i) as k from g where run is not null),
-gone as (select distinct doc_id, unnest([i, i + 1, i + 2]) as i from x where k > 1),
+c as (select doc_id, p, row_number() over (partition by doc_id order by p) as i, line, len(regexp_extract_all(line, '{_WORD}')) as n from w where line != ''),
+f as (select doc_id, i, line as one, n as n1, line || chr(10) || lead(line) over o as two, n + lead(n) over o as n2, line || chr(10) || lead(line) over o || chr(10) || lead(line, 2) over o as three
+      from c window o as (partition by doc_id order by i)),
+g as (select doc_id, i, 1 as span, one as run from f where n1 >= {LONG_WORDS} union all select doc_id, i, 2, two from f where n2 >= {LONG_WORDS} union all select doc_id, i, 3, three from f where three is not null),
+x as (select doc_id, i, span, row_number() over (partition by span, run order by doc_id, i) as k from g),
+gone as (select distinct doc_id, unnest(range(i, i + span)) as i from x where k > 1),
 gp as (select c.doc_id, c.p from c join gone on c.doc_id = gone.doc_id and c.i = gone.i),
 s as (select r.doc_id, string_agg(r.raw, chr(10) order by r.p) as t from r left join gp on r.doc_id = gp.doc_id and r.p = gp.p where gp.p is null group by r.doc_id),
 n as (select doc_id, count(*) as n from c group by doc_id),
