@@ -94,7 +94,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = met.select("doc", F.explode(F.sequence("at", F.col("at") + F.col("span") - 1)).alias("k")).groupBy("doc").agg(F.collect_set("k").alias("gone"))
     gone = gone.select(F.col("doc.doc_id").alias("g_id"), F.col("doc.v").alias("g_v"), "gone")
 
-    out = hashed.select("doc_id", "text", F.xxhash64("text").alias("v"), F.size(F.filter("all", lambda h: h.isNotNull())).cast("long").alias("n_lines"))
+    filled = F.filter(raw, lambda x: F.btrim(x, F.lit(" \t\n\x0b\f\r")) != "")
+    out = source.select("doc_id", "text", F.xxhash64("text").alias("v"), F.size(filled).cast("long").alias("n_lines"))
     out = out.join(gone, (F.col("doc_id") == F.col("g_id")) & (F.col("v") == F.col("g_v")), "left")
     # Places of the lines with words; those that are gone, by their numbers; all places but these.
     worded = F.filter(F.transform("raw", lambda x, p: F.when(x.rlike(f"[^{SPACE[1:-1]}]"), p)), lambda p: p.isNotNull())
