@@ -37,6 +37,8 @@ def test_formulations_agree(spark, w, s):
     forms = {
         "A": c.agg(F.sum("v").alias("v")),
         "B": c.frame(("v", lambda: F.sum("v"))),
+        "B in parts": c.frame(("v", lambda: F.sum("v")), part=w + 1),
+        "B in least parts": c.frame(("v", lambda: F.sum("v")), part=1),
         "C": c.panes(ow.pane_sum("v", F.col("v"))),
         "planner": c.algebraic(ow.pane_sum("v", F.col("v"))),
     } | {f"D{b}": c.apply_batches(["v"], lambda a: {"v": a["v"].sum(1)}, "v double", batch=b) for b in (1, 3, 50)}
@@ -80,6 +82,11 @@ def test_positions(spark, stride):
         assert [rows[key, i] for i in ids] == [(n, ids[n - 1] * 10 if n else None) for n in range(len(ids))]
 
 
+def test_positions_without_order(spark):
+    df = spark.createDataFrame([("a", None), ("a", 5), ("a", 9), (None, 3)], "key string, id long")
+    assert sorted(map(tuple, with_position(df, "key", "id", stride=4).collect()), key=repr) == [("a", 5, 1), ("a", 9, 2), ("a", None, 0), (None, 3, 0)]
+
+
 def literal_q1(q, w, s):
     """Query 1 of one key's quotes by loops: (p0, p1, p2, open, high, low, close) per side, x in steps."""
     out = []
@@ -200,6 +207,10 @@ def test_order(spark):
     df = spark.createDataFrame([("a", w) for w in (0, 1, 2, 4, 5)] + [("b", w) for w in (1, 2)] + [("c", 0)], "key string, wid long")
     assert sorted(map(tuple, order.contiguous_prefix(df, "key").collect())) == [("a", 0), ("a", 1), ("a", 2), ("c", 0)]
     assert order.order_violations(df, "key", "wid").count() == 4
+    late = spark.createDataFrame([("a", t, w) for t, w in ((5, 0), (70, 2), (71, 1), (300, 3))] + [("b", 9, 1)], "key string, t long, wid long")
+    for stride in (2, 64, 1 << 20):
+        got = order.order_violations(late, "key", "t", stride=stride).select("key", "wid", "expected").collect()
+        assert sorted(map(tuple, got)) == [("a", 1, 2), ("a", 2, 1), ("b", 1, 0)]
 
 
 def test_stream_equals_batch(spark, sf, tmp_path):

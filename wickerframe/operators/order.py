@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .positions import STRIDE, with_position
+
 
 def ordered(df: DataFrame, key: str, wid: str = "wid") -> DataFrame:
     """Results by key and window: a range-partitioned sort, for use at a sink."""
@@ -23,7 +25,8 @@ def contiguous_prefix(df: DataFrame, key: str, wid: str = "wid") -> DataFrame:
     return df.join(gap, F.col(key).eqNullSafe(F.col("_k"))).where(F.col(wid) < F.col("_gap")).drop("_k", "_gap")
 
 
-def order_violations(df: DataFrame, key: str, arrival: str, wid: str = "wid") -> DataFrame:
-    """Results that come in with another id than the one expected: rows of a key, in order of arrival, count 0, 1, ..."""
-    nth = F.row_number().over(Window.partitionBy(key).orderBy(arrival)) - 1
-    return df.withColumn("expected", nth.cast("long")).where(F.col(wid) != F.col("expected"))
+def order_violations(df: DataFrame, key: str, arrival: str, wid: str = "wid", stride: int = STRIDE) -> DataFrame:
+    """Results that come in with another id than the one expected: rows of a key, in order of arrival (a whole number,
+    unique within a key), count 0, 1, ... They are counted by with_position, so no key is numbered in one task."""
+    out = with_position(df, key, arrival, stride=stride, name="expected")
+    return out.withColumn("expected", F.col("expected").cast("long")).where(F.col(wid) != F.col("expected"))

@@ -14,6 +14,7 @@ STRIDE = 1 << 20
 def with_position(df: DataFrame, key: str, order: str, previous: Sequence[str] = (), stride: int = STRIDE, name: str = "pos") -> DataFrame:
     """df with `pos`, the number of rows of the same key that come before by `order` (a whole number, unique
     within a key), and `prev_<c>` for each column c of `previous`: its value in the row before, null in the first.
+    A row without a value of `order` comes before its key's others.
 
     A key's rows are not numbered in one task: rows are cut into buckets of `stride` values of the order column,
     numbered within (key, bucket), and shifted by the counts of the buckets before. Those counts are one row per
@@ -30,7 +31,7 @@ def with_position(df: DataFrame, key: str, order: str, previous: Sequence[str] =
     df = df.withColumn("_row", F.row_number().over(rows))
     for c in previous:
         df = df.withColumn(f"prev_{c}", F.lag(c).over(rows))
-    df = df.join(counts, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_bucket") == F.col("_b")))
+    df = df.join(counts, F.col(key).eqNullSafe(F.col("_key")) & F.col("_bucket").eqNullSafe(F.col("_b")))
     for c in previous:
         df = df.withColumn(f"prev_{c}", F.when(F.col("_row") == 1, F.col(f"_last_{c}")).otherwise(F.col(f"prev_{c}")))
     df = df.withColumn(name, F.col("_row") - 1 + F.col("_shift"))

@@ -20,6 +20,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Positions of a key that one task's running frame covers.
+FRAME_ROWS = 1 << 18
+
+
 def check(window: int, slide: int) -> None:
     if not 0 < slide <= window:
         raise ValueError("0 < slide <= window is required: sliding or tumbling windows only")
@@ -128,12 +132,19 @@ class CountWindow:
         out = rows.groupBy(self.key, "wid").agg(F.count(F.lit(1)).alias("_n"), *aggregates)
         return out.where(F.col("_n") == self.window).drop("_n")
 
-    def frame(self, *aggregates: tuple[str, Callable[[], Column]]) -> DataFrame:
-        """B. The same by a running frame of W rows."""
-        over = Window.partitionBy(self.key).orderBy(self.pos).rowsBetween(-(self.window - 1), 0)
-        out = self.df.select(self.key, self.pos, *[f().over(over).alias(n) for n, f in aggregates])
-        end = F.col(self.pos) + 1
-        out = out.where((end >= self.window) & ((end - self.window) % self.slide == 0))
+    def frame(self, *aggregates: tuple[str, Callable[[], Column]], part: int = FRAME_ROWS) -> DataFrame:
+        """B. The same by a running frame of W rows.
+
+        A key is cut into parts of `part` positions (W at least), each with the W - 1 rows before it, so that no task
+        holds a whole key; the rows lent to the next part give no results there.
+        """
+        part = max(part, self.window)
+        pos, own = F.col(self.pos), F.floor(F.col(self.pos) / F.lit(part))
+        rows = self.df.withColumn("_part", F.explode(F.sequence(own, F.floor((pos + (self.window - 1)) / F.lit(part)))))
+        over = Window.partitionBy(self.key, "_part").orderBy(self.pos).rowsBetween(-(self.window - 1), 0)
+        out = rows.select(self.key, self.pos, "_part", *[f().over(over).alias(n) for n, f in aggregates])
+        end = pos + 1
+        out = out.where((F.col("_part") == own) & (end >= self.window) & ((end - self.window) % self.slide == 0))
         return out.select(self.key, ((end - self.window) / self.slide).cast("long").alias("wid"), *[n for n, _ in aggregates])
 
     def pane_rows(self) -> int:
