@@ -15,7 +15,8 @@ from wickerframe.operators import order, tuner
 from wickerframe.operators import windows as ow
 from wickerframe.operators.positions import with_position
 from wickerframe.plans import fixtures as fx
-from wickerframe.sources import generators, sensor64
+from wickerframe.plans import queries
+from wickerframe.sources import generators, sensor64, sinks
 from wickerframe.streaming import count_window as streaming
 
 
@@ -280,6 +281,19 @@ def test_tuner():
     assert found and 100.0 * found[0] * found[1] / (1 + found[1] / 3) >= 1500.0 * (1 - tuner.ACCEPT)
 
 
+def test_lines_of_negative_zeros(spark):
+    """Coefficients that round to zero keep their sign in lines, as DuckDB's round and printf do."""
+    import duckdb
+
+    values = [-0.04, 0.04, -0.0, 0.0, -0.06, 31.47512]
+    names = [f"p{k}_{s}" for s in ("bid", "ask") for k in range(3)]
+    fits = spark.createDataFrame([("a", 7, 5, *values)], f"type string, wid long, timestamp long, {', '.join(f'{n} double' for n in names)}")
+    want = [duckdb.sql(f"select printf('%.3f', round({v!r}::double * 0.01, 3))").fetchall()[0][0] for v in values]
+    assert want[:4] == ["-0.000", "0.000", "-0.000", "0.000"]
+    lines = sorted(r.line for r in sinks.fitting_lines(queries._in_units(fits)).collect())
+    assert lines == ["type=a,Ask,5," + ",".join(want[3:]), "type=a,Bid,5," + ",".join(want[:3])]
+
+
 def test_package_without_llm():
     """Nothing outside the subpackage imports it."""
     import pathlib

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numeric, vectorised
@@ -47,8 +47,14 @@ def _with_cents(quotes: DataFrame) -> DataFrame:
     return quotes.withColumns({c: _cents(f"{s}_price") for s, c in CENTS.items()})
 
 
+def _signed_round(v: Column, digits: int) -> Column:
+    """round() that keeps the sign of what it makes zero, as IEEE rounding and SQL in DuckDB do: text forms show it."""
+    out = F.round(v, digits)
+    return F.when(out == 0, v * 0.0).otherwise(out)
+
+
 def _in_units(fits: DataFrame) -> DataFrame:
-    return fits.withColumns({n: F.round(F.col(n) * 0.01, DIGITS) for n in fits.columns if n[:2] in ("p0", "p1", "p2")})
+    return fits.withColumns({n: _signed_round(F.col(n) * 0.01, DIGITS) for n in fits.columns if n[:2] in ("p0", "p1", "p2")})
 
 
 def _slim(quotes: DataFrame) -> DataFrame:
