@@ -90,6 +90,68 @@ def test_ngram_join_rounds(spark, prose, monkeypatch, leaders):
     assert got == {d: want[i] for i, (d, _) in enumerate(docs)}
 
 
+def test_ngram_join_near_copies_of_one_text(spark, monkeypatch):
+    """Few pairs of a large group are checked: most near copies link by their distance from what is common to all, the
+    others only where they depart from it in common, as the copies of a changed copy do."""
+    from wickerframe.llm import ngram_jaccard as m
+
+    rng, checked, write = random.Random(8), [], m.shared_table
+
+    def changed(words, k):
+        out = words.copy()
+        for at in rng.sample(range(len(out)), k):
+            out[at] = f"x{rng.randrange(10**9)}"
+        return out
+
+    def counted(df, label):
+        out = write(df, label)
+        if label == "ngram-answers":
+            checked.append(out.count())
+        return out
+
+    base = [f"w{i}" for i in range(150)]
+    branches = [changed(base, 7) for _ in range(12)]
+    texts = [base] + [changed(base, rng.choice((1, 2, 3, 4, 5, 6))) for _ in range(400)] + [changed(b, rng.choice((1, 2))) for b in branches for _ in range(5)]
+    docs = [(3 * i, " ".join(t)) for i, t in enumerate(rng.sample(texts, len(texts)))]
+    monkeypatch.setattr(m, "shared_table", counted)
+    monkeypatch.setattr(m, "LEADERS", ())
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in m.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    want = brute.components(docs)
+    assert got == {d: want[i] for i, (d, _) in enumerate(docs)}
+    assert 10 < len({c for _, c in got.values()}) < 150
+    assert sum(checked) < 5 * len(docs)
+
+
+@pytest.mark.parametrize("percent", [75, 50])
+def test_ngram_join_about_a_centre(spark, percent):
+    """Without any earlier round: sets linked by their distance from the centre do link, and of the others each link is listed."""
+    from wickerframe.llm import ngram_jaccard as m
+
+    rng = random.Random(percent)
+    change = lambda own, k: (own - set(rng.sample(sorted(own), k))) | {rng.randrange(1000, 1400) for _ in range(rng.randint(0, k))}
+    base = set(range(60))
+    branches = [change(base, 25) for _ in range(6)] + [set(range(500, 540)), set(range(20)) | set(range(600, 640))]
+    sets = [base] + [change(base, rng.randint(1, 14)) for _ in range(90)] + [change(b, rng.randint(0, 8)) for b in branches for _ in range(8)]
+    sets = sorted(map(sorted, {frozenset(x) for x in sets}))
+    shared = lambda x: [t for t in x if sum(t in y for y in sets) > 1]
+    core = spark.createDataFrame([(i, len(x), shared(x)) for i, x in enumerate(sets)], "node long, n long, shingles array<long>")
+    here = core.select("node", "n", F.lit(0).cast("long").alias("lead"), F.lit(0).cast("long").alias("lacks"))
+    bound = spark.createDataFrame([(0, 0, 10**6)], "lead long, o_lead long, common long")
+    answers = spark.createDataFrame([], "a long, b long")
+    links = {(i, j) for j, y in enumerate(sets) for i, x in enumerate(sets[:j]) if 100 * len({*x} & {*y}) >= percent * len({*x} | {*y})}
+
+    centred = m._centred(here, bound, core, percent)
+    near = {tuple(sorted(r)) for r in m._about_centre(centred).collect()}
+    assert near and near <= links
+    labels = m.components(core.select("node", F.col("node").alias("comp")), spark.createDataFrame(sorted(near), "a long, b long"))
+    comp = dict(map(tuple, labels.collect()))
+    pairs = [tuple(r) for r in m._survivors(centred, labels, bound, answers, percent).collect()]
+    assert len(pairs) == len(set(pairs)) and all(comp[a] != comp[b] for a, b in pairs)
+    missing = {(a, b) for a, b in links if comp[a] != comp[b]}
+    assert missing and missing <= set(pairs)
+    assert len(pairs) < len(sets) * len(sets) / 6
+
+
 @pytest.mark.parametrize("percent", [50])
 def test_ngram_join_thresholds(spark, percent):
     docs = crowd(60, seed=3)

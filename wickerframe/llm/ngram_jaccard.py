@@ -18,6 +18,9 @@ Relations between sets keep the work small, at index level and at answer level:
   are known to share c shingles, and the sets lack d and e shingles of what they have in common with their
   leaders, they share c + d + e at most: one comparison of the leaders answers for all pairs of their followers
   that this excludes, and none of these pairs is listed.
+* The other followers are seen from a centre, the shingles that most of them have. Sets so near to it that they link in
+  any case are linked to the nearest one, without a check. Others link only if they depart from the centre in common:
+  lists of these departures, again rarest first, take the place of the lists of shingles that they all share.
 """
 
 from __future__ import annotations
@@ -320,7 +323,10 @@ def _link(sets: DataFrame, percent: int) -> DataFrame:
             break
         here = shared_table(entries.join(mixed, F.col("t") == F.col("p_t")).drop("p_t").join(labels, "node"), "ngram-mixed")
         if seats is None:
-            pairs = _survivors(here, answers, core, percent)
+            followers, bound = _bounds(here, answers, core, percent)
+            centred = _centred(followers, bound, core, percent)
+            labels = shared_table(components(labels, _about_centre(centred)), "ngram-labels")
+            pairs = _survivors(centred, labels, bound, answers, percent)
         else:
             probes = _probes(here.where("comp != major"), F.col("least"), F.col("most"), percent)
             pairs = probes.join(leaders(here.where("comp = major"), seats, turn), same_block).where(apart & fits).select(*pair).distinct()
@@ -343,15 +349,19 @@ def _probes(here: DataFrame, low: Column, high: Column, percent: int) -> DataFra
     return here.withColumn("block", F.explode(F.sequence(_block(F.greatest(low, F.lit(1)), percent), _block(high, percent))))
 
 
-def _survivors(here: DataFrame, answers: DataFrame, core: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of entries (t, block, node, n, most, least, comp) that may link by what is known of their leaders.
+def _need(n: Column, o_n: Column, percent: int) -> Column:
+    """Shingles that two sets of these sizes share at least if they link."""
+    return F.ceil(percent * (n + o_n) / (100 + percent))
+
+
+def _bounds(here: DataFrame, answers: DataFrame, core: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Entries (t, block, node, n, most, least, comp) with their lead and what they lack of it; and (lead, o_lead, common), in
+    both orders, of the leaders whose followers may link with each other by what is known of the leaders.
 
     A set's leader is the set of the answers with which it has most in common, if that is nearly all of it, else
     the set itself. Leaders meet where followers of theirs share a block in reach; |x & y| <= |L & M| + |x - L| + |y - M|
-    then excludes most pairs of leaders with all their followers. Only followers of the others are listed in pairs,
-    by the lists and blocks in which they meet, and the bound tests each pair.
+    then excludes most pairs of leaders with all their followers.
     """
-    need = lambda n, o: F.ceil(percent * (n + o) / (100 + percent))
     near = F.struct(F.col("b").alias("lead"), (F.col("n_a") - F.col("common")).alias("lacks"))
     both = answers.select("a", "b", "n_a", "common").unionByName(answers.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("n_b").alias("n_a"), "common"))
     lead = both.where(100 * F.col("common") >= percent * F.col("n_a")).groupBy("a").agg(F.max_by(near, F.struct("common", "b")).alias("l")).select(F.col("a").alias("l_a"), "l.lead", "l.lacks")
@@ -364,18 +374,73 @@ def _survivors(here: DataFrame, answers: DataFrame, core: DataFrame, percent: in
     met = _probes(group, F.col("least"), F.least("n_top", "most"), percent).join(other, (F.col("t") == F.col("o_t")) & (F.col("block") == F.col("o_block")))
     mixed = (F.col("comp") != F.col("comp_top")) | (F.col("comp") != F.col("o_comp")) | (F.col("comp") != F.col("o_comp_top"))
     met = met.where(mixed & (F.col("n") <= F.col("o_most")) & (F.col("o_n") <= F.col("most")))
-    pairs = met.groupBy(F.least("lead", "o_lead").alias("a"), F.greatest("lead", "o_lead").alias("b")).agg(F.max(F.col("lacks") + F.col("o_lacks") - need(F.col("n"), F.col("o_n"))).alias("slack"))
+    pairs = met.groupBy(F.least("lead", "o_lead").alias("a"), F.greatest("lead", "o_lead").alias("b")).agg(F.max(F.col("lacks") + F.col("o_lacks") - _need(F.col("n"), F.col("o_n"), percent)).alias("slack"))
     pairs = shared_table(pairs, "ngram-lead-pairs")
     known = answers.select("a", "b", "common").unionByName(_verified(pairs.where("a != b").join(answers, ["a", "b"], "left_anti").select("a", "b"), core).select("a", "b", "common"))
     of_one = core.select(F.col("node").alias("a"), F.col("node").alias("b"), F.col("n").alias("common"))
     bound = pairs.join(known.unionByName(of_one), ["a", "b"]).where(F.col("common") + F.col("slack") >= 0).select("a", "b", "common")
     bound = shared_table(bound.unionByName(bound.where("a != b").select(F.col("b").alias("a"), F.col("a").alias("b"), "common")).withColumnsRenamed({"a": "lead", "b": "o_lead"}), "ngram-bounds")
 
-    # Followers of these leaders meet by lists and blocks: the smaller set of a pair is found by its block, the larger probes.
-    x = here.join(bound.select("o_lead").distinct(), F.col("lead") == F.col("o_lead"), "left_semi").select(*[F.col(c).alias(f"o_{c}") for c in ("t", "block", "node", "n", "most", "lead", "lacks", "comp")])
-    y = _probes(here.join(bound.select("lead").distinct(), "lead", "left_semi"), F.col("least"), F.least("n", "most"), percent)
-    ordered = (F.col("o_n") < F.col("n")) | ((F.col("o_n") == F.col("n")) & (F.col("o_node") < F.col("node")))
-    met = y.join(shared_table(x, "ngram-found"), (F.col("t") == F.col("o_t")) & (F.col("block") == F.col("o_block")) & (F.col("comp") != F.col("o_comp")) & ordered & (F.col("n") <= F.col("o_most")))
-    met = met.select("node", "n", "lead", "lacks", "o_node", "o_n", "o_lead", "o_lacks").distinct().join(bound, ["lead", "o_lead"])
-    met = met.where(F.col("common") + F.col("lacks") + F.col("o_lacks") >= need(F.col("n"), F.col("o_n")))
+    return here, bound
+
+
+def _centred(here: DataFrame, bound: DataFrame, core: DataFrame, percent: int) -> DataFrame:
+    """(fam, node, n, lead, lacks, sig, away) of the followers of leaders with a bound, from (node, n, lead, lacks) in `here`.
+
+    Leaders that bounds connect are one family. Its centre holds the shingles that more than half of its sets have; away
+    is the symmetric difference of a set and the centre, without the shingles that one set alone has, and m its size with
+    them. x and y differ in m_x + m_y - 2 |away_x & away_y| shingles, so they link when
+    2 (100 + percent) |away_x & away_y| >= sig_x + sig_y, with sig = (100 + percent) m - (100 - percent) n.
+    """
+    leads = bound.select(F.col("lead").alias("node"), F.col("lead").alias("comp")).distinct()
+    family = components(leads, bound.where("lead < o_lead").select(F.col("lead").alias("a"), F.col("o_lead").alias("b"))).withColumnsRenamed({"node": "f_lead", "comp": "fam"})
+    who = here.select("node", "n", "lead", "lacks").distinct().join(family, F.col("lead") == F.col("f_lead")).drop("f_lead")
+    members = shared_table(who.join(core.select("node", "shingles"), "node"), "ngram-members")
+
+    several = members.groupBy("fam").agg(F.count(F.lit(1)).alias("k"))
+    seen = members.select("fam", F.explode("shingles").alias("c_t")).groupBy("fam", "c_t").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    centre = seen.join(several, "fam").where("2 * c > k").groupBy("fam").agg(F.collect_list("c_t").alias("centre"))
+    both = members.join(centre, "fam", "left").withColumn("centre", F.coalesce("centre", F.array().cast("array<long>")))
+    both = both.withColumns({"more": F.array_except("shingles", "centre"), "less": F.array_except("centre", "shingles")})
+    m = F.col("n") - F.size("shingles") + F.size("more") + F.size("less")
+    sig = (100 + percent) * m - (100 - percent) * F.col("n")
+    return shared_table(both.select("fam", "node", "n", "lead", "lacks", sig.alias("sig"), F.concat("more", "less").alias("away")), "ngram-centred")
+
+
+def _about_centre(centred: DataFrame) -> DataFrame:
+    """Links (a, b) of each family's set nearest to the centre. Two sets that link whatever their `away` share, as their sig
+    add up to 0 or less, both have one with it."""
+    nearest = centred.groupBy("fam").agg(F.min_by(F.struct("node", "sig"), F.struct("sig", "node")).alias("o"))
+    near = centred.join(nearest, "fam").where((F.col("sig") + F.col("o.sig") <= 0) & (F.col("node") != F.col("o.node")))
+    return near.select(F.col("node").alias("a"), F.col("o.node").alias("b"))
+
+
+def _survivors(centred: DataFrame, labels: DataFrame, bound: DataFrame, answers: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that may link, once _about_centre is in the labels: their sig add up to more
+    than 0, so they meet in a list of what sets of a family have away from its centre, and early enough in it.
+
+    Only lists of several components count. A set has them by frequency, rarest first; what other lists it is in, no
+    set of another component shares. The sets outside a family's largest component probe, block by block.
+    """
+    here = centred.join(labels, "node")
+    per = here.groupBy("fam", "comp").agg(F.count(F.lit(1)).alias("c"), F.min("sig").alias("low"))
+    per = per.groupBy("fam").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"), F.min("low").alias("low"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+    here = shared_table(here.join(per, "fam"), "ngram-apart")
+    spots = here.select("fam", "node", "comp", F.explode("away").alias("t"))
+    lists = spots.groupBy("fam", "t").agg(F.count(F.lit(1)).alias("f"), F.min("comp").alias("comp"), F.max("comp").alias("comp_top")).where("comp != comp_top").select("fam", "t", "f")
+    places = spots.select("fam", "node", "t").join(lists, ["fam", "t"]).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("s"))
+    entries = here.drop("away").join(places, "node").select("fam", "node", "n", "lead", "lacks", "sig", "comp", "major", "low", F.size("s").alias("z"), F.posexplode("s").alias("i", "x"))
+    # most: the largest sig of a set that links and meets this one here first; rest: what the two can share after it.
+    entries = entries.withColumns({"t": F.col("x.t"), "most": 2 * (100 + percent) * (F.col("z") - F.col("i")) - F.col("sig"), "rest": F.col("z") - F.col("i") - 1, "block": _block(F.col("n"), percent)})
+    entries = shared_table(entries.where("most >= low").drop("x", "z", "i", "low"), "ngram-found")
+
+    other = entries.select(*[F.col(c).alias(f"o_{c}") for c in entries.columns])
+    probes = _probes(entries.where("comp != major"), F.ceil(percent * F.col("n") / 100), F.floor(100 * F.col("n") / percent), percent)
+    same_list = (F.col("fam") == F.col("o_fam")) & (F.col("t") == F.col("o_t")) & (F.col("block") == F.col("o_block"))
+    once = (F.col("comp") != F.col("o_comp")) & ((F.col("o_comp") == F.col("major")) | (F.col("node") < F.col("o_node")))
+    met = probes.join(other, same_list & once & (F.col("sig") <= F.col("o_most")) & (F.col("o_sig") <= F.col("most")))
+    # Of two sets, all that they share up to the last list seen is counted.
+    met = met.groupBy("node", "n", "sig", "lead", "lacks", "o_node", "o_n", "o_sig", "o_lead", "o_lacks").agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("rest", "o_rest")).alias("after"))
+    met = met.where(2 * (100 + percent) * (F.col("shared") + F.col("after")) >= F.col("sig") + F.col("o_sig")).join(bound, ["lead", "o_lead"])
+    met = met.where(F.col("common") + F.col("lacks") + F.col("o_lacks") >= _need(F.col("n"), F.col("o_n"), percent))
     return met.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).join(answers.select("a", "b"), ["a", "b"], "left_anti")
