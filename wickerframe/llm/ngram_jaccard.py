@@ -397,9 +397,10 @@ def _centred(here: DataFrame, bound: DataFrame, core: DataFrame, percent: int) -
     who = here.select("node", "n", "lead", "lacks").distinct().join(family, F.col("lead") == F.col("f_lead")).drop("f_lead")
     members = shared_table(who.join(core.select("node", "shingles"), "node"), "ngram-members")
 
-    several = members.groupBy("fam").agg(F.count(F.lit(1)).alias("k"))
+    # What a family has in one row is written before its sets join it: such a join can be split where a family is large.
+    several = shared_table(members.groupBy("fam").agg(F.count(F.lit(1)).alias("k")), "ngram-families")
     seen = members.select("fam", F.explode("shingles").alias("c_t")).groupBy("fam", "c_t").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    centre = seen.join(several, "fam").where("2 * c > k").groupBy("fam").agg(F.collect_list("c_t").alias("centre"))
+    centre = shared_table(seen.join(several, "fam").where("2 * c > k").groupBy("fam").agg(F.collect_list("c_t").alias("centre")), "ngram-centres")
     both = members.join(centre, "fam", "left").withColumn("centre", F.coalesce("centre", F.array().cast("array<long>")))
     both = both.withColumns({"more": F.array_except("shingles", "centre"), "less": F.array_except("centre", "shingles")})
     m = F.col("n") - F.size("shingles") + F.size("more") + F.size("less")
@@ -410,7 +411,7 @@ def _centred(here: DataFrame, bound: DataFrame, core: DataFrame, percent: int) -
 def _about_centre(centred: DataFrame) -> DataFrame:
     """Links (a, b) of each family's set nearest to the centre. Two sets that link whatever their `away` share, as their sig
     add up to 0 or less, both have one with it."""
-    nearest = centred.groupBy("fam").agg(F.min_by(F.struct("node", "sig"), F.struct("sig", "node")).alias("o"))
+    nearest = shared_table(centred.groupBy("fam").agg(F.min_by(F.struct("node", "sig"), F.struct("sig", "node")).alias("o")), "ngram-nearest")
     near = centred.join(nearest, "fam").where((F.col("sig") + F.col("o.sig") <= 0) & (F.col("node") != F.col("o.node")))
     return near.select(F.col("node").alias("a"), F.col("o.node").alias("b"))
 
@@ -425,7 +426,7 @@ def _survivors(centred: DataFrame, labels: DataFrame, bound: DataFrame, answers:
     here = centred.join(labels, "node")
     per = here.groupBy("fam", "comp").agg(F.count(F.lit(1)).alias("c"), F.min("sig").alias("low"))
     per = per.groupBy("fam").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"), F.min("low").alias("low"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-    here = shared_table(here.join(per, "fam"), "ngram-apart")
+    here = shared_table(here.join(shared_table(per, "ngram-majors"), "fam"), "ngram-apart")
     spots = here.select("fam", "node", "comp", F.explode("away").alias("t"))
     lists = spots.groupBy("fam", "t").agg(F.count(F.lit(1)).alias("f"), F.min("comp").alias("comp"), F.max("comp").alias("comp_top")).where("comp != comp_top").select("fam", "t", "f")
     places = spots.select("fam", "node", "t").join(lists, ["fam", "t"]).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("s"))
